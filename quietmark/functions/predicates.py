@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quietmark.functions import patterns as P
 from quietmark.functions import vocab as V
-from quietmark.functions.text import digits, extract_all, let, slice_text, strip
+from quietmark.functions.text import digits, extract_all, let, literals, slice_text, strip
 
 EDGE = r"[ /,:;.\-*^&()\[\]{}]"
 
@@ -51,10 +51,6 @@ def words_of(value: Column) -> Column:
     return F.filter(F.split(value, r"(?U)\s+", -1), lambda w: w != "")
 
 
-def literals(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def clean_person(value: Column, generic=V.GENERIC_WORDS) -> Column:
     """Strip punctuation at both ends, drop trailing generic words, collapse spaces."""
     core = F.regexp_replace(strip(value), f"^{EDGE}+|{EDGE}+$", "")

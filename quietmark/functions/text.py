@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def has_digit(c: Column) -> Column:
+    """``rlike '(?U)\\d'`` with a fast path: ASCII digits are found by byte search."""
+    ascii_digit = reduce(lambda a, b: a | b, [F.contains(c, F.lit(str(d))) for d in range(10)])
+    return ascii_digit | F.when(F.octet_length(c) > F.length(c), c.rlike(r"(?U)\d")).otherwise(False)
+
+
+def literals(words) -> Column:
+    """A literal array, built in one call."""
+    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({', '.join(quoted)})")
+
+
 def strip(c: Column) -> Column:
     """Trim all white space at both ends (``trim`` only takes spaces)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -84,32 +97,37 @@ def running(values: Column, op: str) -> Column:
     return let(values, lambda xs: F.when(F.size(xs) <= BLOCK, scan(xs)).otherwise(blocked(xs)))
 
 
-def match_spans(
-    text: Column, pattern: str | Column, group: int = 0, matches: Column | None = None
-) -> Column:
+PART = "struct<m:array<string>,v:array<string>,g:array<string>>"
+RAW = "array<struct<st:int,en:int,value:string>>"
+
+
+def match_parts(text: Column, pattern: str | Column, group: int = 0, matches: Column | None = None) -> Column:
+    """Matches, group values and gaps of one pattern: the input of ``part_spans``."""
+    m = extract_all(text, pattern) if matches is None else matches
+    v = m if group == 0 else extract_all(text, pattern, group)
+    parts = F.struct(m.alias("m"), v.alias("v"), split_all(text, pattern).alias("g"))
+    none = empty_array("string")
+    return F.when(F.size(m) > 0, parts).otherwise(F.struct(none.alias("m"), none.alias("v"), none.alias("g")))
+
+
+def part_spans(p: Column) -> Column:
     """``array<struct<st,en,value>>`` of every match, offsets in code points.
 
     ``regexp_extract_all`` gives the matches and ``split`` the gaps of the same
     match sequence, so running lengths give the offsets.  With ``group=1`` the
     span is that of the group, which must end where the match ends.
     """
-    m = extract_all(text, pattern) if matches is None else matches
-    v = m if group == 0 else extract_all(text, pattern, group)
-    parts = F.struct(m.alias("m"), v.alias("v"), split_all(text, pattern).alias("g"))
+    ends = running(
+        F.zip_with(p["m"], F.slice(p["g"], F.lit(1), F.size(p["m"])), lambda a, b: F.length(a) + F.length(b)), "sum"
+    )
+    spans = F.zip_with(
+        p["v"], ends, lambda v, e: F.struct((e - F.length(v)).alias("st"), e.alias("en"), v.alias("value"))
+    )
+    return F.when(F.size(p["m"]) > 0, spans).otherwise(F.expr(f"cast(array() as {RAW})"))
 
-    def spans(p: Column) -> Column:
-        ends = running(
-            F.zip_with(p["m"], F.slice(p["g"], F.lit(1), F.size(p["m"])), lambda a, b: F.length(a) + F.length(b)),
-            "sum",
-        )
-        return F.zip_with(
-            p["v"],
-            ends,
-            lambda v, e: F.struct((e - F.length(v)).alias("st"), e.alias("en"), v.alias("value")),
-        )
 
-    none = empty_array("struct<st:int,en:int,value:string>")
-    return F.when(F.size(m) > 0, let(parts, spans)).otherwise(none)
+def match_spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    return let(match_parts(text, pattern, group), part_spans)
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:

@@ -1,16 +1,16 @@
 """Pattern detectors: text column in, one sorted span array per chunk out.
 
-The work is split in two narrow steps.  ``with_candidates`` runs the regular
-expressions, each behind a cheap guard, and stays inside generated code; most
-chunks match nothing and need no more.  ``with_spans`` adds offsets and applies
-the validators, and only pays for chunks that have candidates.
+The work is split in two narrow steps.  ``has_candidates`` is a filter that runs
+the regular expressions behind cheap guards and stays inside generated code;
+most chunks match nothing and need no more.  ``with_spans`` adds offsets and
+applies the validators, and only chunks with candidates pay for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,16 @@ from quietmark.functions import patterns as P
 from quietmark.functions import vocab as V
 from quietmark.functions.phones import DEFAULT_COUNTRY, NUMBERING_PLAN, valid_phone
 from quietmark.functions.predicates import is_placeholder, looks_like_person, luhn_valid
-from quietmark.functions.text import empty_array, extract_all, match_spans, slice_text, strip
+from quietmark.functions.text import (
+    empty_array,
+    extract_all,
+    has_digit,
+    literals,
+    match_parts,
+    part_spans,
+    slice_text,
+    strip,
+)
 
 # Field order gives the sort order of overlap resolution: start, longest first,
 # detector rank.
@@ -68,16 +77,15 @@ class Detector:
     type: str
     pattern: str
     group: int
-    guard: Callable[[Column], Column]
+    needs: str  # key of GUARDS: a cheap test that every match passes
     keep: Callable[[Column], Column] | None = None
 
 
-def _has(token: str) -> Callable[[Column], Column]:
-    return lambda t: F.contains(t, F.lit(token))
-
-
-def _digit(t: Column) -> Column:
-    return t.rlike(r"(?U)\d")
+GUARDS: dict[str, Callable[[Column], Column]] = {
+    "digit": has_digit,
+    "at": lambda t: F.contains(t, F.lit("@")),
+    "colon": lambda t: F.contains(t, F.lit(":")),
+}
 
 
 def name_pattern(name: Column | str, bounded: bool = True) -> Column | str:
@@ -100,18 +108,17 @@ def detectors(rules: Rules) -> list[Detector]:
     phone = lambda v: valid_phone(
         v, rules.min_phone_digits, rules.max_phone_digits, rules.default_country, rules.plan
     )
-    colon, at, dot, hyphen = _has(":"), _has("@"), _has("."), _has("-")
     found = [
-        Detector("labelled_name", 1, "person", P.LABELLED_NAME if rules.names_cross_lines else P.LABELLED_NAME_LINE, 1, colon, person),
-        Detector("email", 3, "email", P.EMAIL, 0, at),
-        Detector("ip", 4, "ip", P.IP, 0, lambda t: dot(t) & _digit(t)),
-        Detector("credit_card", 5, "credit_card", P.CARD, 0, _digit, luhn_valid if rules.luhn else None),
-        Detector("ssn", 6, "ssn", P.SSN, 0, lambda t: hyphen(t) & _digit(t)),
-        Detector("dob", 7, "dob", P.BIRTH_DATE, 0, _digit),
-        Detector("phone", 8, "phone", P.PHONE, 0, _digit, phone),
-        Detector("labelled_address", 9, "address", P.LABELLED_ADDRESS, 1, colon),
-        Detector("address_window", 10, "address", P.ADDRESS_LABEL, 0, colon),
-        Detector("labelled_organization", 12, "organization", P.LABELLED_ORGANIZATION, 1, colon),
+        Detector("labelled_name", 1, "person", P.LABELLED_NAME if rules.names_cross_lines else P.LABELLED_NAME_LINE, 1, "colon", person),
+        Detector("email", 3, "email", P.EMAIL, 0, "at"),
+        Detector("ip", 4, "ip", P.IP, 0, "digit"),
+        Detector("credit_card", 5, "credit_card", P.CARD, 0, "digit", luhn_valid if rules.luhn else None),
+        Detector("ssn", 6, "ssn", P.SSN, 0, "digit"),
+        Detector("dob", 7, "dob", P.BIRTH_DATE, 0, "digit"),
+        Detector("phone", 8, "phone", P.PHONE, 0, "digit", phone),
+        Detector("labelled_address", 9, "address", P.LABELLED_ADDRESS, 1, "colon"),
+        Detector("address_window", 10, "address", P.ADDRESS_LABEL, 0, "colon"),
+        Detector("labelled_organization", 12, "organization", P.LABELLED_ORGANIZATION, 1, "colon"),
     ]
     return [d for d in found if not rules.only or d.id in rules.only]
 
@@ -136,73 +143,74 @@ def _span(st: Column, en: Column, rank, kind, value: Column) -> Column:
 
 
 def has_candidates(text: Column, rules: Rules = STRICT) -> Column:
-    """True when some detector pattern occurs in ``text``; no offsets computed."""
-    tests = [F.when(d.guard(text), text.rlike(d.pattern)).otherwise(False) for d in detectors(rules)]
+    """True when some detector pattern occurs in ``text``; no offsets computed.
+
+    Patterns that share a guard are tested together, so a chunk without digits,
+    colons and at signs is dismissed by byte searches.
+    """
+    tests = []
+    for guard, passes in GUARDS.items():
+        patterns = [d.pattern for d in detectors(rules) if d.needs == guard]
+        if patterns:
+            tests.append(F.when(passes(text), reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])).otherwise(False))
     tests += [text.rlike(any_name_pattern(names)) for _, _, names in _name_lists(rules)]
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
-def with_candidates(chunks: DataFrame, rules: Rules = STRICT) -> DataFrame:
-    """Add one match array ``_m_<detector>`` per pattern; keep every row."""
-    text = F.col("text")
-    none = empty_array("string")
-    return chunks.withColumns(
-        {
-            f"_m_{d.id}": F.when(d.guard(text), extract_all(text, d.pattern)).otherwise(none)
-            for d in detectors(rules)
-        }
-        | {f"_h_{label}": text.rlike(any_name_pattern(names)) for label, _, names in _name_lists(rules)}
-    )
+def with_spans(chunks: DataFrame, rules: Rules = STRICT) -> DataFrame:
+    """Add the array column ``spans``: every accepted finding, unordered."""
+    matches, raw, spans = _span_columns(rules)
+    return chunks.withColumns(matches).withColumn("_raw", raw).withColumn("spans", spans).drop("_raw", *matches)
 
 
-def any_candidate(rules: Rules = STRICT) -> Column:
-    """Filter over the columns of ``with_candidates``."""
-    tests = [F.size(f"_m_{d.id}") > 0 for d in detectors(rules)]
-    tests += [F.col(f"_h_{label}") for label, _, _ in _name_lists(rules)]
-    return reduce(lambda a, b: a | b, tests)
-
-
-def with_spans(candidates: DataFrame, rules: Rules = STRICT) -> DataFrame:
-    """Turn the match columns into one array column ``spans``."""
-    text = F.col("text")
-    arrays = [_detector_spans(text, d, rules) for d in detectors(rules)]
-    for label, rank, names in _name_lists(rules):
-        listed = F.array(*[F.lit(n) for n in names])
-        hits = F.flatten(
-            F.transform(
-                F.filter(listed, lambda n: F.contains(F.lower(text), F.lower(n))),
-                lambda n: match_spans(text, name_pattern(n)),
-            )
-        )
-        arrays.append(
-            F.when(F.col(f"_h_{label}"), F.transform(hits, lambda s: _span(s["st"], s["en"], rank, "person", s["value"]))).otherwise(empty_array(SPAN))
-        )
+@lru_cache(maxsize=32)
+def _span_columns(rules: Rules) -> tuple[dict[str, Column], Column, Column]:
+    """The three projections behind ``with_spans``; built once per rule set.
+
+    Offsets are computed by one expression that runs over an array with one
+    element per detector, then one per listed name that occurs in the text.
+    """
+    text, found = F.col("text"), detectors(rules)
+    none = empty_array("string")
+    matches = {
+        f"_m_{d.id}": F.when(GUARDS[d.needs](text), extract_all(text, d.pattern)).otherwise(none) for d in found
+    }
+    parts = [F.array(*[match_parts(text, d.pattern, d.group, F.col(f"_m_{d.id}")) for d in found])] if found else []
+    for label, _, names in _name_lists(rules):
+        matches[f"_n_{label}"] = F.when(
+            text.rlike(any_name_pattern(names)),
+            F.filter(literals(names), lambda n: F.contains(F.lower(text), F.lower(n))),
+        ).otherwise(none)
+        parts.append(F.transform(f"_n_{label}", lambda n: match_parts(text, name_pattern(n))))
+    raw = F.transform(F.concat(*parts), part_spans)
+
+    arrays = [_detector_spans(text, d, F.get("_raw", F.lit(i)), rules) for i, d in enumerate(found)]
+    at = F.lit(len(found))
+    for label, rank, _ in _name_lists(rules):
+        hits = F.flatten(F.slice("_raw", at + 1, F.size(f"_n_{label}")))
+        arrays.append(F.transform(hits, _listed_span(rank)))
+        at = at + F.size(f"_n_{label}")
     spans = F.filter(
         F.concat(*arrays),
         lambda s: (s["st"] < s["en"]) & ~is_placeholder(s["value"], rules.extended_placeholders),
     )
-    scratch = [c for c in candidates.columns if c.startswith(("_m_", "_h_"))]
-    return candidates.withColumn("spans", spans).drop(*scratch)
+    return matches, raw, spans
 
 
-def _detector_spans(text: Column, d: Detector, rules: Rules) -> Column:
-    m = F.col(f"_m_{d.id}")
+def _listed_span(rank: int) -> Callable[[Column], Column]:
+    return lambda s: _span(s["st"], s["en"], rank, "person", s["value"])
+
+
+def _detector_spans(text: Column, d: Detector, raw: Column, rules: Rules) -> Column:
     if d.id == "address_window":
+        found = F.filter(F.transform(raw, lambda s: _window_span(text, s, d.rank)), lambda s: s.isNotNull())
+    elif d.group == 0:
+        found = F.transform(raw, lambda s: _span(s["st"], s["en"], d.rank, d.type, s["value"]))
+    else:
         found = F.filter(
-            F.transform(match_spans(text, d.pattern, 0, m), lambda s: _window_span(text, s, d.rank)),
-            lambda s: s.isNotNull(),
+            F.transform(raw, lambda s: _trimmed_span(s, d.rank, d.type, rules.trim_spans)), lambda s: s["value"] != ""
         )
-    else:
-        raw = match_spans(text, d.pattern, d.group, m)
-        if d.group == 0:
-            found = F.transform(raw, lambda s: _span(s["st"], s["en"], d.rank, d.type, s["value"]))
-        else:
-            found = F.filter(
-                F.transform(raw, lambda s: _trimmed_span(s, d.rank, d.type, rules.trim_spans)), lambda s: s["value"] != ""
-            )
-    if d.keep is not None:
-        found = F.filter(found, lambda s: d.keep(s["value"]))
-    return F.when(F.size(m) > 0, found).otherwise(empty_array(SPAN))
+    return found if d.keep is None else F.filter(found, lambda s: d.keep(s["value"]))
 
 
 def _trimmed_span(s: Column, rank: int, kind: str, trim_span: bool) -> Column:
@@ -232,7 +240,7 @@ def detect(chunks: DataFrame, rules: Rules = STRICT) -> DataFrame:
     ``spans`` follows: it would be pushed below the projection and evaluate the
     whole expression a second time.
     """
-    return with_spans(with_candidates(chunks, rules).where(any_candidate(rules)), rules)
+    return with_spans(chunks.where(has_candidates(F.col("text"), rules)), rules)
 
 
 def span_rows(detected: DataFrame, column: str = "spans") -> DataFrame:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietmark.functions.text import empty_array, let, running
 from quietmark.operators.detectors import SPAN
 
 
+def with_merged(detected: DataFrame, policy: str = "cover") -> DataFrame:
+    """Replace the ``spans`` column by the resolved ``merged``."""
+    return detected.withColumn("merged", _merged(policy)).drop("spans")
+
+
+@lru_cache(maxsize=4)
+def _merged(policy: str) -> Column:
+    return resolve(F.col("spans"), policy)
+
+
 def resolve(spans: Column, policy: str = "cover") -> Column:
     """Disjoint spans in text order.
 

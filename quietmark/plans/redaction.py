@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 
 from quietmark.functions.placeholders import hashed_placeholder, norm_key
 from quietmark.functions.text import empty_array, running
-from quietmark.operators.detectors import SPANS, STRICT, Rules, any_candidate, detect, has_candidates, with_candidates, with_spans
+from quietmark.operators.detectors import SPAN, STRICT, Rules, detect, has_candidates, with_spans
 from quietmark.operators.dictionary import build_dictionary, replace_values, value_spans
-from quietmark.operators.overlaps import resolve
+from quietmark.operators.overlaps import with_merged
 from quietmark.operators.splice import splice
 from quietmark.session import save_stage
 from quietmark.sources.chunks import chunk_text
 
-REPLACED = "array<struct<st:int,en:int,type:string,value:string,replacement:string>>"
-
-
 @dataclass
 class Redaction:
     """Result tables of one run; all lazy except the staged ones."""
@@ -56,11 +53,11 @@ def find_merged(chunks: DataFrame, rules: Rules = STRICT, extra: DataFrame | Non
         found = detect(chunks, rules)
     else:
         per_chunk = _extra_spans(extra)
-        joined = with_candidates(chunks, rules).join(per_chunk, ["doc_id", "chunk_no"], "left")
-        busy = joined.where(any_candidate(rules) | F.col("_extra").isNotNull())
+        joined = chunks.join(per_chunk, ["doc_id", "chunk_no"], "left")
+        busy = joined.where(has_candidates(F.col("text"), rules) | F.col("_extra").isNotNull())
         found = with_spans(busy, rules)
-        found = found.withColumn("spans", F.concat("spans", F.coalesce("_extra", empty_array(SPANS[6:-1])))).drop("_extra")
-    return found.withColumn("merged", resolve(F.col("spans"), rules.overlap)).drop("spans")
+        found = found.withColumn("spans", F.concat("spans", F.coalesce("_extra", empty_array(SPAN)))).drop("_extra")
+    return with_merged(found, rules.overlap)
 
 
 def _extra_spans(extra: DataFrame) -> DataFrame:
@@ -136,7 +133,8 @@ def redact_documents(
     the replacements (not the lines) are grouped per document, moved to
     document offsets and spliced once.
     """
-    base = docs.withColumn("text", F.col(text_col))
+    kept = [c for c in docs.columns if c != "text"]
+    base = docs.select(*kept, F.explode(F.array(text_col)).alias("text"))
     result = redact(chunk_text(docs, id_col, text_col), rules, numbering)
     per_doc = result.findings.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "st", "en", "replacement"))).alias("found")

@@ -20,15 +20,15 @@ def chunk_text(
 ) -> DataFrame:
     """Non-blank chunks of a text column; a narrow operation in both modes."""
     base = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    if mode == "cell":
-        rows = base.select("doc_id", F.lit(1).alias("chunk_no"), "text")
-    elif mode == "paragraph":
-        rows = base.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).select(
-            "doc_id", (F.col("pos") + 1).alias("chunk_no"), "text"
-        )
-    else:
+    if mode not in ("paragraph", "cell"):
         raise ValueError(f"unknown chunk mode: {mode}")
-    return rows.where(not_blank(F.col("text"))).select("doc_id", "chunk_no", *_place(F.lit("paragraph")), "text")
+    # A generator in both modes: filters on ``text`` stay above it, and so above
+    # a repartition that spreads a small input over all cores.
+    parts = F.split("text", "\n", -1) if mode == "paragraph" else F.array("text")
+    rows = base.select("doc_id", F.posexplode(parts).alias("pos", "text"))
+    return rows.where(not_blank(F.col("text"))).select(
+        "doc_id", (F.col("pos") + 1).alias("chunk_no"), *_place(F.lit("paragraph")), "text"
+    )
 
 
 def _place(kind: Column, table_no=None, row_no=None, col_no=None) -> list[Column]:
