@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from quietmark.operators.detectors import MAX_LITERAL_NAMES, any_name_pattern, n
 from quietmark.plans.redaction import Redaction
 
 RANKS = {"explicit": 2, "known": 11}
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def gazetteer(spark: SparkSession, lists: dict[str, Iterable[str]]) -> DataFrame:
@@ -27,40 +29,60 @@ def _ngram_pattern(words: int, max_gap: int) -> str:
     return rf"(?<![A-Za-z])(?=([A-Za-z]++{more}))"
 
 
-def name_hits(chunks: DataFrame, names: DataFrame, max_words: int = 5, max_gap: int = 3) -> DataFrame:
+@dataclass(frozen=True)
+class ListProfile:
+    """What a join with a name list needs to know; one small aggregate."""
+
+    size: int  # bytes of text, an upper bound of what a broadcast carries
+    lengths: tuple[int, ...]  # words per name, as present in the list
+    max_gap: int  # longest run of non-letters inside a name
+
+
+def profile_names(names: DataFrame) -> ListProfile:
+    gaps = extract_all(F.col("name"), "[^A-Za-z]+")
+    longest = F.coalesce(F.array_max(F.transform(gaps, F.length)), F.lit(1))
+    row = names.agg(
+        F.coalesce(F.sum(F.octet_length("name") * 2 + F.octet_length("list") + 64), F.lit(0)).alias("size"),
+        F.sort_array(F.collect_set(F.size(gaps) + 1)).alias("lengths"),
+        F.coalesce(F.max(longest), F.lit(1)).alias("gap"),
+        F.count_if(~F.col("name").rlike(r"(?s)^[A-Za-z](?:.*[A-Za-z])?$")).alias("bad"),
+    ).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} listed names do not start and end with a letter")
+    return ListProfile(row["size"], tuple(row["lengths"]), row["gap"])
+
+
+def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks paired with the listed names that occur in them.
 
-    Word n-grams of every length up to ``max_words`` are taken from the raw text
-    and joined with the list on equality, so the cost per word does not depend
-    on the list size and no pair is formed that does not match.  Catalyst
-    broadcasts the list when its size allows and shuffles otherwise.  Names
-    start and end with a letter; longer names, or gaps over ``max_gap``
-    characters, need larger parameters (checked by ``check_names``).
+    Word n-grams of the lengths in the list are taken from the raw text and
+    joined with the list on equality, so the cost per word does not depend on
+    the list size and no pair is formed that does not match.
+
+    A list of at most ``BROADCAST_BYTES`` is broadcast, and the text only
+    travels with matching rows.  A larger list is joined by shuffling the bare
+    n-grams; the texts of the matching chunks are joined back afterwards.
     """
-    grams = F.concat(*[extract_all(F.col("text"), _ngram_pattern(n, max_gap), 1) for n in range(1, max_words + 1)])
+    profile = profile_names(names)
+    keys = ["doc_id", "chunk_no"]
+    listed = names.select("list", "name", F.lower("name").alias("gram")).dropDuplicates(["list", "gram"])
+    grams = F.concat(*[extract_all(F.col("text"), _ngram_pattern(n, profile.max_gap), 1) for n in profile.lengths])
     # Lower-case all of them in one string operation.
     grams = F.array_distinct(F.split(F.lower(F.array_join(grams, "\u001f")), "\u001f"))
-    exploded = chunks.select("doc_id", "chunk_no", "text", F.explode(grams).alias("gram"))
-    listed = names.select("list", "name", F.lower("name").alias("gram")).dropDuplicates(["list", "gram"])
-    return exploded.join(listed, "gram").select("doc_id", "chunk_no", "text", "list", "name")
-
-
-def check_names(names: DataFrame, max_words: int = 5, max_gap: int = 3) -> DataFrame:
-    """Rows that ``name_hits`` could not find; empty for a usable list."""
-    gaps = extract_all(F.col("name"), "[^A-Za-z]+")
-    return names.where(
-        ~F.col("name").rlike(r"(?s)^[A-Za-z](?:.*[A-Za-z])?$")
-        | (F.size(gaps) >= max_words)
-        | F.exists(gaps, lambda g: F.length(g) > max_gap)
-    )
+    if profile.size <= BROADCAST_BYTES:
+        exploded = chunks.select(*keys, "text", F.explode(grams).alias("gram"))
+        return exploded.join(F.broadcast(listed), "gram").select(*keys, "text", "list", "name")
+    exploded = chunks.select(*keys, F.explode(grams).alias("gram"))
+    hits = exploded.join(listed.hint("merge"), "gram").select(*keys, "list", "name")
+    return hits.join(chunks.select(*keys, "text"), keys)
 
 
-def gazetteer_spans(chunks: DataFrame, names: DataFrame, max_words: int = 5, max_gap: int = 3) -> DataFrame:
+def gazetteer_spans(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Span rows of listed names, for ``redact(..., extra=...)``.
 
     Offsets are computed only for matching (chunk, name) pairs.
     """
-    hits = name_hits(chunks, names, max_words, max_gap)
+    hits = name_hits(chunks, names)
     spans = match_spans(F.col("text"), name_pattern(F.col("name")))
     rank = F.lit(None).cast("bigint")
     for tag, r in RANKS.items():
@@ -106,11 +128,11 @@ def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overf
     findings = left.select("doc_id", "chunk_no", F.col("x.name_no").alias("name_no"), F.col("x.name").alias("name"))
 
     people = result.dictionary.where(F.col("type") == "person")
-    known = listed.join(people.select("norm_key", "n", "replacement"), "norm_key")
+    # ``listed`` and all that derives from it has one row per name at most.
+    known = people.select("norm_key", "replacement").join(F.broadcast(listed), "norm_key")
     top = people.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top"))
-    unknown = listed.join(people.select("norm_key"), "norm_key", "left_anti")
+    unknown = listed.join(F.broadcast(known.select("norm_key")), "norm_key", "left_anti")
     first = findings.groupBy("name_no").agg(F.min(F.struct("doc_id", "chunk_no", "name_no")).alias("first"))
-    # At most one row per listed name, so this window stays tiny.
     order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first"))
     added = (
         unknown.join(first, "name_no")
@@ -129,7 +151,7 @@ def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overf
             "_names", text, lambda acc, x: F.regexp_replace(acc, name_pattern(x["name"], bounded), x["replacement"])
         ),
     ).otherwise(text)
-    done = findings.join(entries.drop("name"), "name_no").select(
+    done = findings.join(F.broadcast(entries.drop("name")), "name_no").select(
         "doc_id", "chunk_no", F.lit("person").alias("type"), F.col("name").alias("original"), "replacement",
         F.lit("final sweep").alias("location"),
     )

@@ -107,7 +107,7 @@ def phone_countries(spark: SparkSession, d: str) -> DataFrame:
     )
     national = F.substring(F.col("e164"), F.length("country_code") + 1, F.length("e164"))
     return (
-        coded.join(numbering_plan(spark), "country_code")
+        coded.join(F.broadcast(numbering_plan(spark)), "country_code")
         .where(F.length(national).between(F.col("nsn_min"), F.col("nsn_max")))
         .where(F.regexp_like(national, F.concat(F.lit("^(?:"), F.col("lead"), F.lit(")"))))
         .groupBy("country_code", "label")

@@ -60,7 +60,7 @@ if __name__ == "__main__":
         try:
             ok, note = compare(spark, con, query, sql[name], folder)
         except Exception as e:  # report and go on with the next query
-            ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
+            ok, note = False, f"{type(e).__name__}: {str(e)[:3000]}"
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name} {time.time() - began:.1f}s {note[:1500]}", flush=True)
     print("failed:", bad)
