@@ -499,6 +499,8 @@ def build() -> dict[str, str]:
         "dictionary_per_document": f"WITH {BASE}, {CELLS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte('document')} SELECT doc_id, type, norm_key, CAST(n AS BIGINT) AS n, uses, replacement FROM dictionary",
         "redacted_chunks": f"WITH {redacted_ctes()} SELECT {CHUNK_COLUMNS} FROM redacted",
         "redacted_chunks_strict": f"WITH {BASE}, {line_chunks()}, {spans_cte(alls, True)}, {COVER}, {dictionary_cte(overflow=True)}, {splice_cte()} SELECT {CHUNK_COLUMNS} FROM redacted",
+        "redacted_pages": f"""WITH {PAGES}, chunks AS MATERIALIZED (SELECT * FROM page_chunks WHERE kind IN ('paragraph', 'cell')),
+{spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()} SELECT {CHUNK_COLUMNS} FROM redacted""",
         "redacted_documents": f"""WITH {redacted_ctes(chunks=line_chunks(), scope='document')},
 every_line AS (SELECT doc_id, i AS chunk_no, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM corpus), unnest(range(1, len(parts) + 1)) t(i))
 SELECT e.doc_id, string_agg(coalesce(r.redacted_text, e.text), chr(10) ORDER BY e.chunk_no) AS redacted_text, CAST(coalesce(sum(r.n_redactions), 0) AS BIGINT) AS n_redactions

@@ -24,7 +24,7 @@ from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_hashed
 from quietmark.session import save_stage, stage_root
 from quietmark.sources.cards import contact_cards
-from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_chunks
+from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_chunks, redaction_scope
 from quietmark.sources.tables import spread, table
 from quietmark.streaming.redact import read_texts, redact_stream, write_stream
 
@@ -155,6 +155,14 @@ def redacted_chunks_strict(spark: SparkSession, d: str) -> DataFrame:
     return done.chunks.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
 
 
+def redacted_pages(spark: SparkSession, d: str) -> DataFrame:
+    # The page text is the result of several regular expressions: written once,
+    # not repeated in both branches of the flow.
+    chunks = save_stage(redaction_scope(page_scan(spark, d)))
+    done = redact(chunks, LISTED)
+    return done.chunks.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
+
+
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return redact_documents(corpus(spark, d), LISTED, "document").select("doc_id", "redacted_text", "n_redactions")
 
@@ -281,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dictionary_per_document": dictionary("document"),
     "redacted_chunks": redacted_chunks,
     "redacted_chunks_strict": redacted_chunks_strict,
+    "redacted_pages": redacted_pages,
     "redacted_documents": redacted_documents,
     "redacted_hashed": redacted_hashed,
     "redacted_entities": redacted_entities,

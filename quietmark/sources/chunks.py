@@ -102,6 +102,11 @@ def page_chunks(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     )
 
 
+def redaction_scope(chunks: DataFrame) -> DataFrame:
+    """Body text and table cells; headers and footers are only profiled."""
+    return chunks.where(F.col("kind").isin("paragraph", "cell"))
+
+
 def location() -> Column:
     """Human-readable place of a chunk, built from its numeric parts."""
     return (
