@@ -86,7 +86,8 @@ def redact(
     """
     merged = save_stage(find_merged(chunks, rules, extra))
     values = value_spans(merged, rules)
-    dictionary = build_dictionary(values, numbering, rules)
+    # Read several times (top keys, join, reports), so numbered once.
+    dictionary = save_stage(build_dictionary(values, numbering, rules))
     findings = replace_values(values, dictionary, numbering)
     per_chunk = findings.groupBy("doc_id", "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("st", "en", "type", "value", "replacement"))).alias("replaced")

@@ -111,7 +111,7 @@ def location() -> Column:
     """Human-readable place of a chunk, built from its numeric parts."""
     return (
         F.when(F.col("kind") == "cell", F.format_string("table %d, row %d, column %d", F.coalesce("table_no", F.lit(1)), F.coalesce("row_no", F.lit(1)), F.coalesce("col_no", F.lit(1))))
-        .when(F.col("kind").isin("header", "footer"), F.concat(F.lit("section 1 "), F.col("kind")))
+        .when(F.col("kind").isin("header", "footer"), F.format_string("section %d %s", F.coalesce("row_no", F.lit(1)), F.col("kind")))
         .otherwise(F.lit("paragraph"))
     )
 

@@ -1,6 +1,7 @@
 """Whole flows on small fixtures: numbering, idempotence, sweeps, streams."""
 
 import random
+import zipfile
 from collections import defaultdict
 from dataclasses import replace
 
@@ -14,8 +15,9 @@ from quietmark.operators.detectors import PARITY, STRICT, detect, span_rows
 from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import redact, redact_documents, redact_hashed
 from quietmark.sources.cards import contact_cards
-from quietmark.sources.chunks import assemble, chunk_text, location, page_chunks
+from quietmark.sources.chunks import assemble, chunk_text, location, page_chunks, redaction_scope
 from quietmark.sources.sinks import write_inventory, write_redacted
+from quietmark.sources.word import word_chunks
 from quietmark.streaming.redact import read_texts, redact_stream, write_stream
 
 SF = "/root/testdata/sf0.001"
@@ -266,3 +268,42 @@ def test_missing_input_is_an_error(spark):
 
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         table(spark, "/root/testdata/sf0.001", "no_such_table")
+
+
+def word_file(path, body, parts=()):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        links = "".join(f'<Relationship Id="{name}" Target="{name}.xml"/>' for name, _, _ in parts)
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{links}</Relationships>")
+        for name, tag, inner in parts:
+            z.writestr(f"word/{name}.xml", f"<w:{tag} {ns}>{inner}</w:{tag}>")
+
+
+def test_word_files(spark, tmp_path):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = (
+        "<w:p><w:r><w:t>Mail a@x.io</w:t><w:br/></w:r><w:hyperlink><w:r><w:t>and b@x.io</w:t></w:r></w:hyperlink></w:p>"
+        + p(" ")
+        + f"<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val='2'/></w:tcPr>{p('Organization:')}{p('Lind')}</w:tc><w:tc>{p('a@x.io')}</w:tc></w:tr></w:tbl>"
+        + "<w:sectPr><w:headerReference w:type='default' r:id='header1'/><w:footerReference w:type='first' r:id='footer1'/></w:sectPr>"
+    )
+    word_file(tmp_path / "one.docx", body, [("header1", "hdr", p("Top c@x.io")), ("footer1", "ftr", p("End"))])
+    word_file(tmp_path / "two.docx", p("b@x.io"))
+    (tmp_path / "note.txt").write_text("not read")
+    chunks = word_chunks(spark, str(tmp_path))
+    places = chunks.select("doc_id", "chunk_no", location().alias("location"), "text").orderBy("doc_id", "chunk_no").collect()
+    assert [(r["location"], r["text"]) for r in places] == [
+        ("paragraph", "Mail a@x.io\nand b@x.io"),
+        ("table 1, row 1, column 1", "Organization:\nLind"),
+        ("table 1, row 1, column 3", "a@x.io"),
+        ("section 1 header", "Top c@x.io"),
+        ("paragraph", "b@x.io"),
+    ]
+    done = redact(redaction_scope(chunks), PARITY).chunks.orderBy("doc_id", "chunk_no").collect()
+    assert [r["redacted_text"] for r in done] == [
+        "Mail person1@example.com\nand person2@example.com",
+        "Organization:\nExample Organization 1",
+        "person1@example.com",
+        "person2@example.com",
+    ]
