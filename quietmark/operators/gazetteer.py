@@ -70,9 +70,9 @@ def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
     # Lower-case all of them in one string operation.
     grams = F.array_distinct(F.split(F.lower(F.array_join(grams, "\u001f")), "\u001f"))
     if profile.size <= BROADCAST_BYTES:
-        exploded = chunks.select(*keys, "text", F.explode(grams).alias("gram"))
+        exploded = chunks.select(*keys, "text", F.explode_outer(grams).alias("gram"))
         return exploded.join(F.broadcast(listed), "gram").select(*keys, "text", "list", "name")
-    exploded = chunks.select(*keys, F.explode(grams).alias("gram"))
+    exploded = chunks.select(*keys, F.explode_outer(grams).alias("gram"))
     hits = exploded.join(listed.hint("merge"), "gram").select(*keys, "list", "name")
     return hits.join(chunks.select(*keys, "text"), keys)
 
@@ -124,7 +124,7 @@ def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overf
         F.transform(literals(names), lambda n, i: F.struct(i.alias("name_no"), n.alias("name"))),
         lambda x: F.regexp_like(text, name_pattern(x["name"], bounded)),
     )
-    left = result.chunks.where(any_left).select("doc_id", "chunk_no", F.explode(present).alias("x"))
+    left = result.chunks.where(any_left).select("doc_id", "chunk_no", F.explode_outer(present).alias("x"))
     findings = left.select("doc_id", "chunk_no", F.col("x.name_no").alias("name_no"), F.col("x.name").alias("name"))
 
     people = result.dictionary.where(F.col("type") == "person")

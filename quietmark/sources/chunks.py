@@ -23,9 +23,10 @@ def chunk_text(
     if mode not in ("paragraph", "cell"):
         raise ValueError(f"unknown chunk mode: {mode}")
     # A generator in both modes: filters on ``text`` stay above it, and so above
-    # a repartition that spreads a small input over all cores.
+    # a repartition that spreads a small input over all cores.  The outer form,
+    # because the plain one infers a size filter that would split every text twice.
     parts = F.split("text", "\n", -1) if mode == "paragraph" else F.array("text")
-    rows = base.select("doc_id", F.posexplode(parts).alias("pos", "text"))
+    rows = base.select("doc_id", F.posexplode_outer(parts).alias("pos", "text"))
     return rows.where(not_blank(F.col("text"))).select(
         "doc_id", (F.col("pos") + 1).alias("chunk_no"), *_place(F.lit("paragraph")), "text"
     )
@@ -51,7 +52,7 @@ def field_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     cut = F.when(F.contains(line, F.lit(":")), F.instr(line, ":")).otherwise(F.length(line))
     cells = F.array(F.substring(line, F.lit(1), cut), F.substring(line, cut + 1, F.length(line)))
     return (
-        df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("r", "line"))
+        df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode_outer(F.split(text_col, "\n", -1)).alias("r", "line"))
         .select("doc_id", "r", F.posexplode(cells).alias("c", "text"))
         .where(not_blank(F.col("text")))
         .select(
@@ -87,7 +88,7 @@ def page_chunks(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     )
     return (
         df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(scopes).alias("scope", "s"))
-        .select("doc_id", "scope", F.col("s.kind").alias("kind"), F.posexplode(F.transform("s.parts", _tag_text)).alias("pos", "text"))
+        .select("doc_id", "scope", F.col("s.kind").alias("kind"), F.posexplode_outer(F.transform("s.parts", _tag_text)).alias("pos", "text"))
         .select(
             "doc_id",
             # scope first, then position: unique and sortable without a window
