@@ -7,16 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietmark.llm.near_dedup import near_duplicates
 from quietmark.llm.substring_dedup import substring_dedup
 from quietmark.sources.tables import table
 
 
+def op4_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dedup.n_words"), F.col("dedup.n_removed"), F.col("dedup.kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
