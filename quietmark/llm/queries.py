@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.llm.near_dedup import near_duplicates
+from quietmark.llm.packing import pack
 from quietmark.llm.substring_dedup import substring_dedup
 from quietmark.sources.tables import table
 
@@ -22,9 +24,14 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("dedup.n_words"), F.col("dedup.n_removed"), F.col("dedup.kept_sha256"))
 
 
+def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
