@@ -8,17 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietmark.llm import licenses
+from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
 from quietmark.llm.packing import pack
 from quietmark.llm.substring_dedup import substring_dedup
+from quietmark.llm.topk import top_k
+from quietmark.llm.url_filter import judge
 from quietmark.sources.tables import table
 
 
+#: Rules of the URL query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_exact_topk(spark: SparkSession, d: str) -> DataFrame:
+    return top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5, id_col="vec_id", vector_col="embedding", scale=256)
+
+
 def op4_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    out = scan_licenses(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return judge(table(spark, d, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dedup.n_words"), F.col("dedup.n_removed"), F.col("dedup.kept_sha256"))
@@ -29,9 +50,43 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+    for h, p, _ in sorted(URL_RULES, key=lambda r: (-r[0].count("."), -len(r[1])))
+)
+
+SQL: dict[str, str] = {
+    "op1_exact_topk": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+t AS (SELECT r, vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, c.r, sum(q.x * c.x)::BIGINT AS score FROM t q JOIN t c USING (i)
+  WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, q.r, c.vec_id, c.r)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op6_license_scan": licenses.oracle(),
+    "op8_url_filter": f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+j AS (SELECT *, CASE {_FITS} END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{h}{p}'" for h, p, v in URL_RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) > 12),
+g AS (SELECT r, doc_id, i, sha256(array_to_string(ws[i:i + 12], ' ')) AS h FROM p),
+o AS (SELECT h, min(doc_id) AS m FROM g GROUP BY h),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS j FROM g JOIN o USING (h) WHERE m < doc_id),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM d),
+k AS (SELECT r, string_agg(w, ' ' ORDER BY j) AS t FROM w ANTI JOIN x USING (r, j) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM x GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)""",
+}
