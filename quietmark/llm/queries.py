@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietmark.llm import licenses
+from quietmark.llm import language_id, licenses, toxicity
+from quietmark.llm.common import fold
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
 from quietmark.llm.packing import pack
@@ -26,6 +27,31 @@ def op1_exact_topk(spark: SparkSession, d: str) -> DataFrame:
     return top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5, id_col="vec_id", vector_col="embedding", scale=256)
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    remainder = fold(F.col("doc_id"), 5)
+    model = language_id.fit(docs.where(remainder != 0))
+    out = docs.select("doc_id", (remainder == 0).alias("held_out"), language_id.identify(F.col("text"), model).alias("p"))
+    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("p.lang").alias("lang_pred"), "p.score", "p.rejected")
+
+
+def one_label(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """One row a labelled document: 1 where at least half of its non-null labels are."""
+    labels = table(spark, d, "labels").where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
+    return labels.groupBy("doc_id").agg((F.avg(name) >= 0.5).cast("long").alias("label"))
+
+
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    remainder = fold(F.col("doc_id"), 3)
+    labels = one_label(spark, d, "toxic").where(fold(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs.join(labels, "doc_id"), F.col("label"))
+    out = docs.select("doc_id", (remainder == 1).alias("held_out"), toxicity.score(docs, F.col("text"), model).alias("p"))
+    return out.select(
+        "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "p.score", (F.col("p.score") >= 0.7).cast("int").alias("predicted"), "p.passages"
+    )
+
+
 def op4_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -51,6 +77,8 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_license_scan": op6_license_scan,
     "op8_url_filter": op8_url_filter,

@@ -106,9 +106,15 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, at)
-        self.hash = self._hashes(b, fold)
+        self._bytes, self._fold = b, fold
+        self.hash = self._hashes(self.end)
 
-    def _hashes(self, b: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    def stems(self, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word (of the whole word, if it is shorter)."""
+        return self._hashes(np.minimum(self.end, self.start + n))
+
+    def _hashes(self, end: np.ndarray) -> np.ndarray:
+        b, fold = self._bytes, self._fold
         out = np.empty(len(self.start), np.uint64)
         lo = 0
         while lo < len(self.start):  # long texts in pieces of whole words
@@ -122,7 +128,7 @@ class Words:
             values *= up[: len(piece)]
             np.cumsum(values, out=total[1:])
             s = self.start[lo:hi] - s0
-            out[lo:hi] = (total[self.end[lo:hi] - s0] - total[s]) * down[s]
+            out[lo:hi] = (total[end[lo:hi] - s0] - total[s]) * down[s]
             lo = hi
         return mix(out)
 
