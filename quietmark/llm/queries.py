@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietmark.llm import language_id, licenses, toxicity
-from quietmark.llm.common import fold
+from quietmark.llm import language_id, licenses, quality, toxicity
+from quietmark.llm.common import attach, fold
+from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
 from quietmark.llm.packing import pack
@@ -45,7 +46,7 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     remainder = fold(F.col("doc_id"), 3)
     labels = one_label(spark, d, "toxic").where(fold(F.col("doc_id"), 3) != 1)
-    model = toxicity.fit(docs.join(labels, "doc_id"), F.col("label"))
+    model = toxicity.fit(attach(docs, labels, ["doc_id"], "inner", 24), F.col("label"))
     out = docs.select("doc_id", (remainder == 1).alias("held_out"), toxicity.score(docs, F.col("text"), model).alias("p"))
     return out.select(
         "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "p.score", (F.col("p.score") >= 0.7).cast("int").alias("predicted"), "p.passages"
@@ -57,11 +58,33 @@ def op4_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, d: str) -> quality.Model:
+    """Learned from the labels of documents whose crc32(doc_id as text) modulo 5 is not 0; the others test it."""
+    labels = one_label(spark, d, "quality").where(fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("_labelled"), F.col("label").alias("_label"))
+    named = docs.withColumn("_labelled", F.col("doc_id").cast("long"))
+    return quality.fit(attach(named, labels, ["_labelled"], "left", 24), F.col("_label"))
+
+
+def op5_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality_model(spark, docs, d)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    out = docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("p"))
+    return out.select("doc_id", "held_out", "p.score", (F.col("p.score") >= quality.KEEP_FROM).alias("kept"), "p.text_score", "p.meta_score")
+
+
 def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
     out = scan_licenses(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    out = find_overlaps(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    dirty = F.size("contamination") > 0
+    items = F.array_distinct(F.col("contamination.item_id"))
+    return out.select("doc_id", dirty.alias("contaminated"), (~dirty).alias("kept"), items.alias("item_ids"), "contamination")
+
+
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return judge(table(spark, d, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -80,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_license_scan": op6_license_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -59,6 +59,15 @@ FOLD_CASE = KEEP_CASE.copy()
 FOLD_CASE[0x41:0x5B] += 32
 
 
+def fold_accents(b: np.ndarray) -> np.ndarray:
+    """A copy with the upper-case letters of UTF-8's Latin-1 block in lower case."""
+    out = b.copy()
+    at = np.flatnonzero(b[:-1] == 0xC3) + 1
+    at = at[(b[at] >= 0x80) & (b[at] <= 0x9E) & (b[at] != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and the ``n + 1`` offsets of a string column; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
