@@ -163,7 +163,7 @@ def _look(shared):
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stages: Stages | None = None) -> DataFrame:
     """``docs`` with a column ``contamination``: the overlaps of each text, an empty list for a clean one."""
     stages = stages or Stages(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).try_cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     items = stages.save(items.withColumn("number", F.monotonically_increasing_id()))
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_WORDS))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.llm import language_id, licenses, quality, toxicity
-from quietmark.llm.common import attach, fold
+from quietmark.llm.common import attach, fold, fresh
 from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
@@ -60,9 +60,10 @@ def op4_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, docs: DataFrame, d: str) -> quality.Model:
     """Learned from the labels of documents whose crc32(doc_id as text) modulo 5 is not 0; the others test it."""
-    labels = one_label(spark, d, "quality").where(fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("_labelled"), F.col("label").alias("_label"))
-    named = docs.withColumn("_labelled", F.col("doc_id").cast("long"))
-    return quality.fit(attach(named, labels, ["_labelled"], "left", 24), F.col("_label"))
+    key, label = fresh("labelled"), fresh("label")
+    labels = one_label(spark, d, "quality").where(fold(F.col("doc_id"), 5) != 0).toDF(key, label)
+    named = docs.withColumn(key, F.col("doc_id").try_cast("long"))
+    return quality.fit(attach(named, labels, [key], "left", 24), F.col(label))
 
 
 def op5_quality_classifier(spark: SparkSession, d: str) -> DataFrame:

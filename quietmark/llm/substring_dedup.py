@@ -210,7 +210,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = shard_count(docs, text_col)
     base = min(BASE, (window + 1) // 2)
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text")
+        F.col(id_col).try_cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text")
     )
     found, before = None, None
     lengths = [None, *levels(window, base)]
@@ -274,6 +274,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = repeated_runs(docs, id_col, text_col, window, stages)
     key, tag, spans = fresh("id"), fresh("tag"), fresh("runs")
     runs = runs.select(F.col("id").alias(key), F.col("tag").alias(tag), F.col("runs").alias(spans))
-    keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(tag, row_tag(F.col(text_col)))
+    keyed = docs.withColumn(key, F.col(id_col).try_cast("long")).withColumn(tag, row_tag(F.col(text_col)))
     joined = attach(keyed, runs, [key, tag], "left", 24 + 4 * F.size(spans))
     return joined.withColumn("dedup", removal(F.col(text_col), F.col(spans), window)).drop(key, tag, spans)

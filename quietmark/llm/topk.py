@@ -87,9 +87,9 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "vec", scale: int = 256, stages: Stages | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows for which ``is_query`` holds (it may read any input column)."""
     stages = stages or Stages(vectors.sparkSession)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), weights(F.col(vector_col), scale).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = vectors.select(F.col(id_col).try_cast("long").alias("vec_id"), weights(F.col(vector_col), scale).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"))
     # The number of a row in its scan: the same whenever the scan is repeated, and even over blocks.
-    rows = stages.save(rows.where("w is not null").withColumn("number", F.monotonically_increasing_id()))
+    rows = stages.save(rows.where("w is not null and vec_id is not null").withColumn("number", F.monotonically_increasing_id()))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     deal = lambda d, own, other, m, r: d.withColumn(own, F.pmod(F.xxhash64("number"), F.lit(m))).withColumn(other, F.explode(F.expr(f"sequence(0L, {r - 1}L)")))
