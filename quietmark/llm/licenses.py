@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits and of other scripts' characters.
 The corpus gives the document frequency of every template word; the ``RARE``
-rarest words of a template (the highest IDF; ties by the word) are its index
-entries, with their places in the template.  In a file, every occurrence of an
+rarest words of a template that occur at all (the highest IDF; ties by the word)
+are its index entries, with their places in the template.  In a file, every occurrence of an
 index entry proposes a start for the template; a start holds if at least
 ``AGREE`` entries stand at their relative places and all words of the
 template's key phrases do.  Its coverage is the share of all template words in
@@ -78,7 +78,7 @@ def frequencies(words: DataFrame, column: str, templates: Sequence[tuple[str, st
 def rare_words(template: str, frequency: dict[str, int]) -> list[tuple[str, int]]:
     """The template's index entries: (word, place of its first occurrence)."""
     t = template.split()
-    return [(w, t.index(w)) for w in sorted(set(t), key=lambda w: (frequency[w], w))[:RARE]]
+    return [(w, t.index(w)) for w in sorted(set(t), key=lambda w: (not frequency[w], frequency[w], w))[:RARE]]
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -176,7 +176,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coa
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d),
 f AS (SELECT v.w, count(DISTINCT w.r) AS n FROM (SELECT DISTINCT w FROM tpl) v LEFT JOIN w ON w.w = v.w GROUP BY v.w),
-entry AS (SELECT t, w, p FROM (SELECT t, w, p, row_number() OVER (PARTITION BY t ORDER BY n, w) AS k
+entry AS (SELECT t, w, p FROM (SELECT t, w, p, row_number() OVER (PARTITION BY t ORDER BY n = 0, n, w) AS k
   FROM (SELECT t, w, min(i) AS p FROM tpl GROUP BY t, w) JOIN f USING (w)) WHERE k <= {RARE}),
 start AS (SELECT r, t, pos - p AS s FROM w JOIN entry USING (w) GROUP BY ALL HAVING count(*) >= {AGREE}),
 fit AS (SELECT s.r, s.t, s.s, tpl.label, count(w.pos) AS m, count(*) AS n, bool_and(NOT tpl.key OR w.pos IS NOT NULL) AS ok
