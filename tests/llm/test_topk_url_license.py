@@ -75,7 +75,7 @@ def test_license_scan(spark):
     assert r[2].base_labels == "cc-by" and r[2].labels == "cc-by,cc-by-nc"
     assert all((r[i].n_base, r[i].first_word, r[i].labels, r[i].score) == (0, None, "", 0.0) for i in (3, 4, 5, 9, 10))
     assert (r[6].n_words, r[6].n_base, r[6].first_word, r[6].last_word, r[6].labels) == (21_500, 300, 20_003, 20_003 + 299 * 5, "mit")
-    assert r[7].base_labels == "" and r[7].labels == "mit" and 0.8 < r[7].score < 1
+    assert r[7].base_labels == "" and r[7].labels == "mit" and r[7].score == 0.75
     assert r[8].labels == "lgpl" and r[11].n_base == 1 and r[0].found == 3
     assert scan_licenses(df.limit(0)).count() == 0
 
