@@ -52,8 +52,16 @@ def placeholder(kind: Column, n: Column, overflow: bool = True) -> Column:
     return text
 
 
-def hashed_placeholder(kind: Column, key: Column, secret: str = "") -> Column:
-    """Token that depends on type and key only: no dictionary, no order."""
-    digest = F.sha2(F.concat_ws("\u001f", F.lit(secret), kind, key), 256)
+def hashed_placeholder(kind: Column, key: Column, secret: str) -> Column:
+    """Token that depends on type, key and secret only: no dictionary, no order.
+
+    The digest is keyed inside and outside, so a token can neither be guessed by
+    hashing all possible values nor extended; its decimal digits are written as
+    letters, so no detector takes a part of a token for a number.
+    """
+    if not secret:
+        raise ValueError("a secret is needed: unkeyed digests of short values can be reversed by trying all values")
+    inner = F.sha2(F.concat_ws("\u001f", F.lit(f"{secret}.inner"), kind, key), 256)
+    digest = F.translate(F.sha2(F.concat_ws("\u001f", F.lit(f"{secret}.outer"), inner), 256), "0123456789", "ghijklmnop")
     token = F.concat(F.lit("["), F.upper(kind), F.lit("-"), F.substring(digest, 1, 32), F.lit("]"))
     return F.when(kind == "dob", F.lit(TEMPLATES["dob"])).otherwise(token)

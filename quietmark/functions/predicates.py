@@ -69,7 +69,7 @@ def looks_like_person(
     value: Column,
     generic=V.GENERIC_WORDS,
     non_person=V.NON_PERSON_WORDS,
-    phrases=V.NON_PERSON_PHRASES,
+    phrases=(),
 ) -> Column:
     """At least two words, all of them name-shaped and none on a rejecting list."""
 
@@ -81,7 +81,7 @@ def looks_like_person(
         )
         return (
             F.when(F.size(words) < 2, False)
-            .when(F.array_contains(literals(phrases), flat), False)
+            .when(F.array_contains(literals(phrases), flat) if phrases else F.lit(False), False)
             .otherwise(
                 let(
                     lettered,

@@ -60,7 +60,7 @@ class Rules:
     known_names: tuple[str, ...] = ()
     generic_words: tuple[str, ...] = V.GENERIC_WORDS
     non_person_words: tuple[str, ...] = V.NON_PERSON_WORDS
-    non_person_phrases: tuple[str, ...] = V.NON_PERSON_PHRASES
+    non_person_phrases: tuple[str, ...] = ()
     only: tuple[str, ...] = field(default=())  # detector ids, all when empty
 
 

@@ -12,6 +12,7 @@ from quietmark.functions import vocab as V
 from quietmark.functions.phones import DEFAULT_COUNTRY, NUMBERING_PLAN
 from quietmark.plans.queries import NAMES, SECRET, TURN_ID_BASE
 from quietmark.sources.cards import cards_sql
+from quietmark.sources.chunks import BLOCK_TAGS, ENTITIES, FORMAT_TAGS, HIDDEN
 
 
 def q(s: str) -> str:
@@ -125,12 +126,10 @@ def clean(v: str) -> str:
 
 def person(v: str) -> str:
     """Name test over an already cleaned value."""
-    flat = strip(f"regexp_replace(regexp_replace(lower({v}), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')")
     lettered = f"list_filter(list_transform({words_of(v)}, lambda w: regexp_replace(w, '[^A-Za-z''-]', '', 'g')), lambda w: w <> '')"
     banned = array(sorted(set(V.NON_PERSON_WORDS) | set(V.GENERIC_WORDS)))
     return (
-        f"(len({words_of(v)}) >= 2 AND NOT list_contains({array(V.NON_PERSON_PHRASES)}, {flat}) "
-        f"AND len({lettered}) >= 2 "
+        f"(len({words_of(v)}) >= 2 AND len({lettered}) >= 2 "
         f"AND NOT list_has_any(list_transform({lettered}, lambda w: lower(w)), {banned}) "
         f"AND len(list_filter({lettered}, lambda w: NOT regexp_full_match(w, '[A-Za-z][A-Za-z''-]*'))) = 0)"
     )
@@ -297,9 +296,10 @@ def redacted_ctes(detectors=DETECTORS + NAME_LISTS, chunks: str = CELLS, scope:
 
 CHUNK_COLUMNS = "doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, redacted_text, CAST(n_redactions AS BIGINT) AS n_redactions"
 
+_INNER = f"sha256({q(SECRET + '.inner')} || chr(31) || type || chr(31) || norm_key)"
 HASHED = (
     "CASE WHEN type = 'dob' THEN '01 January 1990' ELSE '[' || upper(type) || '-' || "
-    f"substring(sha256({q(SECRET)} || chr(31) || type || chr(31) || norm_key), 1, 32) || ']' END"
+    f"substring(translate(sha256({q(SECRET + '.outer')} || chr(31) || {_INNER}), '0123456789', 'ghijklmnop'), 1, 32) || ']' END"
 )
 
 
@@ -413,29 +413,32 @@ def inventory_sql(source: str = "chunks", location: str = "'paragraph'", only: t
     return "\nUNION ALL ".join(parts[c] for c in (only or parts))
 
 
-def _scope(number: int, kind: str, text: str, pattern: str) -> str:
-    return f"SELECT page_id AS doc_id, {number} AS scope, '{kind}' AS kind, regexp_extract_all({text}, {q(pattern)}, 1) AS parts FROM bodies"
+_PLAIN = f"regexp_replace(regexp_replace(part, {q(f'(?i)</?(?:{FORMAT_TAGS})' + chr(92) + 'b[^>]*>')}, '', 'g'), '<[^>]*>', ' ', 'g')"
+for _e, _c in ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, {q(_e)}, {q(_c)})"
+_SHOWN = "coalesce(html, '')"
+for _h in HIDDEN:
+    _SHOWN = f"regexp_replace({_SHOWN}, {q(_h)}, ' ', 'g')"
 
 
-_BODY = "html"
-for _tag in ("nav", "header", "footer", "script", "style"):
-    # no back-references in RE2: one pass per element
-    _BODY = f"regexp_replace({_BODY}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+def _sum(*tags: str, minus: tuple[str, ...] = ()) -> str:
+    return f"sum(CASE WHEN tag IN ({', '.join(map(q, tags))}) THEN 1 WHEN tag IN ({', '.join(map(q, minus)) or 'NULL'}) THEN -1 ELSE 0 END) OVER w"
+
+
+def _last(value: str, *tags: str) -> str:
+    return f"coalesce(max(CASE WHEN tag IN ({', '.join(map(q, tags))}) THEN {value} END) OVER w, 0)"
 
-_PLAIN = "regexp_replace(parts[i], '<[^>]*>', ' ', 'g')"
-for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-    _PLAIN = f"replace({_PLAIN}, {q(_e)}, {q(_c)})"
 
-PAGES = f"""bodies AS (SELECT page_id, html, {_BODY} AS body FROM pages),
-scopes AS (
-  {_scope(0, 'paragraph', 'body', r'(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>')}
-  UNION ALL {_scope(1, 'cell', 'body', r'(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>')}
-  UNION ALL {_scope(2, 'header', 'html', r'(?is)<(?:nav|header)\b[^>]*>(.*?)</(?:nav|header)>')}
-  UNION ALL {_scope(3, 'footer', 'html', r'(?is)<footer\b[^>]*>(.*?)</footer>')}),
-page_chunks AS MATERIALIZED (
-  SELECT * FROM (SELECT doc_id, scope * 100000000 + i AS chunk_no, kind, {strip(_PLAIN)} AS text FROM scopes, unnest(range(1, len(parts) + 1)) t(i)) x
-  WHERE text <> '')"""
-PAGE_LOCATION = "CASE WHEN kind = 'cell' THEN 'table 1, row 1, column 1' WHEN kind IN ('header', 'footer') THEN 'section 1 ' || kind ELSE 'paragraph' END"
+PAGES = f"""split_pages AS (SELECT page_id AS doc_id, string_split(regexp_replace({_SHOWN}, {q(f'(?i)(</?(?:{BLOCK_TAGS})' + chr(92) + 'b)')}, chr(1) || '\\1', 'g'), chr(1)) AS parts FROM pages),
+page_parts AS (SELECT doc_id, i, parts[i] AS part, lower(regexp_extract(parts[i], '^<(/?[A-Za-z0-9]+)', 1)) AS tag FROM split_pages, unnest(range(1, len(parts) + 1)) t(i)),
+page_counts AS (SELECT *, {_sum('nav', 'header', minus=('/nav', '/header'))} AS head, {_sum('footer', minus=('/footer',))} AS foot,
+  {_last('i', 'td', 'th')} > {_last('i', '/td', '/th', 'tr', '/tr', 'table', '/table')} AS in_cell, {_sum('table')} AS tables, {_sum('tr')} AS trs, {_sum('td', 'th')} AS tds
+  FROM page_parts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+page_places AS (SELECT *, trs - {_last('trs', 'table')} AS row_at, tds - {_last('tds', 'tr', 'table')} AS col_at FROM page_counts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+page_chunks AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i AS chunk_no, {strip(_PLAIN)} AS text,
+  CASE WHEN foot > 0 THEN 'footer' WHEN head > 0 THEN 'header' WHEN in_cell THEN 'cell' ELSE 'paragraph' END AS kind,
+  greatest(1, tables) AS table_no, greatest(1, row_at) AS row_no, greatest(1, col_at) AS col_no FROM page_places) x WHERE text <> '')"""
+PAGE_LOCATION = "CASE WHEN kind = 'cell' THEN 'table ' || table_no || ', row ' || row_no || ', column ' || col_no WHEN kind IN ('header', 'footer') THEN 'section 1 ' || kind ELSE 'paragraph' END"
 
 FIELD_LOCATION = "'table ' || table_no || ', row ' || row_no || ', column ' || col_no"
 FIELD_CHUNKS = f"{FIELDS}, chunks AS (SELECT * FROM fields)"
@@ -556,7 +559,7 @@ SELECT label, CAST(n AS BIGINT) AS n, lpad(CAST(n AS VARCHAR), CAST(greatest(3,
         "important_names": _name_check_query(),
         "keyword_in_context": f"""WITH {BASE}, {CELLS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS "position", value AS found,
 replace(substring(text, greatest(st - 180, 0) + 1, en + 180 - greatest(st - 180, 0)), chr(10), ' ') AS context FROM ({raw_spans('(?i)rahul sharma')}) r""",
-        "structure_counts": f"""WITH {PAGES}, {FIELDS}, u AS (SELECT doc_id, kind, 0 AS table_no, text FROM page_chunks UNION ALL SELECT doc_id, 'cell', table_no, text FROM fields)
+        "structure_counts": f"""WITH {PAGES}, {FIELDS}, u AS (SELECT doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT doc_id, 'cell', table_no, text FROM fields)
 SELECT doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,
 count(*) FILTER (WHERE kind = 'header') AS headers, count(*) FILTER (WHERE kind = 'footer') AS footers, CAST(sum(length(text)) AS BIGINT) AS characters FROM u GROUP BY doc_id""",
         "first_paragraphs": f"""WITH {BASE}, {line_chunks()} SELECT doc_id, CAST(r AS BIGINT) AS rank, substring({strip('text')}, 1, 300) AS head

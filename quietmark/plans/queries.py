@@ -8,6 +8,7 @@ labels may be followed by text on the next line.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -168,14 +169,14 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redacted_hashed(spark: SparkSession, d: str) -> DataFrame:
-    done = redact_hashed(lines(spark, d), LISTED, SECRET)
+    done = redact_hashed(lines(spark, d), LISTED, secret=SECRET)
     return done.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
 
 
 def stream_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The hashed redaction as a stream over the documents file."""
-    out = f"{stage_root(spark).rstrip('/')}/quietmark-stream-{abs(hash((d, spark.sparkContext.applicationId)))}"
-    stream = redact_stream(read_texts(spark, f"{d.rstrip('/')}/documents*.parquet"), LISTED, secret=SECRET)
+    out = f"{stage_root(spark).rstrip('/')}/quietmark-stream-{uuid.uuid4().hex}"  # fresh in every run
+    stream = redact_stream(read_texts(spark, f"{d.rstrip('/')}/documents.parquet*"), LISTED, secret=SECRET)
     write_stream(stream, f"{out}/rows", f"{out}/offsets").awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
     return rows.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
@@ -209,6 +210,7 @@ def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
         rows.rollup("type")
         .agg(F.count("*").alias("n"))
         .select(F.coalesce("type", F.lit("total")).alias("type"), "n")
+        .orderBy("type")
     )
 
 

@@ -8,6 +8,7 @@ the dictionary.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,15 +32,15 @@ class Redaction:
     dictionary: DataFrame  # type, norm_key, first, uses, n, replacement
 
 
-def _redacted_columns(spans: Column) -> dict[str, Column]:
+def _redacted_columns(spans: Column, text_col: str = "text") -> dict[str, Column]:
     return {
-        "redacted_text": splice(F.col("text"), spans),
+        "redacted_text": splice(F.col(text_col), spans),
         "n_redactions": F.coalesce(F.size(spans), F.lit(0)).cast("bigint"),
     }
 
 
-def _unchanged(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumns({"redacted_text": F.col("text"), "n_redactions": F.lit(0).cast("bigint")})
+def _unchanged(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    return chunks.withColumns({"redacted_text": F.col(text_col), "n_redactions": F.lit(0).cast("bigint")})
 
 
 def find_merged(chunks: DataFrame, rules: Rules = STRICT, extra: DataFrame | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def redact(
     return Redaction(busy.unionByName(quiet), findings, dictionary)
 
 
-def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, secret: str = "") -> DataFrame:
+def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, *, secret: str) -> DataFrame:
     """Redaction with tokens derived from each value: one narrow pass, no shuffle.
 
     Equal values get equal tokens in every run and stream, so no dictionary is
@@ -134,17 +135,17 @@ def redact_documents(
     the replacements (not the lines) are grouped per document, moved to
     document offsets and spliced once.
     """
-    kept = [c for c in docs.columns if c != "text"]
-    base = docs.select(*kept, F.explode(F.array(text_col)).alias("text"))
+    whole = f"_text_{uuid.uuid4().hex[:8]}"
+    base = docs.select("*", F.explode(F.array(text_col)).alias(whole))
     result = redact(chunk_text(docs, id_col, text_col), rules, numbering)
     per_doc = result.findings.groupBy(F.col("doc_id").alias("_doc")).agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "st", "en", "replacement"))).alias("found")
     )
     # A match inside a line is a match in the whole text too, so this filter
     # keeps every document that has a busy line.
-    suspects = base.where(has_candidates(F.col("text"), rules))
+    suspects = base.where(has_candidates(F.col(whole), rules))
     busy = suspects.join(per_doc, suspects[id_col] == F.col("_doc"), "left").drop("_doc")
-    lines = F.split("text", "\n", -1)
+    lines = F.split(whole, "\n", -1)
     ends = running(F.transform(lines, lambda x: F.length(x) + 1), "sum")
     busy = busy.withColumn("ends", F.when(F.col("found").isNotNull(), ends))
     moved = F.transform(
@@ -155,7 +156,7 @@ def redact_documents(
             s["replacement"].alias("replacement"),
         ),
     )
-    busy = busy.withColumn("replaced", moved).withColumns(_redacted_columns(F.col("replaced")))
-    keep = [*docs.columns, "redacted_text", "n_redactions"]
-    quiet = _unchanged(base.where(~has_candidates(F.col("text"), rules)))
+    busy = busy.withColumn("replaced", moved).withColumns(_redacted_columns(F.col("replaced"), whole))
+    keep = [*(c for c in docs.columns if c not in ("redacted_text", "n_redactions")), "redacted_text", "n_redactions"]
+    quiet = _unchanged(base.where(~has_candidates(F.col(whole), rules)), whole)
     return busy.select(*keep).unionByName(quiet.select(*keep))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.functions.text import extract_all, not_blank, strip
+from quietmark.functions.text import not_blank, running, strip
 
 CHUNK_KEY = ("doc_id", "chunk_no")
 
@@ -64,42 +64,74 @@ def field_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+#: Elements that begin and end a chunk, and formatting inside a word.
+BLOCK_TAGS = (
+    "html|head|title|body|main|article|section|aside|nav|header|footer|div|p|h[1-6]|ul|ol|li|dl|dt|dd|table|caption|thead|tbody|tfoot|tr|td|th"
+    "|blockquote|pre|hr|form|fieldset|legend|label|button|select|option|textarea|figure|figcaption|address|details|summary|noscript|iframe"
+)
+FORMAT_TAGS = "b|i|u|s|em|strong|span|font|small|big|mark|sub|sup|wbr|ins|del|tt"
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#64;", "@"), ("&commat;", "@"), ("&nbsp;", " "),
+    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"),
+    ("&amp;", "&"),  # last, so that nothing is decoded twice
+)
+HIDDEN = (r"(?s)<!--.*?(?:-->|\z)", r"(?is)<script\b.*?(?:</script\s*>|\z)", r"(?is)<style\b.*?(?:</style\s*>|\z)")
+MARK = "\u0001"
+
+
 def _tag_text(fragment: Column) -> Column:
-    plain = F.regexp_replace(fragment, "<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    plain = F.regexp_replace(fragment, rf"(?i)</?(?:{FORMAT_TAGS})\b[^>]*>", "")
+    plain = F.regexp_replace(plain, "<[^>]*>", " ")
+    for entity, char in ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     return strip(plain)
 
 
 def page_chunks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Profiling scope of web pages: body text, table cells, header and footer.
-
-    ``<p>`` and ``<li>`` are paragraphs, ``<td>``/``<th>`` cells, ``<nav>`` and
-    ``<header>`` the section header, ``<footer>`` the section footer.  Text is
-    trimmed, blank chunks are dropped, and numbers follow scope then position.
+    """All text of web pages, each piece in exactly one chunk, in document order.
+
+    Comments, scripts and styles are hidden; everything else is text.  A page is
+    cut before every block tag, so headings, list items, plain ``div`` text and
+    text between elements are chunks of their own, closed or not.  Inside ``nav``
+    or ``header`` a chunk is the section header, inside ``footer`` the section
+    footer; after a ``td`` or ``th`` and before the end of its cell, row or table
+    it is a cell, with its table, row and column counted over the page.  All else
+    is a paragraph.  Text is trimmed, blank chunks are dropped.
     """
-    html = F.col(html_col)
-    body = F.regexp_replace(html, r"(?is)<(nav|header|footer|script|style)\b.*?</\1>", " ")
-    scopes = F.array(
-        F.struct(F.lit("paragraph").alias("kind"), extract_all(body, r"(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>", 1).alias("parts")),
-        F.struct(F.lit("cell").alias("kind"), extract_all(body, r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", 1).alias("parts")),
-        F.struct(F.lit("header").alias("kind"), extract_all(html, r"(?is)<(?:nav|header)\b[^>]*>(.*?)</(?:nav|header)>", 1).alias("parts")),
-        F.struct(F.lit("footer").alias("kind"), extract_all(html, r"(?is)<footer\b[^>]*>(.*?)</footer>", 1).alias("parts")),
-    )
-    return (
-        df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(scopes).alias("scope", "s"))
-        .select("doc_id", "scope", F.col("s.kind").alias("kind"), F.posexplode_outer(F.transform("s.parts", _tag_text)).alias("pos", "text"))
-        .select(
-            "doc_id",
-            # scope first, then position: unique and sortable without a window
-            (F.col("scope") * 100_000_000 + F.col("pos") + 1).cast("int").alias("chunk_no"),
-            "kind",
-            F.lit(None).cast("int").alias("table_no"),
-            F.lit(None).cast("int").alias("row_no"),
-            F.lit(None).cast("int").alias("col_no"),
-            "text",
-        )
-        .where(F.col("text") != "")
+    shown = F.replace(F.coalesce(F.col(html_col), F.lit("")), F.lit(MARK), F.lit(" "))
+    for hidden in HIDDEN:
+        shown = F.regexp_replace(shown, hidden, " ")
+    parts = F.split(F.regexp_replace(shown, rf"(?i)(</?(?:{BLOCK_TAGS})\b)", f"{MARK}$1"), MARK, -1)
+    cut = df.select(F.col(id_col).cast("bigint").alias("doc_id"), parts.alias("parts"))
+    tags = F.transform("parts", lambda x: F.lower(F.regexp_extract(x, r"^<(/?[A-Za-z0-9]+)", 1)))
+    cut = cut.withColumn("tags", tags)
+
+    def steps(up: tuple[str, ...], down: tuple[str, ...] = ()) -> Column:
+        one = lambda t: F.when(t.isin(*up), 1).otherwise(F.when(t.isin(*down), -1).otherwise(0) if down else 0)
+        return running(F.transform("tags", one), "sum")
+
+    def latest(*names: str) -> Column:
+        """Number of the last such tag so far, from 1."""
+        return running(F.transform("tags", lambda t, i: F.when(t.isin(*names), i + 1).otherwise(0)), "max")
+
+    def so_far(count: str, at: tuple[str, ...]) -> Column:
+        """What ``count`` was at the last of the tags ``at``."""
+        return running(F.transform(F.arrays_zip("tags", count), lambda x: F.when(x["tags"].isin(*at), x[count]).otherwise(0)), "max")
+
+    cut = cut.withColumns({
+        "head": steps(("nav", "header"), ("/nav", "/header")), "foot": steps(("footer",), ("/footer",)),
+        "opened": latest("td", "th"), "ended": latest("/td", "/th", "tr", "/tr", "table", "/table"),
+        "tables": steps(("table",)), "rows": steps(("tr",)), "cells": steps(("td", "th")),
+    })
+    cut = cut.withColumns({"rows_before": so_far("rows", ("table",)), "cells_before": so_far("cells", ("tr", "table"))})
+    texts = cut.withColumn("texts", F.transform("parts", _tag_text))
+    fields = ("texts", "head", "foot", "opened", "ended", "tables", "rows", "cells", "rows_before", "cells_before")
+    rows = texts.select("doc_id", F.posexplode_outer(F.arrays_zip(*fields)).alias("pos", "x")).where(F.col("x.texts") != "")
+    cell = F.col("x.opened") > F.col("x.ended")
+    kind = F.when(F.col("x.foot") > 0, "footer").when(F.col("x.head") > 0, "header").when(cell, "cell").otherwise("paragraph")
+    at = lambda n, before=None: F.when(kind == "cell", F.greatest(F.lit(1), F.col(f"x.{n}") - (F.col(f"x.{before}") if before else 0)))
+    return rows.select(
+        "doc_id", (F.col("pos") + 1).alias("chunk_no"), *_place(kind, at("tables"), at("rows", "rows_before"), at("cells", "cells_before")), F.col("x.texts").alias("text")
     )
 
 

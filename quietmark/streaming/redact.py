@@ -20,8 +20,8 @@ def read_texts(spark: SparkSession, folder: str, schema: str = "doc_id bigint, t
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def redact_stream(texts: DataFrame, rules: Rules = STRICT, mode: str = "paragraph", secret: str = "") -> DataFrame:
-    return redact_hashed(chunk_text(texts, mode=mode), rules, secret)
+def redact_stream(texts: DataFrame, rules: Rules = STRICT, mode: str = "paragraph", *, secret: str) -> DataFrame:
+    return redact_hashed(chunk_text(texts, mode=mode), rules, secret=secret)
 
 
 def write_stream(redacted: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

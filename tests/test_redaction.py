@@ -1,10 +1,13 @@
 """Whole flows on small fixtures: numbering, idempotence, sweeps, streams."""
 
 import random
+import re
 import zipfile
 from collections import defaultdict
 from dataclasses import replace
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import redact, redact_documents, redact_hashed
 from quietmark.sources.cards import contact_cards
 from quietmark.sources.chunks import assemble, chunk_text, location, page_chunks, redaction_scope
+from quietmark.sources.tables import table
 from quietmark.sources.sinks import write_inventory, write_redacted
 from quietmark.sources.word import word_chunks
 from quietmark.streaming.redact import read_texts, redact_stream, write_stream
@@ -128,13 +132,36 @@ def test_hashed_tokens_are_stable(spark):
     assert two == f"see {one}" and one.startswith("[EMAIL-")
 
 
+def test_hashed_tokens_are_left_alone(spark):
+    """Ten thousand values of every kind, redacted again and again."""
+    rows = spark.range(10_000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("mail u"), "id", F.lit("@x.io, call +91 98765 "), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit(", ssn 123-45-"), F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")).alias("text"),
+    )
+    once = redact_hashed(chunk_text(rows), secret="k").select("doc_id", F.col("redacted_text").alias("text"), "n_redactions")
+    again = redact_hashed(chunk_text(once), secret="k")
+    assert once.agg(F.min("n_redactions")).first()[0] == 3
+    assert again.where("n_redactions > 0").count() == 0
+
+
+def test_a_secret_is_required(spark):
+    with pytest.raises(ValueError, match="secret"):
+        redact_hashed(chunk_text(docs(spark, "a@x.io")), secret="")
+
+
+def test_another_text_column_leaves_text_alone(spark):
+    df = spark.createDataFrame([(1, "keep me", "mail a@x.io"), (2, "keep", "quiet")], "doc_id bigint, text string, body string")
+    rows = redact_documents(df, text_col="body").orderBy("doc_id").collect()
+    assert [(r["text"], r["body"], r["redacted_text"]) for r in rows] == [("keep me", "mail a@x.io", "mail person1@example.com"), ("keep", "quiet", "quiet")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     texts = docs(spark, *[f"line {i}\nmail u{i % 3}@x.io\nquiet" for i in range(20)])
     texts.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = redact_stream(read_texts(spark, str(tmp_path / "in")), STRICT, secret="k")
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
     key = ["doc_id", "chunk_no", "redacted_text", "n_redactions"]
-    batch = redact_hashed(chunk_text(texts), STRICT, "k").select(*key)
+    batch = redact_hashed(chunk_text(texts), STRICT, secret="k").select(*key)
     got = spark.read.parquet(str(tmp_path / "out")).select(*key)
     assert got.count() == 60 and got.exceptAll(batch).count() == 0
 
@@ -242,11 +269,61 @@ def test_review(spark):
     assert status["Rahul Sharma"] == "STILL PRESENT" and status["Priya Nair"] == "REDACTED"
 
 
+class VisibleText(HTMLParser):
+    """Text nodes outside scripts, styles and comments, by an independent parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def squeezed(text):
+    return re.sub(r"\s", "", text)
+
+
+def test_no_text_of_a_page_is_lost(spark):
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    got = {}
+    for r in page_chunks(pages).orderBy("doc_id", "chunk_no").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], "") + squeezed(r["text"])
+    for r in pages.collect():
+        parser = VisibleText()
+        parser.feed(r["html"])
+        parser.close()
+        assert got.get(r["page_id"], "") == squeezed("".join(parser.parts))
+
+
+def test_places_on_a_page(spark):
+    html = """<title>T</title><h1>Call a@b.org</h1><div>ssn <i>123</i>-45-6789<ul><li>one<li>two</ul></div>loose<script>if (a<b) x("</p>")</script>
+<table><tr><th>h1<th>h2<tr><td>a<td>b</table><nav>menu <a href="x">link</a></nav><table><tr><td>out<table><tr><td>in</td></tr></table>rest</td></tr></table>
+<footer><p>f</p></footer>tail<!-- gone --><style>p{}"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "a < b")], "page_id bigint, html string")
+    got = [(r["kind"], r["table_no"], r["row_no"], r["col_no"], r["text"]) for r in page_chunks(pages).where("doc_id = 1").orderBy("chunk_no").collect()]
+    none = (None, None, None)
+    assert got == [
+        ("paragraph", *none, "T"), ("paragraph", *none, "Call a@b.org"), ("paragraph", *none, "ssn 123-45-6789"), ("paragraph", *none, "one"),
+        ("paragraph", *none, "two"), ("paragraph", *none, "loose"), ("cell", 1, 1, 1, "h1"), ("cell", 1, 1, 2, "h2"), ("cell", 1, 2, 1, "a"),
+        ("cell", 1, 2, 2, "b"), ("header", *none, "menu  link"), ("cell", 2, 1, 1, "out"), ("cell", 3, 1, 1, "in"), ("paragraph", *none, "rest"),
+        ("footer", *none, "f"), ("paragraph", *none, "tail"),
+    ]
+    assert [r["text"] for r in page_chunks(pages).where("doc_id > 1").collect()] == ["a < b"]
+
+
 def test_pages_and_sinks(spark, tmp_path):
     html = "<html><header>Top</header><p>A &amp; b <b>c</b></p><ul><li> </li><li>d</li></ul><table><tr><td>e</td></tr></table><footer>End a@x.io</footer>"
     pages = spark.createDataFrame([(1, html)], "page_id bigint, html string")
     got = [(r["location"], r["text"]) for r in page_chunks(pages).select("chunk_no", location().alias("location"), "text").orderBy("chunk_no").collect()]
-    assert got == [("paragraph", "A & b  c"), ("paragraph", "d"), ("table 1, row 1, column 1", "e"), ("section 1 header", "Top"), ("section 1 footer", "End a@x.io")]
+    assert got == [("section 1 header", "Top"), ("paragraph", "A & b c"), ("paragraph", "d"), ("table 1, row 1, column 1", "e"), ("section 1 footer", "End a@x.io")]
     from quietmark.operators.inventory import inventory
 
     write_inventory(inventory(page_chunks(pages)), str(tmp_path / "inv"))
