@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietmark.llm.common import packed, unpacked
 from quietmark.llm.words import FOLD_CASE, NOT_ALNUM, Words, groups, text_bytes
 
 BUCKETS = 1 << 20
@@ -38,7 +39,9 @@ PRIOR = 10.0
 DRIFT = 0.5
 CALIBRATION = 20_000
 SIGNIFICANT = 0.05
+SHARD = 1 << 14
 SEED = 11
+COUNTED = "kind int, shard int, one binary, many binary, n binary, bad binary, y binary"
 
 
 class Counts(NamedTuple):
@@ -65,7 +68,7 @@ def _tokens(buf: np.ndarray, at: np.ndarray):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by bucket; kind 0 words, 1 stems, 2 the documents themselves."""
+    """A task's documents by bucket, packed: kind 0 words, 1 stems (by shard), 2 the documents themselves."""
     table = np.zeros((2, 2, BUCKETS), np.int32)
     seen = np.zeros(2, np.int64)
     for batch in batches:
@@ -80,12 +83,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit, bad = once % BUCKETS, toxic[lo + once // BUCKETS] > 0
                 np.add.at(table[kind, 0], hit, 1)
                 np.add.at(table[kind, 1], hit[bad], 1)
+    rows = [(2, 0, b"", b"", packed(seen[:1], np.int64), b"", packed(seen[1:], np.int64))]
     for kind in (0, 1):
-        b = np.flatnonzero(table[kind, 0])
-        for part in np.array_split(b, max(1, len(b) // 50_000)):
-            cells = [np.full(len(part), kind), part, table[kind, 0, part], table[kind, 1, part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells], names=["kind", "bucket", "n", "y"])
-    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (2, 0, int(seen[0]), int(seen[1]))], names=["kind", "bucket", "n", "y"])
+        for shard, (n, y) in enumerate(table[kind].reshape(2, -1, SHARD).transpose(1, 0, 2)):
+            many, bad = np.flatnonzero(n > 1), np.flatnonzero(y)
+            rows.append((kind, shard, packed(np.flatnonzero(n == 1), np.uint16), packed(many, np.uint16), packed(n[many], np.int32), packed(bad, np.uint16), packed(y[bad], np.int32)))
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in COUNTED.split(", ")])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One shard of one table, added up while its parts stream by."""
+    total, key = np.zeros((2, SHARD), np.int64), None
+    for batch in batches:
+        for r in batch.to_pylist():
+            key = (r["kind"], r["shard"])
+            if r["kind"] == 2:
+                total[:, 0] += [unpacked(r["n"], np.int64)[0], unpacked(r["y"], np.int64)[0]]
+                continue
+            total[0, unpacked(r["one"], np.uint16)] += 1
+            total[0, unpacked(r["many"], np.uint16)] += unpacked(r["n"], np.int32)
+            total[1, unpacked(r["bad"], np.uint16)] += unpacked(r["y"], np.int32)
+    arrays = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([packed(t, np.float32 if key[0] < 2 else np.int64)], pa.binary()) for t in total)]
+    yield pa.RecordBatch.from_arrays(arrays, names=["kind", "shard", "n", "y"])
 
 
 def token_scores(c: Counts, word: np.ndarray, stem: np.ndarray, own: int | None = None) -> np.ndarray:
@@ -193,15 +213,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, label: Column, text_col: str = "text") -> Model:
     """Learn from all rows whose ``label`` is 0 or 1.  The driver gets tables and a sample of fixed size."""
     known = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), label.cast("long").alias("toxic")).where("toxic in (0, 1)")
-    rows = known.mapInArrow(_count, "kind long, bucket long, n long, y long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toArrow()
-    kind, bucket, n, y = (rows[c].to_numpy() for c in ("kind", "bucket", "n", "y"))
-    tables = []
-    for k in (0, 1):
-        t = np.zeros((2, BUCKETS), np.float32)
-        at = kind == k
-        t[0, bucket[at]], t[1, bucket[at]] = n[at], y[at]
-        tables.append(t)
-    counts = Counts(*tables, int(n[kind == 2].sum()), int(y[kind == 2].sum()))
+    rows = known.mapInArrow(_count, COUNTED).groupBy("kind", "shard").applyInArrow(_add, "kind int, shard int, n binary, y binary").collect()
+    tables, seen = np.zeros((2, 2, BUCKETS), np.float32), np.zeros(2, np.int64)
+    for r in rows:  # the two tables, in shards
+        if r["kind"] == 2:
+            seen = np.array([unpacked(r["n"], np.int64)[0], unpacked(r["y"], np.int64)[0]])
+            continue
+        at = slice(r["shard"] * SHARD, (r["shard"] + 1) * SHARD)
+        tables[r["kind"], 0, at], tables[r["kind"], 1, at] = unpacked(r["n"], np.float32), unpacked(r["y"], np.float32)
+    counts = Counts(tables[0], tables[1], int(seen[0]), int(seen[1]))
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 16 MB, whatever the corpus
     share = min(1.0, CALIBRATION / max(counts.documents, 1))
     schema = "toxic long, n long, hist array<long>, scores array<double>"
