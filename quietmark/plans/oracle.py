@@ -75,15 +75,16 @@ def luhn(v: str) -> str:
 
 
 def in_plan(d: str, country: str | None = None) -> str:
-    tests = []
+    tests, alike = [], {}
     for cc, _, lo, hi, lead in NUMBERING_PLAN:
         if country is None:
-            tests.append(
-                f"(starts_with({d}, '{cc}') AND length({d}) - {len(cc)} BETWEEN {lo} AND {hi} "
-                f"AND regexp_matches({d}, '^{cc}(?:{lead})'))"
-            )
+            alike.setdefault((len(cc), lo, hi, lead), []).append(q(cc))
         elif cc == country:
             tests.append(f"(length({d}) BETWEEN {lo} AND {hi} AND regexp_matches({d}, '^(?:{lead})'))")
+    for (k, lo, hi, lead), codes in alike.items():
+        tests.append(
+            f"(substring({d}, 1, {k}) IN ({', '.join(codes)}) AND length({d}) - {k} BETWEEN {lo} AND {hi} AND regexp_matches(substring({d}, {k + 1}), '^(?:{lead})'))"
+        )
     return "(" + " OR ".join(tests) + ")"
 
 

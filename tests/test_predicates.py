@@ -161,3 +161,11 @@ def test_keys(spark):
         hashed_placeholder(F.lit("ssn"), F.lit("x"), "s"),
     ).first()
     assert len({a, b, c}) == 3 and a.startswith("[EMAIL-")
+
+
+def test_numbers_of_many_countries(spark):
+    good = ["+61 2 9374 4000", "+81 3-6384-9000", "+971 4 450 9500", "+65 6521 8000", "+55 11 2395-8400", "+39 06 6982 1234", "+7 495 123 45 67",
+            "0041 44 668 18 00", "+353 1 436 1000", "+420 212 345 678", "+91 98765 43210", "+1 212 555 0100"]
+    bad = ["+999999", "+210 12", "+1 112 555 0100", "+44 0000000000", "+28 123456789", "12345"]
+    df = spark.createDataFrame([(v,) for v in good + bad], "v string")
+    assert [r[0] for r in df.select(valid_phone(F.col("v"))).collect()] == [True] * len(good) + [False] * len(bad)
