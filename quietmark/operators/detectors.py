@@ -88,17 +88,22 @@ GUARDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _quoted(name: str) -> str:
+    return rf"\Q{name.replace(chr(92) + 'E', chr(92) + 'E' + chr(92) * 2 + 'E' + chr(92) + 'Q')}\E"
+
+
 def name_pattern(name: Column | str, bounded: bool = True) -> Column | str:
-    """Regex for one listed name, case-insensitive, not touching an ASCII letter."""
+    """Regex for one listed name in any case of any script, not touching an ASCII letter."""
     left, right = (r"(?<![A-Za-z])", r"(?![A-Za-z])") if bounded else ("", "")
     if isinstance(name, str):
-        return rf"(?i){left}\Q{name}\E{right}"
-    return F.concat(F.lit(rf"(?i){left}\Q"), name, F.lit(rf"\E{right}"))
+        return rf"(?iu){left}{_quoted(name)}{right}"
+    safe = F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.concat(F.lit(rf"(?iu){left}\Q"), safe, F.lit(rf"\E{right}"))
 
 
 def any_name_pattern(names, bounded: bool = True) -> str:
     left, right = (r"(?<![A-Za-z])", r"(?![A-Za-z])") if bounded else ("", "")
-    return rf"(?i){left}(?:{'|'.join(rf'\Q{n}\E' for n in names)}){right}"
+    return rf"(?iu){left}(?:{'|'.join(map(_quoted, names))}){right}"
 
 
 def detectors(rules: Rules) -> list[Detector]:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.functions.placeholders import placeholder
 from quietmark.functions.text import empty_array, extract_all, literals, match_spans
 from quietmark.operators.detectors import MAX_LITERAL_NAMES, any_name_pattern, name_pattern
+from quietmark.operators.dictionary import number_in_order
 from quietmark.plans.redaction import Redaction
+from quietmark.session import save_stage
 
 RANKS = {"explicit": 2, "known": 11}
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -29,35 +33,53 @@ def _ngram_pattern(words: int, max_gap: int) -> str:
     return rf"(?<![A-Za-z])(?=([A-Za-z]++{more}))"
 
 
+def core(name: Column) -> Column:
+    """The part of a name from its first to its last ASCII letter, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(name, r"(?s)[A-Za-z](?:.*[A-Za-z])?", 0))
+
+
 @dataclass(frozen=True)
 class ListProfile:
     """What a join with a name list needs to know; one small aggregate."""
 
     size: int  # bytes of text, an upper bound of what a broadcast carries
-    lengths: tuple[int, ...]  # words per name, as present in the list
-    max_gap: int  # longest run of non-letters inside a name
+    lengths: tuple[int, ...]  # words per core, as present in the list
+    max_gap: int  # longest run of non-letters inside a core
+    coreless: int  # names without an ASCII letter
 
 
 def profile_names(names: DataFrame) -> ListProfile:
-    gaps = extract_all(F.col("name"), "[^A-Za-z]+")
+    gaps = extract_all(core(F.col("name")), "[^A-Za-z]+")
     longest = F.coalesce(F.array_max(F.transform(gaps, F.length)), F.lit(1))
+    whole = core(F.col("name")) != ""
     row = names.agg(
         F.coalesce(F.sum(F.octet_length("name") * 2 + F.octet_length("list") + 64), F.lit(0)).alias("size"),
-        F.sort_array(F.collect_set(F.size(gaps) + 1)).alias("lengths"),
+        F.sort_array(F.collect_set(F.when(whole, F.size(gaps) + 1))).alias("lengths"),
         F.coalesce(F.max(longest), F.lit(1)).alias("gap"),
-        F.count_if(~F.col("name").rlike(r"(?s)^[A-Za-z](?:.*[A-Za-z])?$")).alias("bad"),
+        F.count_if(~whole & (F.col("name") != "")).alias("coreless"),
     ).first()
-    if row["bad"]:
-        raise ValueError(f"{row['bad']} listed names do not start and end with a letter")
-    return ListProfile(row["size"], tuple(row["lengths"]), row["gap"])
+    return ListProfile(row["size"], tuple(row["lengths"]), row["gap"], row["coreless"])
+
+
+def _coreless_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """Hits of names without an ASCII letter, by blocks of literals in one narrow pass."""
+    rows = names.where((core(F.col("name")) == "") & (F.col("name") != "")).select("list", "name").distinct().toLocalIterator()
+    blocks, arrays = list(iter(lambda: list(islice(rows, MAX_LITERAL_NAMES)), [])), []
+    for block in blocks:
+        listed = F.array(*[F.struct(F.lit(r["list"]).alias("list"), F.lit(r["name"]).alias("name")) for r in block])
+        there = F.filter(listed, lambda x: F.regexp_like(F.col("text"), name_pattern(x["name"])))
+        arrays.append(F.when(F.col("text").rlike(any_name_pattern([r["name"] for r in block])), there).otherwise(F.slice(listed, F.lit(1), F.lit(0))))
+    found = chunks.select("doc_id", "chunk_no", "text", F.explode(F.concat(*arrays)).alias("x"))
+    return found.select("doc_id", "chunk_no", "text", "x.list", "x.name")
 
 
 def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Chunks paired with the listed names that occur in them.
 
     Word n-grams of the lengths in the list are taken from the raw text and
-    joined with the list on equality, so the cost per word does not depend on
-    the list size and no pair is formed that does not match.
+    joined with the cores of the names on equality, so the cost per word does not
+    depend on the list size; a name that goes on beyond its core (an accented
+    first or last letter, say) is then looked for in the matching chunks only.
 
     A list of at most ``BROADCAST_BYTES`` is broadcast, and the text only
     travels with matching rows.  A larger list is joined by shuffling the bare
@@ -65,16 +87,19 @@ def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """
     profile = profile_names(names)
     keys = ["doc_id", "chunk_no"]
-    listed = names.select("list", "name", F.lower("name").alias("gram")).dropDuplicates(["list", "gram"])
-    grams = F.concat(*[extract_all(F.col("text"), _ngram_pattern(n, profile.max_gap), 1) for n in profile.lengths])
+    listed = names.select("list", "name", core(F.col("name")).alias("gram")).where("gram != ''")
+    listed = listed.groupBy("list", F.lower("name").alias("_key")).agg(F.min("name").alias("name"), F.min("gram").alias("gram")).drop("_key")
+    grams = F.concat(F.expr("cast(array() as array<string>)"), *[extract_all(F.col("text"), _ngram_pattern(n, profile.max_gap), 1) for n in profile.lengths])
     # Lower-case all of them in one string operation.
     grams = F.array_distinct(F.split(F.lower(F.array_join(grams, "\u001f")), "\u001f"))
     if profile.size <= BROADCAST_BYTES:
         exploded = chunks.select(*keys, "text", F.explode_outer(grams).alias("gram"))
-        return exploded.join(F.broadcast(listed), "gram").select(*keys, "text", "list", "name")
-    exploded = chunks.select(*keys, F.explode_outer(grams).alias("gram"))
-    hits = exploded.join(listed.hint("merge"), "gram").select(*keys, "list", "name")
-    return hits.join(chunks.select(*keys, "text"), keys)
+        hits = exploded.join(F.broadcast(listed), "gram").select(*keys, "text", "list", "name")
+    else:
+        exploded = chunks.select(*keys, F.explode_outer(grams).alias("gram"))
+        hits = exploded.join(listed.hint("merge"), "gram").select(*keys, "list", "name").join(chunks.select(*keys, "text"), keys)
+    hits = hits.select(*keys, "text", "list", "name").where(F.regexp_like(F.col("text"), name_pattern(F.col("name"))))
+    return hits.unionByName(_coreless_hits(chunks, names)) if profile.coreless else hits
 
 
 def gazetteer_spans(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -103,56 +128,49 @@ def gazetteer_spans(chunks: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overflow: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Replace every listed name still in the redacted text.
+    """Replace every listed name still in the redacted text; a list of any length.
 
     Returns the chunks with ``swept_text`` and one finding per chunk and name.
     Known names keep their dictionary placeholder; the others are numbered on
-    from the largest person number, by first sight.  ``bounded=False`` also
-    replaces names inside longer words.  The names are literals, so the sweep
-    itself is a narrow projection; only the few chunks that still hold a name
-    reach the aggregation that numbers new ones.
+    from the largest person number, by first sight.  Under document numbering
+    both hold within each document.  ``bounded=False`` also replaces names inside
+    longer words.  The names are tested in blocks of literals, which is narrow;
+    only chunks that still hold a name are grouped and joined.
     """
-    if not 0 < len(names) <= MAX_LITERAL_NAMES:
-        raise ValueError(f"between 1 and {MAX_LITERAL_NAMES} names")
+    if not names:
+        raise ValueError("no names")
     text = F.col("redacted_text")
-    spark = result.chunks.sparkSession
-    listed = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "name_no int, name string").withColumn(
-        "norm_key", F.lower("name")
-    )
-    any_left = text.rlike(any_name_pattern(names, bounded))
-    present = F.filter(
-        F.transform(literals(names), lambda n, i: F.struct(i.alias("name_no"), n.alias("name"))),
-        lambda x: F.regexp_like(text, name_pattern(x["name"], bounded)),
-    )
-    left = result.chunks.where(any_left).select("doc_id", "chunk_no", F.explode_outer(present).alias("x"))
-    findings = left.select("doc_id", "chunk_no", F.col("x.name_no").alias("name_no"), F.col("x.name").alias("name"))
+    scope = ["doc_id"] if "doc_id" in result.dictionary.columns else []
+    name = "struct<name_no:int,name:string>"
+    arrays, tests = [], []
+    for lo in range(0, len(names), MAX_LITERAL_NAMES):
+        block = names[lo : lo + MAX_LITERAL_NAMES]
+        there = text.rlike(any_name_pattern(block, bounded))
+        listed = F.transform(literals(block), lambda n, i: F.struct((i + lo).cast("int").alias("name_no"), n.alias("name")))
+        present = F.filter(listed, lambda x: F.regexp_like(text, name_pattern(x["name"], bounded)))
+        arrays.append(F.when(there, present).otherwise(empty_array(name)))
+        tests.append(there)
+    any_left = F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    left = result.chunks.where(any_left).select("doc_id", "chunk_no", F.explode(F.concat(*arrays)).alias("x"))
+    findings = save_stage(left.select("doc_id", "chunk_no", "x.name_no", "x.name", F.lower("x.name").alias("norm_key")))
 
     people = result.dictionary.where(F.col("type") == "person")
-    # ``listed`` and all that derives from it has one row per name at most.
-    known = people.select("norm_key", "replacement").join(F.broadcast(listed), "norm_key")
-    top = people.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top"))
-    unknown = listed.join(F.broadcast(known.select("norm_key")), "norm_key", "left_anti")
-    first = findings.groupBy("name_no").agg(F.min(F.struct("doc_id", "chunk_no", "name_no")).alias("first"))
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first"))
-    added = (
-        unknown.join(first, "name_no")
-        .withColumn("n", order + top.scalar())
-        .withColumn("replacement", placeholder(F.lit("person"), F.col("n"), overflow))
-    )
-    entries = known.select("name_no", "name", "replacement").unionByName(added.select("name_no", "name", "replacement"))
-    ordered = F.array_sort(F.collect_list(F.struct("name_no", "name", "replacement")))
-    # One row of at most MAX_LITERAL_NAMES entries, as a scalar subquery.
-    table = F.coalesce(
-        entries.agg(ordered.alias("t")).scalar(), empty_array("struct<name_no:int,name:string,replacement:string>")
-    )
-    swept = F.when(
-        any_left,
-        F.aggregate(
-            "_names", text, lambda acc, x: F.regexp_replace(acc, name_pattern(x["name"], bounded), x["replacement"])
-        ),
-    ).otherwise(text)
-    done = findings.join(F.broadcast(entries.drop("name")), "name_no").select(
-        "doc_id", "chunk_no", F.lit("person").alias("type"), F.col("name").alias("original"), "replacement",
-        F.lit("final sweep").alias("location"),
+    seen = findings.groupBy(*scope, "name_no", "name", "norm_key").agg(F.min(F.struct("doc_id", "chunk_no", "name_no")).alias("first"))
+    known = seen.join(people.select(*scope, "norm_key", "replacement"), [*scope, "norm_key"], "left")
+    group = scope or ["_all"]
+    new = number_in_order(known.where("replacement is null").drop("replacement").withColumn("_all", F.lit(0)), group, "first")
+    tops = people.withColumn("_all", F.lit(0)).groupBy(*group).agg(F.max("n").alias("top"))
+    new = new.join(tops, group, "left").withColumn("n", F.col("n") + F.coalesce("top", F.lit(0)))
+    new = new.withColumn("replacement", placeholder(F.lit("person"), F.col("n"), overflow))
+    columns = [*scope, "name_no", "replacement"]
+    entries = known.where("replacement is not null").select(*columns).unionByName(new.select(*columns))
+    done = save_stage(findings.join(entries, [*scope, "name_no"]))
+
+    per_chunk = done.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("name_no", "name", "replacement"))).alias("_names"))
+    busy = result.chunks.where(any_left).join(per_chunk, ["doc_id", "chunk_no"], "left")
+    replaced = F.aggregate("_names", text, lambda acc, x: F.regexp_replace(acc, name_pattern(x["name"], bounded), x["replacement"]))
+    busy = busy.withColumn("swept_text", F.coalesce(replaced, text)).drop("_names")
+    quiet = result.chunks.where(~any_left).withColumn("swept_text", text)
+    return busy.select(*quiet.columns).unionByName(quiet), done.select(
+        "doc_id", "chunk_no", F.lit("person").alias("type"), F.col("name").alias("original"), "replacement", F.lit("final sweep").alias("location")
     )
-    return result.chunks.withColumn("_names", table).withColumn("swept_text", swept).drop("_names"), done

@@ -261,6 +261,33 @@ def test_residuals_and_counts(spark):
     assert counts["person"] == 2 and counts["email"] == 1 and counts["credit_card"] == 1 and counts["address"] == 0
 
 
+def test_sweep_under_document_numbering(spark):
+    """Every document has its own numbers; a name known in one is new in the other."""
+    text = docs(spark, "Name: Asha Varma\nsee Asha Varma and Tomas Lind", "quiet", "Tomas Lind met Asha Varma", "Name: Tomas Lind\nTomas Lind")
+    done = redact(chunk_text(text), STRICT, numbering="document")
+    swept, found = gazetteer.sweep_names(done, ["Tomas Lind", "Asha Varma"])
+    got = defaultdict(list)
+    for r in swept.orderBy("doc_id", "chunk_no").collect():
+        got[r["doc_id"]].append(r["swept_text"])
+    assert got[1][1] == "see Person 1 and Person 2" and got[2] == ["quiet"]
+    assert got[3] == ["Person 1 met Person 2"] and got[4][1] == "Person 1"
+    keys = [(r["doc_id"], r["chunk_no"], r["original"]) for r in found.collect()]
+    assert len(keys) == len(set(keys)) == 5
+
+
+def test_long_name_lists_and_other_letters(spark):
+    names = [f"Nora Q{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(1000)]
+    names += ["André", "José Álvarez", "Élan", "中村", r"Odd \E Name"]
+    text = docs(spark, "NORA QJJJ and ANDRÉ", "josé álvarez, JOSÉ ÁLVAREZ", "élan; elan", "見 中村さん", r"odd \e name", "Andrés? no: Andréa")
+    listed = gazetteer.gazetteer(spark, {"explicit": names})
+    spans = gazetteer.gazetteer_spans(chunk_text(text), listed).orderBy("doc_id", "start").collect()
+    want = [(1, "NORA QJJJ"), (1, "ANDRÉ"), (2, "josé álvarez"), (2, "JOSÉ ÁLVAREZ"), (3, "élan"), (4, "中村"), (5, r"odd \e name")]
+    assert [(r["doc_id"], r["value"]) for r in spans] == want
+    swept, found = gazetteer.sweep_names(redact(chunk_text(text), STRICT), names)
+    assert found.count() == 6
+    assert swept.where("doc_id = 4").first()["swept_text"].startswith("見 Person ")
+
+
 def test_review(spark):
     text = docs(spark, "one Rahul Sharma\nand rahul sharma", "nothing")
     kwic = review.keyword_in_context(chunk_text(text, mode="cell"), "Rahul Sharma", 5).orderBy("position").collect()
