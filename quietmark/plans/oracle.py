@@ -327,6 +327,13 @@ CANDIDATES = f"""candidates AS MATERIALIZED (
 WITH_CANDIDATES = f"WITH {BASE}, {line_chunks()}, {CANDIDATES}"
 
 
+def with_residuals() -> str:
+    """``candidates`` over the redacted text."""
+    after = "after AS MATERIALIZED (SELECT doc_id, chunk_no, redacted_text AS text FROM redacted)"
+    label = f"CASE WHEN {is_org('value')} THEN 'ORG' ELSE 'PERSON' END"
+    return f"WITH {redacted_ctes()}, {after}, candidates AS MATERIALIZED (SELECT value AS text, {label} AS label FROM ({raw_spans(TITLE_CASE, 0, 'after')}) r)"
+
+
 def people(known: tuple[str, ...] = ()) -> str:
     near = "substring(context, greatest(start - 80, 0) + 1, start - greatest(start - 80, 0)) || ' ' || substring(context, \"end\" + 1, 80)"
     score = f"len(list_intersect(list_distinct(regexp_extract_all(lower({near}), '[a-z]+')), {array(V.ADDRESS_WORDS)}))"
@@ -532,7 +539,7 @@ WHERE (type, key) IN (SELECT (type, CASE WHEN type = 'phone' THEN {digits('value
         ),
         "character_counts": f"WITH {redacted_ctes()} SELECT CAST(sum(length(text)) AS BIGINT) AS original_characters, CAST(sum(length(redacted_text)) AS BIGINT) AS redacted_characters FROM redacted",
         "residual_values": residuals_query(),
-        "residual_entities": f"""{WITH_CANDIDATES} SELECT DISTINCT label, {strip('text')} AS value FROM candidates
+        "residual_entities": f"""{with_residuals()} SELECT DISTINCT label, {strip('text')} AS value FROM candidates
 WHERE NOT (label = 'PERSON' AND regexp_full_match({strip('text')}, '(?i)Person \\d+')) AND NOT (label = 'ORG' AND regexp_full_match({strip('text')}, '(?i)Example Organization \\d+'))""",
         "pii_inventory": f"WITH {BASE}, {line_chunks()} {inventory_sql()}",
         "page_inventory": f"WITH {PAGES} {inventory_sql('page_chunks', PAGE_LOCATION)}",
@@ -553,7 +560,7 @@ SELECT value, {clean('value')} AS cleaned FROM (SELECT DISTINCT text AS value FR
         "ner_inventory": f"{WITH_CANDIDATES} SELECT label AS category, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, text AS value FROM candidates",
         "segments": rf"""WITH {BASE}, {CELLS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(o AS BIGINT) AS "offset", substring(text, o + 1, 2000) AS segment
 FROM chunks, unnest(range(0, length(text), 2000)) t(o) WHERE regexp_matches(substring(text, o + 1, 2000), '\S')""",
-        "numbered_candidates": f"""{WITH_CANDIDATES}, r AS (SELECT DISTINCT label, {strip('text')} AS value FROM candidates
+        "numbered_candidates": f"""{with_residuals()}, r AS (SELECT DISTINCT label, {strip('text')} AS value FROM candidates
 WHERE NOT (label = 'PERSON' AND regexp_full_match({strip('text')}, '(?i)Person \\d+')) AND NOT (label = 'ORG' AND regexp_full_match({strip('text')}, '(?i)Example Organization \\d+'))),
 k AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY lower(value), value) AS n FROM r)
 SELECT label, CAST(n AS BIGINT) AS n, lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || '. ' || value AS line FROM k""",

@@ -255,8 +255,14 @@ def ner_inventory(spark: SparkSession, d: str) -> DataFrame:
     return entities.inventory(candidates(spark, d))
 
 
+def residual_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in the redacted text, not in the original."""
+    after = redacted_cells(spark, d).chunks.select("doc_id", "chunk_no", F.col("redacted_text").alias("text"))
+    return entities.residual_entities(entities.title_case_candidates(after))
+
+
 def numbered(spark: SparkSession, d: str) -> DataFrame:
-    return review.numbered_candidates(entities.residual_entities(candidates(spark, d)))
+    return review.numbered_candidates(residual_entities(spark, d))
 
 
 def name_check(spark: SparkSession, d: str) -> DataFrame:
@@ -307,8 +313,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sensitive_values": lambda s, d: audit.distinct_values(corpus(s, d), PARITY),
     "placeholder_counts": lambda s, d: audit.placeholder_counts(pairs(s, d)),
     "character_counts": lambda s, d: audit.character_counts(pairs(s, d)),
-    "residual_values": lambda s, d: audit.residual_values(pairs(s, d), PARITY),
-    "residual_entities": lambda s, d: entities.residual_entities(candidates(s, d)),
+    "residual_values": lambda s, d: audit.residual_values(pairs(s, d), PARITY).orderBy("type", "value"),
+    "residual_entities": lambda s, d: residual_entities(s, d).orderBy("label", "value"),
     "pii_inventory": lambda s, d: inventory.inventory(lines(s, d)),
     "page_inventory": lambda s, d: inventory.inventory(page_scan(s, d)),
     "inventory_cards": lambda s, d: inventory.inventory(lines(s, d), ("CREDIT_CARD",)),
