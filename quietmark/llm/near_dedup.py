@@ -15,8 +15,11 @@ signature is the minimum of such slices.
 3. Links join classes to components.  Buckets that now lie within one component
    are done.  In the others every class outside the component of the bucket's
    smallest class is compared with the classes of other components, again behind
-   the screen, in one join whose hot keys Spark splits.  So no pair that shares a
-   bucket is left out, but pairs within a component are never listed.
+   the screen, in one join whose hot keys Spark splits.  The sets of the classes
+   that have a plausible partner give an exact bound: shingles that a class shares
+   with none of the others cannot be common, so a class with many of its own is
+   similar to nothing.  No pair that shares a bucket is left out for any other
+   reason, but pairs within a component are never listed.
 
 Two documents at the limit of 0.75 share no band of 51 with probability 1e-6; the
 screen drops such a pair with probability 1e-6.
@@ -138,21 +141,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), sets], names=["cls", "shingles"])
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
-    """Of screened pairs (``a, b``), those whose full sets are similar enough."""
-    pairs = stages.save(pairs)
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
+    """``cls, shingles``: the full sets of the classes in ``wanted``, made from one text of each."""
     ids = stages.save(wanted.join(classes.select("cls", F.col("rep").alias("id"), "tag"), "cls").select("id", "tag").distinct())
     sets = attach(texts, ids, ["id", "tag"], "left_semi", 40).select("text").mapInArrow(_sets, "cls binary, shingles array<long>")
     sets = stages.save(sets.dropDuplicates(["cls"]))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
+    stages.drop(ids)
+    return sets
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
+    """Of screened pairs (``a, b``), those whose full sets are similar enough."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    links = stages.save(both.where(100 * common >= THRESHOLD * union).select("a", "b"))
-    stages.drop(pairs, ids, sets)
-    return links
+    return stages.save(both.where(100 * common >= THRESHOLD * union).select("a", "b"))
 
 
 def _differing(i: int) -> Column:
@@ -163,17 +166,22 @@ def _differing(i: int) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _screened(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose sketches do not speak against it."""
+def _plausible() -> Column:
+    """Sizes ``n, o`` allow the similarity and the sketches do not speak against it."""
     sizes = 100 * F.least("n", "o") >= THRESHOLD * F.greatest("n", "o")
-    differing = reduce(lambda x, y: x + y, (_differing(i) for i in range(LONGS)))
-    return pairs.where(sizes & (differing <= SCREEN)).select("a", "b").distinct()
+    return sizes & (reduce(lambda x, y: x + y, (_differing(i) for i in range(LONGS))) <= SCREEN)
+
+
+def _lonely(sets: DataFrame) -> DataFrame:
+    """``cls, lonely``: how many shingles of a class are in no other of the sets."""
+    each = sets.select("cls", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("cls").alias("cls"), F.count("*").alias("m"))
+    return each.where("m = 1").groupBy("cls").agg(F.count("*").alias("lonely"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stages: Stages | None = None) -> DataFrame:
     """``id, tag, n_shingles, component_id, kept`` for every row; ``tag`` is ``row_tag(text)``."""
     stages = stages or Stages(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
     signed = stages.save(texts.mapInArrow(_sign, SIGNED))
     usable = signed.where("id is not null and n > 0")
     classes = stages.save(
@@ -188,8 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = narrow.toDF("b", "o", "other")
 
     stars = buckets.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = stars.join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b")
-    links = _linked(_screened(pairs), classes, texts, stages)
+    pairs = stars.join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b").where(_plausible())
+    pairs = stages.save(pairs.select("a", "b").distinct())
+    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, texts, stages)
+    links = _linked(pairs, sets, stages)
+    stages.drop(pairs, sets)
     roots = stages.save(components(links, stages))
 
     # Buckets over several components: classes outside the hub's component meet all classes of other components.
@@ -198,13 +209,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = stages.save(member.join(root_of("hub", "hr"), "hub", "left").withColumn("hr", F.coalesce("hr", "hub")))
     strays = stages.save(member.where("r != hr").select("key", "cls", "r"))
     if not strays.isEmpty():
-        open_keys = strays.select("key").distinct()
         left = strays.join(narrow, "cls").select("key", F.col("cls").alias("a"), "r", "n", "sketch")
-        rest = member.join(open_keys, "key", "left_semi").where("cls != hub").join(narrow, "cls")
+        rest = member.join(strays.select("key").distinct(), "key", "left_semi").where("cls != hub").join(narrow, "cls")
         rest = rest.select("key", F.col("cls").alias("b"), F.col("r").alias("q"), (F.col("r") == F.col("hr")).alias("home"), F.col("n").alias("o"), F.col("sketch").alias("other"))
-        met = left.join(rest, "key").where((F.col("r") != F.col("q")) & (F.col("home") | (F.col("a") < F.col("b"))))
-        more = _linked(_screened(met), classes, texts, stages)
-        roots = stages.save(components(links.union(more), stages))
+        apart = (left["key"] == rest["key"]) & (F.col("r") != F.col("q")) & _plausible()
+        # Only classes with a plausible partner go on, and of their pairs only those that the sets' sizes still allow
+        # when the shingles that none of the others has are taken off.
+        left, rest = stages.save(left.join(rest, apart, "left_semi")), stages.save(rest.join(left, apart, "left_semi"))
+        sets = _sets_of(left.select(F.col("a").alias("cls")).union(rest.select("b")).distinct(), classes, texts, stages)
+        lonely = stages.save(_lonely(sets))
+        left = left.join(lonely.toDF("a", "u"), "a", "left").na.fill(0, ["u"])
+        rest = rest.join(lonely.toDF("b", "v"), "b", "left").na.fill(0, ["v"])
+        common = F.least(F.col("n") - F.col("u"), F.col("o") - F.col("v"))
+        allowed = 100 * common >= THRESHOLD * (F.col("n") + F.col("o") - common)
+        once = F.col("home") | (F.col("a") < F.col("b"))
+        met = left.join(rest, (left["key"] == rest["key"]) & (F.col("r") != F.col("q")) & once & allowed & _plausible())
+        more = _linked(stages.save(met.select("a", "b").distinct()), sets, stages)
+        so_far = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stages.save(components(so_far.union(more), stages))
+        stages.drop(sets, lonely)
     stages.drop(buckets, member, strays)
 
     smallest = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("c"))
@@ -229,7 +252,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     extra = judged.join(shared, "id").where("tag != head").select("id", "tag")
     lost = stages.save(judged.where("not kept").select("id", "tag").union(extra).distinct())
     key, tag, copy = fresh("id"), fresh("tag"), fresh("copy")
-    keyed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(tag, row_tag(F.col(text_col)))
+    keyed = docs.withColumn(key, F.col(id_col).try_cast("long")).withColumn(tag, row_tag(F.col(text_col)))
     left = attach(keyed, lost.toDF(key, tag), [key, tag], "left_anti", 40)
     if shared.isEmpty():
         return left.drop(key, tag)
