@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quietmark.operators.detectors import detect, has_candidates
-from quietmark.plans.queries import LISTED, cells, documents
+from quietmark.plans.queries import LISTED, QUERIES, cells, documents
 from quietmark.plans.redaction import redact_hashed
 from quietmark.sources.chunks import chunk_text
 from quietmark.sources.tables import table
@@ -20,12 +20,16 @@ def con():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_oracle(spark, con, name):
     ok, note = compare(spark, con, entry.queries()[name], SQL[name], SF)
     assert ok, note
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.queries()) and set(QUERIES) <= set(SQL)
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "redacted_text", "n_redactions"]
