@@ -9,8 +9,9 @@ signature is the minimum of such slices.
 1. Rows with equal sets become one class (128-bit digest of the set), so copies
    cost nothing below.
 2. Signatures are cut into bands; classes that share a band share a bucket.
-   Every class is compared with the smallest class of its buckets: a linear
-   number of pairs, however large a bucket is.  Sizes and a sketch (four bits of
+   Every class is compared with three classes of each of its buckets (the hubs: the
+   smallest, the largest, the one with the smallest hash): a linear number of
+   pairs, however large a bucket is.  Sizes and a sketch (four bits of
    every signature value) screen pairs; the full sets of the rest are compared.
 3. Links join classes to components.  Buckets that now lie within one component
    are done.  In the others every class outside the component of the bucket's
@@ -190,12 +191,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).select("cls", F.col("r.id").alias("rep"), F.col("r.tag").alias("tag"), "n", "sketch", "bands")
     )
     placed = classes.select("cls", F.explode("bands").alias("key"))
-    hubs = placed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    hubs = placed.groupBy("key").agg(
+        F.min("cls").alias("hub"), F.max("cls").alias("hub2"), F.min_by("cls", F.xxhash64("cls")).alias("hub3"), F.count("*").alias("m")
+    ).where("m > 1").drop("m")
     buckets = stages.save(placed.join(hubs, "key"))
     narrow = classes.select("cls", "n", "sketch")
     right = narrow.toDF("b", "o", "other")
 
-    stars = buckets.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = buckets.select(F.col("cls").alias("c"), F.explode(F.array("hub", "hub2", "hub3")).alias("h")).where("c != h")
+    stars = stars.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct()
     pairs = stars.join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b").where(_plausible())
     pairs = stages.save(pairs.select("a", "b").distinct())
     sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, texts, stages)
