@@ -38,6 +38,7 @@ SENT = "shard int, batch long, k1 binary, k2 binary, id binary, row binary, pos
 REPLY = "batch long, places binary, heads binary"
 RUNS = "id long, tag long, runs array<int>"
 BASE = 7
+BATCH_BYTES = 12 << 20
 
 
 def levels(window: int, base: int = BASE) -> list[int]:
@@ -103,6 +104,13 @@ def _repeated(k1, k2, ids, last: bool):
     return found, order[first[size > 1]]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``BATCH_BYTES`` of text, whatever size the reader chose."""
+    for batch in batches:
+        for lo, hi in groups(text_bytes(batch.column(2))[1], BATCH_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
 def _send(shards: int, base: int, before: int, length: int, last: bool):
     """Maps batches of (id, tag, text[, runs]) to packed entries by shard."""
 
@@ -122,9 +130,7 @@ def _send(shards: int, base: int, before: int, length: int, last: bool):
         return [np.concatenate(x) for x in zip(*parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for number, batch in enumerate(_pieces(batches)):
             key = (TaskContext.get().partitionId() << 32) + number
             k1, k2, row, pos, n = entries(batch)
             own = batch.column(0).to_numpy()
