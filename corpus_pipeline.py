@@ -23,30 +23,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.llm import quality
-from quietmark.llm.common import fresh
+from quietmark.llm.common import bound_batches, fresh
 from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.near_dedup import drop_near_duplicates
 from quietmark.llm.packing import pack
-from quietmark.llm.queries import quality_model
+from quietmark.llm.queries import quality_model, table
 from quietmark.llm.substring_dedup import substring_dedup
 from quietmark.session import Stages
-from quietmark.sources.tables import table
 
 #: SQL cannot express the trained and iterative stages; tests hold them against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     judged = fresh("quality")
     scored = docs.withColumn(judged, quality.score(docs, quality_model(spark, docs, sf_dir)))
     return scored.where(F.col(f"{judged}.score") >= quality.KEEP_FROM).drop(judged)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     out = substring_dedup(docs)
     cut, kept = F.col("dedup.n_removed") > 0, F.col("dedup.kept_text")
     changed = {"text": F.when(cut, kept).otherwise(F.col("text"))}
@@ -56,11 +58,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     out = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
     return out.where(F.size("contamination") == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -6,7 +6,7 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.session import Stages
@@ -15,6 +15,15 @@ from quietmark.session import Stages
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a whole batch.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default of 10,000; memory only, results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def fresh(name: str) -> str:
     """A column name that no input column has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
@@ -70,6 +79,7 @@ __all__ = [
     "BROADCAST_BYTES",
     "Stages",
     "attach",
+    "bound_batches",
     "fold",
     "fold_of",
     "fresh",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.llm import language_id, licenses, quality, toxicity
-from quietmark.llm.common import attach, fold, fresh
+from quietmark.llm.common import attach, bound_batches, fold, fresh
 from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
@@ -17,7 +17,12 @@ from quietmark.llm.packing import pack
 from quietmark.llm.substring_dedup import substring_dedup
 from quietmark.llm.topk import top_k
 from quietmark.llm.url_filter import judge
-from quietmark.sources.tables import table
+from quietmark.sources import tables
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return tables.table(spark, d, name)
 
 
 #: Rules of the URL query: host, path, verdict.

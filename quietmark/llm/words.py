@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
