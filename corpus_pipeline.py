@@ -59,7 +59,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    out = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    out = find_overlaps(docs, table(spark, sf_dir, "benchmark"), every_item=True)
     return out.where(F.size("contamination") == 0).select(*docs.columns)
 
 

@@ -85,7 +85,7 @@ def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    out = find_overlaps(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    out = find_overlaps(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), every_item=True)
     dirty = F.size("contamination") > 0
     items = F.array_distinct(F.col("contamination.item_id"))
     return out.select("doc_id", dirty.alias("contaminated"), (~dirty).alias("kept"), items.alias("item_ids"), "contamination")
