@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def structure_counts(chunks: DataFrame) -> DataFrame:
-    """Per document: paragraphs, cells, tables, header and footer chunks, characters."""
+def structure_counts(chunks: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Per document: paragraphs, cells, tables, header and footer chunks, characters, sections.
+
+    ``sections`` (``doc_id, sections``) comes from the reader (``word_sections``), as a
+    section need not have a chunk of its own; a document in it without any text is
+    counted too.  Plain texts and pages are one section.
+    """
     kind = F.col("kind")
-    return chunks.groupBy("doc_id").agg(
+    out = chunks.groupBy("doc_id").agg(
         F.count_if(kind == "paragraph").alias("paragraphs"),
         F.count_if(kind == "cell").alias("cells"),
         F.coalesce(F.max("table_no"), F.lit(0)).cast("bigint").alias("tables"),
@@ -17,6 +22,10 @@ def structure_counts(chunks: DataFrame) -> DataFrame:
         F.count_if(kind == "footer").alias("footers"),
         F.sum(F.length("text")).cast("bigint").alias("characters"),
     )
+    if sections is None:
+        return out.withColumn("sections", F.lit(1).cast("bigint"))
+    out = out.join(sections.select("doc_id", F.col("sections").cast("bigint").alias("sections")), "doc_id", "outer")
+    return out.na.fill(0, [c for c in out.columns if c not in ("doc_id", "sections")]).na.fill(1, ["sections"])
 
 
 def first_paragraphs(chunks: DataFrame, k: int = 20, width: int = 300) -> DataFrame:

@@ -11,7 +11,7 @@ from quietmark.functions import patterns as P
 from quietmark.functions import vocab as V
 from quietmark.functions.phones import DEFAULT_COUNTRY, NUMBERING_PLAN
 from quietmark.plans.queries import NAMES, SECRET, TURN_ID_BASE
-from quietmark.sources.cards import cards_sql
+from quietmark.sources.cards import CARD_ID_BASE, cards_sql, name_list_sql
 from quietmark.sources.chunks import BLOCK_TAGS, ENTITIES, FORMAT_TAGS, HIDDEN
 
 
@@ -449,6 +449,10 @@ page_chunks AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i AS chunk_no, {strip
 PAGE_LOCATION = "CASE WHEN kind = 'cell' THEN 'table ' || table_no || ', row ' || row_no || ', column ' || col_no WHEN kind IN ('header', 'footer') THEN 'section 1 ' || kind ELSE 'paragraph' END"
 
 FIELD_LOCATION = "'table ' || table_no || ', row ' || row_no || ', column ' || col_no"
+TEXTS = f"texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT {TURN_ID_BASE} + conv_id * 1000 + turn, text FROM conversations)"
+MIXED_CHUNKS = f"""{TEXTS}, {line_chunks('texts', 'text_lines')}, {FIELDS}, chunks AS MATERIALIZED (
+  SELECT doc_id, chunk_no, 'paragraph' AS kind, 0 AS table_no, 'paragraph' AS location, text FROM text_lines
+  UNION ALL SELECT doc_id, chunk_no, 'cell', table_no, {FIELD_LOCATION}, text FROM fields)"""
 FIELD_CHUNKS = f"{FIELDS}, chunks AS (SELECT * FROM fields)"
 
 
@@ -469,6 +473,37 @@ entries AS (SELECT name_no, replacement FROM known UNION ALL SELECT name_no, 'Pe
 swept AS (SELECT doc_id, chunk_no, {text} AS swept_text FROM redacted)"""
 
 
+def document_sweep_ctes() -> str:
+    """As above, but names are known and numbered within each document."""
+    names = [*NAMES["explicit"], *NAMES["known"]]
+    values = ", ".join(f"({i}, {q(n)})" for i, n in enumerate(names))
+    text = "redacted_text"
+    for i, n in enumerate(names):
+        quoted = n.replace(".", r"\.")
+        text = f"regexp_replace({text}, {q('(?i)' + quoted)}, coalesce(r{i}, {q(n)}), 'g')"
+    each = ", ".join(f"max(replacement) FILTER (WHERE name_no = {i}) AS r{i}" for i in range(len(names)))
+    return f"""{redacted_ctes(DETECTORS, scope='document')}, names AS (SELECT * FROM (VALUES {values}) t(name_no, name)),
+hits AS MATERIALIZED (SELECT doc_id, chunk_no, name_no, name FROM redacted JOIN names ON contains(lower(redacted_text), lower(name))),
+known AS (SELECT doc_id, name_no, replacement FROM names JOIN dictionary ON type = 'person' AND norm_key = lower(name)),
+tops AS (SELECT doc_id, max(n) AS top FROM dictionary WHERE type = 'person' GROUP BY doc_id),
+fresh AS (SELECT doc_id, name_no, row_number() OVER (PARTITION BY doc_id ORDER BY first) + coalesce(top, 0) AS n
+          FROM (SELECT doc_id, name_no, min({{'c': chunk_no, 'n': name_no}}) AS first FROM hits ANTI JOIN known USING (doc_id, name_no) GROUP BY doc_id, name_no) x
+          LEFT JOIN tops USING (doc_id)),
+entries AS MATERIALIZED (SELECT doc_id, name_no, replacement FROM known UNION ALL SELECT doc_id, name_no, 'Person ' || n FROM fresh),
+swept AS (SELECT doc_id, chunk_no, {text} AS swept_text FROM redacted LEFT JOIN (SELECT doc_id, {each} FROM entries GROUP BY doc_id) e USING (doc_id))"""
+
+
+def large_gazetteer_query() -> str:
+    """Occurrences by splitting at each name, then their neighbours."""
+    letter = "regexp_matches(substring(text, {}, 1), '[A-Za-z]')"
+    return f"""WITH {BASE}, {CELLS}, names AS ({name_list_sql()}),
+parts AS (SELECT doc_id, chunk_no, text, list, name, string_split(lower(text), lower(name)) AS p FROM chunks JOIN names ON contains(lower(text), lower(name))),
+found AS (SELECT *, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(name) AS BIGINT) AS st FROM parts, unnest(range(1, len(p))) t(i))
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, st AS start, st + length(name) AS "end", 'person' AS type, substring(text, st + 1, length(name)) AS value,
+CAST(CASE list WHEN 'explicit' THEN 2 ELSE 11 END AS BIGINT) AS detector_rank
+FROM found WHERE NOT (st > 0 AND {letter.format('st')}) AND NOT {letter.format('st + length(name) + 1')}"""
+
+
 def gazetteer_query() -> str:
     return f"""WITH {BASE}, {CELLS}, {spans_cte(NAME_LISTS).replace('AND NOT ' + is_placeholder('value'), '')}
 SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS start, CAST(en AS BIGINT) AS "end", type, value, CAST(rk AS BIGINT) AS detector_rank FROM spans"""
@@ -501,6 +536,7 @@ def build() -> dict[str, str]:
         "cell_scan": f"WITH {FIELDS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, {FIELD_LOCATION} AS location, text FROM fields",
         "page_scan": f"WITH {PAGES} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, {PAGE_LOCATION} AS location, text FROM page_chunks",
         "text_assembly": f"WITH {line_chunks('documents')} SELECT doc_id, string_agg(text, chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id",
+        "text_assembly_corpus": f"WITH {BASE}, {line_chunks()} SELECT doc_id, string_agg(text, chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id",
         "spans_card_any": spans_query("credit_card", False),
         "spans_gazetteer": gazetteer_query(),
         "all_spans": all_rows(f"{BASE}, {CELLS}, {spans_cte(alls)}", "spans"),
@@ -518,13 +554,20 @@ SELECT e.doc_id, string_agg(coalesce(r.redacted_text, e.text), chr(10) ORDER BY
 FROM every_line e LEFT JOIN redacted r ON e.doc_id = r.doc_id AND e.chunk_no = r.chunk_no GROUP BY e.doc_id""",
         "redacted_hashed": hashed_query(BASE),
         "stream_redacted": hashed_query("corpus AS (SELECT doc_id, text FROM documents)"),
+        "stream_redacted_corpus": hashed_query(BASE),
         "redacted_entities": _entities_query(),
         "findings": f"""WITH {FIELD_CHUNKS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()}
 SELECT r.doc_id, {FIELD_LOCATION} AS location, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, type, value, replacement
 FROM replaced r JOIN fields f ON r.doc_id = f.doc_id AND r.chunk_no = f.chunk_no""",
+        "findings_corpus": f"""WITH {MIXED_CHUNKS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()}
+SELECT r.doc_id, location, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, type, value, replacement
+FROM replaced r JOIN chunks c ON r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no""",
         "redaction_counts": f"WITH {BASE}, {CELLS}, {spans_cte(alls)}, {LONGEST} SELECT coalesce(type, 'total') AS type, count(*) AS n FROM merged GROUP BY ROLLUP (type)",
         "name_sweep": f"WITH {sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, swept_text FROM swept",
         "name_sweep_findings": f"WITH {sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, name AS original, replacement FROM hits JOIN entries USING (name_no)",
+        "name_sweep_per_document": f"WITH {document_sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, swept_text FROM swept",
+        "name_sweep_findings_per_document": f"WITH {document_sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, name AS original, replacement FROM hits JOIN entries USING (doc_id, name_no)",
+        "spans_gazetteer_large": large_gazetteer_query(),
         "survival_report": survival_query(False, False),
         "survival_report_exact": survival_query(True, True),
         "survivors": f"WITH {redacted_ctes()}, {survivors_cte(False, False)} SELECT doc_id, type, value FROM survivors WHERE survived",
@@ -545,6 +588,8 @@ WHERE NOT (label = 'PERSON' AND regexp_full_match({strip('text')}, '(?i)Person \
         "page_inventory": f"WITH {PAGES} {inventory_sql('page_chunks', PAGE_LOCATION)}",
         "inventory_cards": f"WITH {BASE}, {line_chunks()} {inventory_sql(only=('CREDIT_CARD',))}",
         "inventory_phones": f"WITH {BASE}, {line_chunks()} {inventory_sql(only=('PHONE',))}",
+        "inventory_sink": f"""WITH {BASE}, {line_chunks()}, f AS ({inventory_sql()}) SELECT 'findings' AS part, category, doc_id, chunk_no, location, value, NULL AS n FROM f
+UNION ALL SELECT 'counts', category, NULL, NULL, NULL, NULL, count(*) FROM f GROUP BY category""",
         "inventory_counts": f"WITH {BASE}, {line_chunks()}, f AS ({inventory_sql()}) SELECT category, count(*) AS n FROM f GROUP BY category ORDER BY category",
         "address_inventory": f"""WITH {BASE}, {line_chunks()}
 SELECT 'EXPLICIT_ADDRESS_CONTEXT' AS category, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, 'paragraph' AS location, text AS value FROM chunks WHERE regexp_matches(text, {rx(P.ADDRESS_CONTEXT)})
@@ -570,10 +615,15 @@ replace(substring(text, greatest(st - 180, 0) + 1, en + 180 - greatest(st - 180,
         "structure_counts": f"""WITH {PAGES}, {FIELDS}, u AS (SELECT doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT doc_id, 'cell', table_no, text FROM fields)
 SELECT doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,
 count(*) FILTER (WHERE kind = 'header') AS headers, count(*) FILTER (WHERE kind = 'footer') AS footers, CAST(sum(length(text)) AS BIGINT) AS characters FROM u GROUP BY doc_id""",
+        "structure_counts_corpus": f"""WITH {PAGES}, {MIXED_CHUNKS}, u AS (
+SELECT 'page' AS source, doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT 'corpus', doc_id, kind, table_no, text FROM chunks)
+SELECT source, doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,
+count(*) FILTER (WHERE kind = 'header') AS headers, count(*) FILTER (WHERE kind = 'footer') AS footers, CAST(sum(length(text)) AS BIGINT) AS characters, 1 AS sections FROM u GROUP BY source, doc_id""",
         "first_paragraphs": f"""WITH {BASE}, {line_chunks()} SELECT doc_id, CAST(r AS BIGINT) AS rank, substring({strip('text')}, 1, 300) AS head
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS r FROM chunks) x WHERE r <= 20""",
         "table_sizes": f"WITH {FIELDS} SELECT doc_id, CAST(table_no AS BIGINT) AS table_no, CAST(max(row_no) AS BIGINT) AS n_rows, CAST(max(col_no) AS BIGINT) AS n_cols FROM fields WHERE table_no <= 10 GROUP BY doc_id, table_no",
     }
+    sql["redacted_sink"] = f"""SELECT CASE WHEN doc_id >= {TURN_ID_BASE} THEN 'turns' WHEN doc_id >= {CARD_ID_BASE} THEN 'cards' ELSE 'documents' END AS source, * FROM ({sql['redacted_documents']}) r"""
     for key, detector in {
         "spans_email": "email", "spans_ip": "ip", "spans_ssn": "ssn", "spans_card_luhn": "credit_card", "spans_phone": "phone",
         "spans_dob": "dob", "spans_labelled_name": "labelled_name", "spans_labelled_org": "labelled_organization",

@@ -2,7 +2,9 @@
 
 Each query takes a session and a folder with the given Parquet tables.  The
 corpus is all documents, all conversation turns and one contact card per
-customer.  Detector queries use the ``PARITY`` rules in ``cell`` mode, so that
+customer.  ``findings``, ``text_assembly``, ``stream_redacted`` and
+``structure_counts`` read a part of it, as their SQL does; the queries with
+``_corpus`` behind the name read all of it.  Detector queries use the ``PARITY`` rules in ``cell`` mode, so that
 labels may be followed by text on the next line.
 """
 
@@ -12,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.functions import vocab as V
@@ -24,8 +26,9 @@ from quietmark.operators.dictionary import build_dictionary, value_spans
 from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_hashed
 from quietmark.session import save_stage, stage_root
-from quietmark.sources.cards import contact_cards
+from quietmark.sources.cards import CARD_ID_BASE, contact_cards, name_list_sql
 from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_chunks, redaction_scope
+from quietmark.sources.sinks import write_inventory, write_redacted
 from quietmark.sources.tables import spread, table
 from quietmark.streaming.redact import read_texts, redact_stream, write_stream
 
@@ -40,11 +43,18 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
+def turn_id() -> Column:
+    return (F.lit(TURN_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("doc_id")
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and conversation turns."""
+    turns = table(spark, d, "conversations").select(turn_id(), "text")
+    return documents(spark, d).unionByName(spread(turns, "doc_id"))
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select(
-        (F.lit(TURN_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("doc_id"), "text"
-    )
-    return documents(spark, d).unionByName(spread(turns, "doc_id")).unionByName(contact_cards(spark, d))
+    return texts(spark, d).unionByName(contact_cards(spark, d))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +65,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return chunk_text(corpus(spark, d))
 
 
+def lines_and_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The whole corpus: cards as two-column tables, documents and turns as lines."""
+    return chunk_text(texts(spark, d)).unionByName(field_table(contact_cards(spark, d)))
+
+
 def big(*names: str) -> list:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
@@ -100,6 +115,10 @@ def text_assembly(spark: SparkSession, d: str) -> DataFrame:
     return assemble(chunk_text(documents(spark, d)))
 
 
+def text_assembly_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return assemble(lines(spark, d))
+
+
 def phone_countries(spark: SparkSession, d: str) -> DataFrame:
     """Phones per numbering-plan entry: equi-join on each possible country code."""
     phones = spans_of("phone")(spark, d).select(international(F.col("value")).alias("e164"))
@@ -133,6 +152,12 @@ def spans_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return gazetteer.gazetteer_spans(cells(spark, d), gazetteer.gazetteer(spark, NAMES))
 
 
+def spans_gazetteer_large(spark: SparkSession, d: str) -> DataFrame:
+    """Thousands of names from a table."""
+    keys = {"customer": table(spark, d, "customer"), "supplier": table(spark, d, "supplier")}
+    return gazetteer.gazetteer_spans(cells(spark, d), spark.sql(name_list_sql("{customer}", "{supplier}"), **keys))
+
+
 def dictionary(scope: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         merged = save_stage(find_merged(cells(spark, d), LISTED))
@@ -173,10 +198,44 @@ def redacted_hashed(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{stage_root(spark).rstrip('/')}/quietmark-{name}-{uuid.uuid4().hex}"  # fresh in every run
+
+
+def redacted_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The redacted documents as written by source, read back."""
+    path, key = fresh_folder(spark, "redacted"), F.col("doc_id")
+    done = redacted_documents(spark, d)
+    source = F.when(key >= TURN_ID_BASE, "turns").when(key >= CARD_ID_BASE, "cards").otherwise("documents")
+    write_redacted(done.withColumn("source", source), path, ("source",))
+    return spark.read.parquet(path).select("source", *done.columns)
+
+
+def inventory_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Findings and counts by category as written, read back as one table."""
+    path = fresh_folder(spark, "inventory")
+    write_inventory(inventory.inventory(lines(spark, d)), path)
+    found = spark.read.parquet(f"{path}/findings").withColumn("part", F.lit("findings"))
+    counts = spark.read.parquet(f"{path}/counts").withColumn("part", F.lit("counts"))
+    return found.unionByName(counts, allowMissingColumns=True)
+
+
 def stream_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The hashed redaction as a stream over the documents file."""
-    out = f"{stage_root(spark).rstrip('/')}/quietmark-stream-{uuid.uuid4().hex}"  # fresh in every run
-    stream = redact_stream(read_texts(spark, f"{d.rstrip('/')}/documents.parquet*"), LISTED, secret=SECRET)
+    return streamed(spark, read_texts(spark, f"{d.rstrip('/')}/documents.parquet*"))
+
+
+def stream_redacted_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The hashed redaction as one stream over documents, turns and cards."""
+    folder, cards = d.rstrip("/"), fresh_folder(spark, "cards")
+    contact_cards(spark, d).write.parquet(cards)
+    turns = read_texts(spark, f"{folder}/conversations.parquet*", "conv_id bigint, turn bigint, text string").select(turn_id(), "text")
+    return streamed(spark, read_texts(spark, f"{folder}/documents.parquet*").unionByName(turns).unionByName(read_texts(spark, cards)))
+
+
+def streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    out = fresh_folder(spark, "stream")
+    stream = redact_stream(rows, LISTED, secret=SECRET)
     write_stream(stream, f"{out}/rows", f"{out}/offsets").awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
     return rows.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
@@ -197,7 +256,16 @@ def redacted_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """Every redaction with its place, over the cards as two-column tables."""
-    done = redact(field_table(contact_cards(spark, d)), LISTED)
+    return placed_findings(field_table(contact_cards(spark, d)))
+
+
+def findings_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Every redaction with its place, over the whole corpus."""
+    return placed_findings(lines_and_fields(spark, d))
+
+
+def placed_findings(chunks: DataFrame) -> DataFrame:
+    done = redact(chunks, LISTED)
     places = done.chunks.where("n_redactions > 0").select("doc_id", "chunk_no", location().alias("location"))
     return done.findings.join(places, ["doc_id", "chunk_no"]).select(
         "doc_id", "location", *big("st", "en"), "type", "value", "replacement"
@@ -214,12 +282,12 @@ def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def name_sweep(part: str) -> Callable[[SparkSession, str], DataFrame]:
+def name_sweep(part: str, numbering: str = "corpus") -> Callable[[SparkSession, str], DataFrame]:
     """Names are left out of detection here, so that the sweep has work to do."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         names = [*NAMES["explicit"], *NAMES["known"]]
-        swept, done = gazetteer.sweep_names(redacted_cells(spark, d, PARITY), names, bounded=False, overflow=False)
+        swept, done = gazetteer.sweep_names(redact(cells(spark, d), PARITY, numbering), names, bounded=False, overflow=False)
         if part == "findings":
             return done.select("doc_id", *big("chunk_no"), "original", "replacement")
         return swept.select("doc_id", *big("chunk_no"), "swept_text")
@@ -265,6 +333,18 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
     return review.numbered_candidates(residual_entities(spark, d))
 
 
+def structure_counts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = page_scan(spark, d).unionByName(field_table(contact_cards(spark, d)))
+    return structure.structure_counts(chunks).drop("sections")
+
+
+def structure_counts_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and the whole corpus, with sections; apart, since page ids are also document ids."""
+    parts = {"page": page_scan(spark, d), "corpus": lines_and_fields(spark, d)}
+    pages, rest = (structure.structure_counts(chunks).withColumn("source", F.lit(name)) for name, chunks in parts.items())
+    return pages.unionByName(rest)
+
+
 def name_check(spark: SparkSession, d: str) -> DataFrame:
     left = redacted_cells(spark, d, replace(LISTED, known_names=())).chunks
     after = left.select("doc_id", "chunk_no", F.col("redacted_text").alias("text"))
@@ -276,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_scan": cell_scan,
     "page_scan": page_scan_rows,
     "text_assembly": text_assembly,
+    "text_assembly_corpus": text_assembly_corpus,
     "spans_email": spans_of("email"),
     "spans_ip": spans_of("ip"),
     "spans_ssn": spans_of("ssn"),
@@ -288,6 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spans_labelled_address": spans_of("labelled_address"),
     "spans_address_window": spans_of("address_window"),
     "spans_gazetteer": spans_gazetteer,
+    "spans_gazetteer_large": spans_gazetteer_large,
     "phone_countries": phone_countries,
     "name_likeness": name_likeness,
     "all_spans": all_spans,
@@ -301,11 +383,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redacted_documents": redacted_documents,
     "redacted_hashed": redacted_hashed,
     "redacted_entities": redacted_entities,
+    "redacted_sink": redacted_sink,
     "stream_redacted": stream_redacted,
+    "stream_redacted_corpus": stream_redacted_corpus,
     "findings": findings,
+    "findings_corpus": findings_corpus,
     "redaction_counts": redaction_counts,
     "name_sweep": name_sweep("text"),
     "name_sweep_findings": name_sweep("findings"),
+    "name_sweep_per_document": name_sweep("text", "document"),
+    "name_sweep_findings_per_document": name_sweep("findings", "document"),
     "survival_report": survival(False, replace(PARITY, luhn=False)),
     "survival_report_exact": survival(True, PARITY),
     "survivors": survivors,
@@ -319,6 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_inventory": lambda s, d: inventory.inventory(page_scan(s, d)),
     "inventory_cards": lambda s, d: inventory.inventory(lines(s, d), ("CREDIT_CARD",)),
     "inventory_phones": lambda s, d: inventory.inventory(lines(s, d), ("PHONE",)),
+    "inventory_sink": inventory_sink,
     "inventory_counts": lambda s, d: inventory.counts(inventory.inventory(lines(s, d))),
     "address_inventory": lambda s, d: inventory.address_inventory(lines(s, d)),
     "scan_totals": lambda s, d: inventory.scan_totals(lines(s, d), inventory.inventory(lines(s, d))),
@@ -329,9 +417,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numbered_candidates": numbered,
     "important_names": name_check,
     "keyword_in_context": lambda s, d: review.keyword_in_context(cells(s, d), "rahul sharma"),
-    "structure_counts": lambda s, d: structure.structure_counts(
-        page_scan(s, d).unionByName(field_table(contact_cards(s, d)))
-    ),
+    "structure_counts": structure_counts,
+    "structure_counts_corpus": structure_counts_corpus,
     "first_paragraphs": lambda s, d: structure.first_paragraphs(lines(s, d)),
     "table_sizes": lambda s, d: structure.table_sizes(field_table(contact_cards(s, d))),
 }

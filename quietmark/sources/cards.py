@@ -71,6 +71,16 @@ FROM (
 """
 
 
+def name_list_sql(customer: str = "customer", supplier: str = "supplier") -> str:
+    """``list, name``: thousands of names from the keys of two tables, some of which stand on the cards."""
+    first, last = _pick("k", FIRST), _pick("k + CAST(floor(k / 12) AS BIGINT)", LAST)
+    return f"""
+SELECT 'explicit' AS list, concat(f, ' ', l) AS name FROM (SELECT {first} AS f, {last} AS l FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM {customer}) a) b
+UNION SELECT 'known' AS list, concat(f, ' ', chr(CAST(65 + k % 26 AS INT)), '. ', l) AS name
+FROM (SELECT k, {first} AS f, {last} AS l FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM {customer} UNION SELECT CAST(s_suppkey * 31 AS BIGINT) AS k FROM {supplier}) c) d
+"""
+
+
 def contact_cards(spark: SparkSession, folder: str) -> DataFrame:
     """The cards as a written table.
 

@@ -34,6 +34,22 @@ def word_chunks(spark: SparkSession, path: str) -> DataFrame:
     return chunks.where(F.col("text").rlike(r"(?U)\S"))
 
 
+def word_sections(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, sections`` of every ``.docx`` file below ``path``, for ``structure_counts``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(_count_sections, "doc_id string, sections long")
+
+
+def _count_sections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts = []
+        for content in batch["content"]:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+            counts.append(len(body.findall(f"{W}sectPr")) + len(body.findall(f"{W}p/{W}pPr/{W}sectPr")))
+        yield pd.DataFrame({"doc_id": batch["path"], "sections": counts})
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     for batch in batches:
