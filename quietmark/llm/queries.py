@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.llm import language_id, licenses, quality, toxicity
+from quietmark.llm.alignment import align
 from quietmark.llm.common import attach, bound_batches, fold, fresh
 from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
 from quietmark.llm.packing import pack
+from quietmark.llm.runs import periodic
+from quietmark.llm.secrets import KINDS, secrets
 from quietmark.llm.substring_dedup import substring_dedup
 from quietmark.llm.topk import top_k
 from quietmark.llm.url_filter import judge
@@ -104,6 +107,53 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = table(spark, d, "documents").select("doc_id", found.alias("spans"))
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[-1])
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten (by a hash of its id) repeats some of its own words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.where((h % 10 == 0) & F.col("text").isNotNull()).withColumns({"words": words, "g": g})
+    chosen = chosen.withColumn("n", F.size("words")).where("n > 0").withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), 11))  # at most 10 whole periods and a part follow
+    text = F.array_join(F.slice(F.concat(F.expr("slice(words, 1, a)"), again), F.lit(1), F.col("n")), " ")
+    others = docs.where(~F.coalesce((h % 10 == 0) & F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return others.unionByName(chosen.withColumn("text", text).select(*docs.columns))
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_repetitions(table(spark, d, "documents").select("doc_id", "text"))
+    out = docs.select("doc_id", periodic(F.col("text")).alias("p"))
+    order = F.transform("p.runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("q")))
+    out = out.select("doc_id", "p", F.array_max(order).alias("top"))
+    line = F.array_join(F.transform("p.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("p.runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.q")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.q")).cast("long").alias("exponent_milli"),
+        F.sha2(line, 256).alias("runs_sha256"),
+        F.sha2("p.kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_language_id": op2_language_id,
@@ -115,6 +165,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _FITS = " ".join(
