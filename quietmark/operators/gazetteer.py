@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
-from functools import reduce
-from itertools import islice
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietmark.functions.placeholders import placeholder
-from quietmark.functions.text import empty_array, extract_all, literals, match_spans
-from quietmark.operators.detectors import MAX_LITERAL_NAMES, any_name_pattern, name_pattern
+from quietmark.functions.text import extract_all, match_spans
+from quietmark.operators.detectors import name_pattern
 from quietmark.operators.dictionary import number_in_order
+from quietmark.operators.names import occurrences
 from quietmark.plans.redaction import Redaction
-from quietmark.session import save_stage
+from quietmark.session import Stages
 
 RANKS = {"explicit": 2, "known": 11}
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -61,98 +60,96 @@ def profile_names(names: DataFrame) -> ListProfile:
     return ListProfile(row["size"], tuple(row["lengths"]), row["gap"], row["coreless"])
 
 
-def _coreless_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Hits of names without an ASCII letter, by blocks of literals in one narrow pass."""
-    rows = names.where((core(F.col("name")) == "") & (F.col("name") != "")).select("list", "name").distinct().toLocalIterator()
-    blocks, arrays = list(iter(lambda: list(islice(rows, MAX_LITERAL_NAMES)), [])), []
-    for block in blocks:
-        listed = F.array(*[F.struct(F.lit(r["list"]).alias("list"), F.lit(r["name"]).alias("name")) for r in block])
-        there = F.filter(listed, lambda x: F.regexp_like(F.col("text"), name_pattern(x["name"])))
-        arrays.append(F.when(F.col("text").rlike(any_name_pattern([r["name"] for r in block])), there).otherwise(F.slice(listed, F.lit(1), F.lit(0))))
-    found = chunks.select("doc_id", "chunk_no", "text", F.explode(F.concat(*arrays)).alias("x"))
-    return found.select("doc_id", "chunk_no", "text", "x.list", "x.name")
-
-
-def name_hits(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Chunks paired with the listed names that occur in them.
+def _broadcast_hits(chunks: DataFrame, names: DataFrame, profile: ListProfile) -> DataFrame:
+    """Chunks with their text, paired with names that have an ASCII letter.
 
     Word n-grams of the lengths in the list are taken from the raw text and
     joined with the cores of the names on equality, so the cost per word does not
     depend on the list size; a name that goes on beyond its core (an accented
     first or last letter, say) is then looked for in the matching chunks only.
-
-    A list of at most ``BROADCAST_BYTES`` is broadcast, and the text only
-    travels with matching rows.  A larger list is joined by shuffling the bare
-    n-grams; the texts of the matching chunks are joined back afterwards.
     """
-    profile = profile_names(names)
     keys = ["doc_id", "chunk_no"]
-    listed = names.select("list", "name", core(F.col("name")).alias("gram")).where("gram != ''")
-    listed = listed.groupBy("list", F.lower("name").alias("_key")).agg(F.min("name").alias("name"), F.min("gram").alias("gram")).drop("_key")
+    listed = names.withColumn("gram", core(F.col("name"))).where("gram != ''")
     grams = F.concat(F.expr("cast(array() as array<string>)"), *[extract_all(F.col("text"), _ngram_pattern(n, profile.max_gap), 1) for n in profile.lengths])
     # Lower-case all of them in one string operation.
     grams = F.array_distinct(F.split(F.lower(F.array_join(grams, "\u001f")), "\u001f"))
-    if profile.size <= BROADCAST_BYTES:
-        exploded = chunks.select(*keys, "text", F.explode_outer(grams).alias("gram"))
-        hits = exploded.join(F.broadcast(listed), "gram").select(*keys, "text", "list", "name")
-    else:
-        exploded = chunks.select(*keys, F.explode_outer(grams).alias("gram"))
-        hits = exploded.join(listed.hint("merge"), "gram").select(*keys, "list", "name").join(chunks.select(*keys, "text"), keys)
-    hits = hits.select(*keys, "text", "list", "name").where(F.regexp_like(F.col("text"), name_pattern(F.col("name"))))
-    return hits.unionByName(_coreless_hits(chunks, names)) if profile.coreless else hits
+    hits = chunks.select(*keys, "text", F.explode_outer(grams).alias("gram")).join(F.broadcast(listed), "gram")
+    return hits.select(*keys, "text", "list", "name").where(F.regexp_like(F.col("text"), name_pattern(F.col("name"))))
 
 
-def gazetteer_spans(chunks: DataFrame, names: DataFrame) -> DataFrame:
+def _split_list(names: DataFrame) -> tuple[DataFrame, ListProfile, DataFrame | None]:
+    """Names for the broadcast join, its profile, and names for the shuffled one.
+
+    A list of at most ``BROADCAST_BYTES`` is broadcast; a larger one, and names
+    without an ASCII letter, are joined by their beginnings (see ``names``).
+    """
+    listed = names.groupBy("list", F.lower("name").alias("_key")).agg(F.min("name").alias("name")).drop("_key")
+    profile = profile_names(listed)
+    if profile.size > BROADCAST_BYTES:
+        return listed.where("false"), replace(profile, lengths=()), listed
+    return listed, profile, listed.where(core(F.col("name")) == "") if profile.coreless else None
+
+
+def name_hits(chunks: DataFrame, names: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """``doc_id, chunk_no, list, name``: chunks paired with the listed names that occur in them."""
+    near, profile, rest = _split_list(names)
+    columns = ["doc_id", "chunk_no", "list", "name"]
+    hits = _broadcast_hits(chunks, near, profile).select(*columns)
+    if rest is None:
+        return hits
+    more = occurrences(chunks, rest, stages=stages).select(*columns).distinct()
+    return hits.unionByName(more) if profile.lengths else more
+
+
+def gazetteer_spans(chunks: DataFrame, names: DataFrame, stages: Stages | None = None) -> DataFrame:
     """Span rows of listed names, for ``redact(..., extra=...)``.
 
     Offsets are computed only for matching (chunk, name) pairs.
     """
-    hits = name_hits(chunks, names)
+    near, profile, rest = _split_list(names)
     spans = match_spans(F.col("text"), name_pattern(F.col("name")))
+    hits = _broadcast_hits(chunks, near, profile).select("doc_id", "chunk_no", "list", F.explode_outer(spans).alias("s"))
+    found = hits.where(F.col("s.st").isNotNull()).select("doc_id", "chunk_no", "list", F.col("s.st").alias("start"), F.col("s.en").alias("end"), F.col("s.value").alias("value"))
+    if rest is not None:
+        more = occurrences(chunks, rest, stages=stages).select(*found.columns)
+        found = found.unionByName(more) if profile.lengths else more
     rank = F.lit(None).cast("bigint")
     for tag, r in RANKS.items():
         rank = F.when(F.col("list") == tag, F.lit(r)).otherwise(rank)
-    return (
-        hits.select("doc_id", "chunk_no", "list", F.explode_outer(spans).alias("s"))
-        .where(F.col("s.st").isNotNull())
-        .select(
-            "doc_id",
-            F.col("chunk_no").cast("bigint").alias("chunk_no"),
-            F.col("s.st").cast("bigint").alias("start"),
-            F.col("s.en").cast("bigint").alias("end"),
-            F.lit("person").alias("type"),
-            F.col("s.value").alias("value"),
-            F.coalesce(rank, F.lit(2)).cast("bigint").alias("detector_rank"),
-        )
+    return found.select(
+        "doc_id",
+        F.col("chunk_no").cast("bigint").alias("chunk_no"),
+        F.col("start").cast("bigint").alias("start"),
+        F.col("end").cast("bigint").alias("end"),
+        F.lit("person").alias("type"),
+        "value",
+        F.coalesce(rank, F.lit(2)).cast("bigint").alias("detector_rank"),
     )
 
 
-def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overflow: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Replace every listed name still in the redacted text; a list of any length.
+def sweep_names(
+    result: Redaction, names: list[str] | DataFrame, bounded: bool = True, overflow: bool = True, stages: Stages | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Replace every listed name still in the redacted text; a list of any length and script.
 
-    Returns the chunks with ``swept_text`` and one finding per chunk and name.
-    Known names keep their dictionary placeholder; the others are numbered on
-    from the largest person number, by first sight.  Under document numbering
-    both hold within each document.  ``bounded=False`` also replaces names inside
-    longer words.  The names are tested in blocks of literals, which is narrow;
-    only chunks that still hold a name are grouped and joined.
+    ``names`` is a list, or a table ``name_no, name``.  Returns the chunks with
+    ``swept_text`` and one finding per chunk and name.  Known names keep their
+    dictionary placeholder; the others are numbered on from the largest person
+    number, by first sight.  Under document numbering both hold within each
+    document.  ``bounded=False`` also replaces names inside longer words.  Names
+    meet the text by their beginnings; a chunk's names are then replaced in the
+    order of ``name_no``.
     """
-    if not names:
-        raise ValueError("no names")
-    text = F.col("redacted_text")
+    spark = result.chunks.sparkSession
+    stages = stages or Stages(spark)
+    if not isinstance(names, DataFrame):
+        if not names:
+            raise ValueError("no names")
+        names = spark.createDataFrame(list(enumerate(names)), "name_no int, name string")
     scope = ["doc_id"] if "doc_id" in result.dictionary.columns else []
-    name = "struct<name_no:int,name:string>"
-    arrays, tests = [], []
-    for lo in range(0, len(names), MAX_LITERAL_NAMES):
-        block = names[lo : lo + MAX_LITERAL_NAMES]
-        there = text.rlike(any_name_pattern(block, bounded))
-        listed = F.transform(literals(block), lambda n, i: F.struct((i + lo).cast("int").alias("name_no"), n.alias("name")))
-        present = F.filter(listed, lambda x: F.regexp_like(text, name_pattern(x["name"], bounded)))
-        arrays.append(F.when(there, present).otherwise(empty_array(name)))
-        tests.append(there)
-    any_left = F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
-    left = result.chunks.where(any_left).select("doc_id", "chunk_no", F.explode(F.concat(*arrays)).alias("x"))
-    findings = save_stage(left.select("doc_id", "chunk_no", "x.name_no", "x.name", F.lower("x.name").alias("norm_key")))
+    chunks = stages.save(result.chunks)  # a join of text and replacements, read twice below
+    hits = occurrences(chunks.select("doc_id", "chunk_no", F.col("redacted_text").alias("text")), names.select("name_no", "name"), bounded, stages)
+    findings = stages.save(hits.select("doc_id", "chunk_no", "name_no", "name", F.lower("name").alias("norm_key")).distinct())
 
     people = result.dictionary.where(F.col("type") == "person")
     seen = findings.groupBy(*scope, "name_no", "name", "norm_key").agg(F.min(F.struct("doc_id", "chunk_no", "name_no")).alias("first"))
@@ -164,13 +161,14 @@ def sweep_names(result: Redaction, names: list[str], bounded: bool = True, overf
     new = new.withColumn("replacement", placeholder(F.lit("person"), F.col("n"), overflow))
     columns = [*scope, "name_no", "replacement"]
     entries = known.where("replacement is not null").select(*columns).unionByName(new.select(*columns))
-    done = save_stage(findings.join(entries, [*scope, "name_no"]))
+    done = stages.save(findings.join(entries, [*scope, "name_no"]))
 
     per_chunk = done.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("name_no", "name", "replacement"))).alias("_names"))
-    busy = result.chunks.where(any_left).join(per_chunk, ["doc_id", "chunk_no"], "left")
+    moved = done.agg(F.coalesce(F.sum(F.octet_length("name") + F.octet_length("replacement") + 48), F.lit(0)).alias("b")).first()["b"]
+    swept = chunks.join(F.broadcast(per_chunk) if moved <= BROADCAST_BYTES else per_chunk, ["doc_id", "chunk_no"], "left")
+    text = F.col("redacted_text")
     replaced = F.aggregate("_names", text, lambda acc, x: F.regexp_replace(acc, name_pattern(x["name"], bounded), x["replacement"]))
-    busy = busy.withColumn("swept_text", F.coalesce(replaced, text)).drop("_names")
-    quiet = result.chunks.where(~any_left).withColumn("swept_text", text)
-    return busy.select(*quiet.columns).unionByName(quiet), done.select(
+    swept = swept.withColumn("swept_text", F.coalesce(replaced, text)).select(*chunks.columns, "swept_text")
+    return swept, done.select(
         "doc_id", "chunk_no", F.lit("person").alias("type"), F.col("name").alias("original"), "replacement", F.lit("final sweep").alias("location")
     )

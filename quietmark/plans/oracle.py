@@ -504,6 +504,11 @@ CAST(CASE list WHEN 'explicit' THEN 2 ELSE 11 END AS BIGINT) AS detector_rank
 FROM found WHERE NOT (st > 0 AND {letter.format('st')}) AND NOT {letter.format('st + length(name) + 1')}"""
 
 
+def name_occurrences_query() -> str:
+    found = large_gazetteer_query()
+    return f"SELECT doc_id, chunk_no, start, \"end\", list, name, value FROM ({found.replace('SELECT doc_id, CAST(chunk_no AS BIGINT)', 'SELECT list, name, doc_id, CAST(chunk_no AS BIGINT)')}) z"
+
+
 def gazetteer_query() -> str:
     return f"""WITH {BASE}, {CELLS}, {spans_cte(NAME_LISTS).replace('AND NOT ' + is_placeholder('value'), '')}
 SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS start, CAST(en AS BIGINT) AS "end", type, value, CAST(rk AS BIGINT) AS detector_rank FROM spans"""
@@ -568,6 +573,7 @@ FROM replaced r JOIN chunks c ON r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no
         "name_sweep_per_document": f"WITH {document_sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, swept_text FROM swept",
         "name_sweep_findings_per_document": f"WITH {document_sweep_ctes()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, name AS original, replacement FROM hits JOIN entries USING (doc_id, name_no)",
         "spans_gazetteer_large": large_gazetteer_query(),
+        "name_occurrences": name_occurrences_query(),
         "survival_report": survival_query(False, False),
         "survival_report_exact": survival_query(True, True),
         "survivors": f"WITH {redacted_ctes()}, {survivors_cte(False, False)} SELECT doc_id, type, value FROM survivors WHERE survived",

@@ -23,6 +23,7 @@ from quietmark.functions.predicates import clean_person, looks_like_person
 from quietmark.operators import audit, entities, gazetteer, inventory, review, structure
 from quietmark.operators.detectors import PARITY, STRICT, Rules, detect, only, span_rows
 from quietmark.operators.dictionary import build_dictionary, value_spans
+from quietmark.operators.names import occurrences
 from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_hashed
 from quietmark.session import save_stage, stage_root
@@ -152,10 +153,20 @@ def spans_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return gazetteer.gazetteer_spans(cells(spark, d), gazetteer.gazetteer(spark, NAMES))
 
 
+def large_list(spark: SparkSession, d: str) -> DataFrame:
+    keys = {"customer": table(spark, d, "customer"), "supplier": table(spark, d, "supplier")}
+    return spark.sql(name_list_sql("{customer}", "{supplier}"), **keys)
+
+
 def spans_gazetteer_large(spark: SparkSession, d: str) -> DataFrame:
     """Thousands of names from a table."""
-    keys = {"customer": table(spark, d, "customer"), "supplier": table(spark, d, "supplier")}
-    return gazetteer.gazetteer_spans(cells(spark, d), spark.sql(name_list_sql("{customer}", "{supplier}"), **keys))
+    return gazetteer.gazetteer_spans(cells(spark, d), large_list(spark, d))
+
+
+def name_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """The same names by their beginnings, as lists too long to broadcast are joined."""
+    found = occurrences(cells(spark, d), large_list(spark, d))
+    return found.select("doc_id", *big("chunk_no", "start", "end"), "list", "name", "value")
 
 
 def dictionary(scope: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -370,6 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spans_address_window": spans_of("address_window"),
     "spans_gazetteer": spans_gazetteer,
     "spans_gazetteer_large": spans_gazetteer_large,
+    "name_occurrences": name_occurrences,
     "phone_countries": phone_countries,
     "name_likeness": name_likeness,
     "all_spans": all_spans,
