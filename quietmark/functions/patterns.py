@@ -84,12 +84,17 @@ PLACEHOLDER_SHAPES = {
 }
 
 # ---------------------------------------------------------------------------
-# Shapes of our own: the full address text, the constant date, and the bracket
-# forms used beyond a template's range and for hashed tokens.
+# Shapes of our own: the full address text, the constant date, the bracket form
+# beyond a template's range, and hashed tokens.  The writer of tokens takes its
+# letters and length from here.
 # ---------------------------------------------------------------------------
 
+TOKEN_LETTERS = "abcdefghijklmnop"
+TOKEN_LENGTH = 32
+
 EXTRA_SHAPES = (
     r"Example Address \d+, Pune, Maharashtra 400001",
     r"01 January 1990",
-    r"\[[A-Z_]+-[0-9a-f]+\]",
+    r"\[[A-Z_]+-\d+\]",
+    rf"\[[A-Z_]+-[{TOKEN_LETTERS}]{{{TOKEN_LENGTH}}}\]",
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quietmark.functions.patterns import TOKEN_LENGTH, TOKEN_LETTERS
 from quietmark.functions.text import digits, strip
 
 # ---------------------------------------------------------------------------
@@ -62,6 +63,6 @@ def hashed_placeholder(kind: Column, key: Column, secret: str) -> Column:
     if not secret:
         raise ValueError("a secret is needed: unkeyed digests of short values can be reversed by trying all values")
     inner = F.sha2(F.concat_ws("\u001f", F.lit(f"{secret}.inner"), kind, key), 256)
-    digest = F.translate(F.sha2(F.concat_ws("\u001f", F.lit(f"{secret}.outer"), inner), 256), "0123456789", "ghijklmnop")
-    token = F.concat(F.lit("["), F.upper(kind), F.lit("-"), F.substring(digest, 1, 32), F.lit("]"))
+    digest = F.translate(F.sha2(F.concat_ws("\u001f", F.lit(f"{secret}.outer"), inner), 256), "0123456789", TOKEN_LETTERS[6:])
+    token = F.concat(F.lit("["), F.upper(kind), F.lit("-"), F.substring(digest, 1, TOKEN_LENGTH), F.lit("]"))
     return F.when(kind == "dob", F.lit(TEMPLATES["dob"])).otherwise(token)

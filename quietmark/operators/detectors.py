@@ -20,9 +20,11 @@ from quietmark.functions import vocab as V
 from quietmark.functions.phones import DEFAULT_COUNTRY, NUMBERING_PLAN, valid_phone
 from quietmark.functions.predicates import is_placeholder, looks_like_person, luhn_valid
 from quietmark.functions.text import (
+    RAW,
     empty_array,
     extract_all,
     has_digit,
+    let,
     literals,
     match_parts,
     part_spans,
@@ -202,6 +204,24 @@ def _span_columns(rules: Rules) -> tuple[dict[str, Column], Column, Column]:
     return matches, raw, spans
 
 
+def spans_in(text: Column, rules: Rules = STRICT) -> Column:
+    """``with_spans`` as one expression, for a text inside an array: a line of a document, say."""
+    none = F.expr(f"cast(array() as {RAW})")
+    arrays = []
+
+    def matches(d: Detector) -> Column:
+        return let(extract_all(text, d.pattern), lambda m: let(match_parts(text, d.pattern, d.group, m), part_spans))
+
+    for d in detectors(rules):
+        raw = F.when(GUARDS[d.needs](text), matches(d)).otherwise(none)
+        arrays.append(_detector_spans(text, d, raw, rules))
+    for _, rank, names in _name_lists(rules):
+        there = F.filter(literals(names), lambda n: F.contains(F.lower(text), F.lower(n)))
+        hits = F.flatten(F.transform(there, lambda n: let(match_parts(text, name_pattern(n)), part_spans)))
+        arrays.append(F.transform(F.when(text.rlike(any_name_pattern(names)), hits).otherwise(none), _listed_span(rank)))
+    return F.filter(F.concat(*arrays), lambda s: (s["st"] < s["en"]) & ~is_placeholder(s["value"], rules.extended_placeholders))
+
+
 def _listed_span(rank: int) -> Callable[[Column], Column]:
     return lambda s: _span(s["st"], s["en"], rank, "person", s["value"])
 

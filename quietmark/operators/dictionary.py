@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietmark.functions.placeholders import norm_key, placeholder
+from quietmark.functions.text import let, running
 from quietmark.operators.detectors import STRICT, Rules
-from quietmark.session import save_stage
+from quietmark.session import path_exists, save_stage
 
 HOT_KEYS = 1_000
 
@@ -64,15 +67,92 @@ def build_dictionary(values: DataFrame, scope: str = "corpus", rules: Rules = ST
 
     ``scope="corpus"`` numbers over the whole table, ``"document"`` starts again
     in every document.  The grouping combines map-side, so a value that fills a
-    third of all rows reaches the reducers as one row per task.
+    third of all rows reaches the reducers as one row per task.  A document's
+    distinct values are bounded by its text, so they are numbered in one window.
     """
     groups = ["type"] if scope == "corpus" else ["doc_id", "type"]
     distinct = values.groupBy(*groups, "norm_key").agg(
         F.min(F.struct("doc_id", "chunk_no", "st")).alias("first"), F.count("*").alias("uses")
     )
-    return number_in_order(distinct, groups, "first").withColumn(
-        "replacement", placeholder(F.col("type"), F.col("n"), rules.overflow)
-    )
+    if scope == "corpus":
+        numbered = number_in_order(distinct, groups, "first")
+    else:
+        numbered = distinct.withColumn("n", F.row_number().over(Window.partitionBy(*groups).orderBy("first")).cast("bigint"))
+    return numbered.withColumn("replacement", placeholder(F.col("type"), F.col("n"), rules.overflow))
+
+
+def numbered_within_rows(df: DataFrame, found: str, out: str = "_numbers") -> DataFrame:
+    """Number the values of an array of spans (``type, norm_key``, in text order) within its row.
+
+    Adds ``out``, an array of numbers: a value has its rank among the values of its
+    type by first appearance.  Sorts and running sums, so a row with a hundred
+    thousand spans is not quadratic, and no row meets another.  Arrays that a lambda
+    looks into are bound by ``let``: a column would be evaluated for every element.
+    """
+    def differs(xs: Column, x: Column, k: Column, *fields: str) -> Column:
+        return reduce(lambda a, b: a | b, [k == 0, *(F.get(xs, k - 1)[f] != x[f] for f in fields)])
+
+    def last(xs: Column, *fields: str) -> Column:
+        """Index of the latest element that differs from the one before it in some field."""
+        return running(F.transform(xs, lambda x, k: F.when(differs(xs, x, k, *fields), k).otherwise(0)), "max")
+
+    def by_first(v: Column) -> Column:
+        def place(x: Column, first: Column) -> Column:
+            return F.struct(x["type"].alias("type"), F.get(v, first)["i"].alias("first"), x["i"].alias("i"))
+
+        return F.array_sort(F.zip_with(v, last(v, "type", "key"), place))
+
+    def ranked(f: Column) -> Column:
+        new = F.transform(f, lambda x, k: F.when(differs(f, x, k, "type", "first"), 1).otherwise(0))
+
+        def numbers(rank: Column) -> Column:
+            number = lambda x, start: F.struct(x["i"].alias("i"), (x["r"] - F.get(rank, start) + 1).cast("bigint").alias("n"))
+            at = F.zip_with(f, rank, lambda x, r: F.struct(x["i"].alias("i"), r.alias("r")))
+            return F.array_sort(F.zip_with(at, last(f, "type"), number))
+
+        return let(running(new, "sum"), numbers)
+
+    by_value = F.array_sort(F.transform(found, lambda s, i: F.struct(s["type"].alias("type"), s["norm_key"].alias("key"), i.alias("i"))))
+    df = df.withColumn("_f", let(by_value, by_first))
+    return df.withColumn(out, F.transform(let(F.col("_f"), ranked), lambda x: x["n"])).drop("_f")
+
+
+class DictionaryTable:
+    """A dictionary that lives on over many deliveries: entries are added, never numbered anew.
+
+    A folder of Parquet with one subfolder a delivery.  A delivery's known values
+    keep their placeholders; its new ones are numbered on from the largest number
+    of their type, by first appearance.  Deliveries have rising numbers and are
+    written one at a time.  One that failed, or whose job was run again, replaces
+    what it wrote; a delivery older than the last cannot be run again under its
+    number, as later ones built on it (under a new number it adds nothing).
+    """
+
+    ENTRIES = "type string, norm_key string, n bigint, replacement string, delivery bigint"
+
+    def __init__(self, spark: SparkSession, path: str, rules: Rules = STRICT):
+        self.spark, self.path, self.rules = spark, path.rstrip("/"), rules
+
+    def entries(self, before: int | None = None) -> DataFrame:
+        """``type, norm_key, n, replacement, delivery`` of all deliveries, or of those before one."""
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.ENTRIES)
+        known = self.spark.read.schema(self.ENTRIES).parquet(self.path)
+        return known if before is None else known.where(F.col("delivery") < before)
+
+    def extend(self, values: DataFrame, delivery: int) -> DataFrame:
+        """Add what is new in ``values`` (see ``value_spans``); the entries of all its values, with their ``uses``."""
+        last = self.entries().agg(F.max("delivery").alias("d")).first()["d"]
+        if last is not None and delivery < last:
+            raise ValueError(f"delivery {delivery} is older than delivery {last}")
+        known = self.entries(delivery)
+        seen = save_stage(values.groupBy("type", "norm_key").agg(F.min(F.struct("doc_id", "chunk_no", "st")).alias("first"), F.count("*").alias("uses")))
+        new = seen.join(known, ["type", "norm_key"], "left_anti").drop("uses")
+        tops = known.groupBy("type").agg(F.max("n").alias("_top"))  # one row a type
+        numbered = number_in_order(new, ["type"], "first").join(F.broadcast(tops), "type", "left").withColumn("n", F.col("n") + F.coalesce("_top", F.lit(0)))
+        numbered = numbered.select("type", "norm_key", "n", placeholder(F.col("type"), F.col("n"), self.rules.overflow).alias("replacement"))
+        numbered.write.mode("overwrite").parquet(f"{self.path}/delivery={delivery}")
+        return self.entries(delivery + 1).drop("delivery").join(seen, ["type", "norm_key"])
 
 
 def replace_values(values: DataFrame, dictionary: DataFrame, scope: str = "corpus") -> DataFrame:

@@ -304,6 +304,13 @@ HASHED = (
 )
 
 
+def hashed_twice_query() -> str:
+    """One strict pass: the second one must change nothing."""
+    return f"""WITH {BASE}, {line_chunks()}, {spans_cte(DETECTORS + NAME_LISTS, True)}, {COVER},
+keyed AS (SELECT *, lower({strip('value')}) AS norm_key FROM merged), {splice_cte(replacement=HASHED)}
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, redacted_text, CAST(n_redactions AS BIGINT) AS first_redactions, CAST(0 AS BIGINT) AS n_redactions FROM redacted"""
+
+
 def hashed_query(source: str) -> str:
     return f"""WITH {source}, {line_chunks()}, {spans_cte(DETECTORS + NAME_LISTS)}, {LONGEST},
 keyed AS (SELECT *, lower({strip('value')}) AS norm_key FROM merged), {splice_cte(replacement=HASHED)}
@@ -540,7 +547,6 @@ def build() -> dict[str, str]:
         "chunk_scan": f"WITH {BASE}, {line_chunks()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, text FROM chunks",
         "cell_scan": f"WITH {FIELDS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, {FIELD_LOCATION} AS location, text FROM fields",
         "page_scan": f"WITH {PAGES} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, {PAGE_LOCATION} AS location, text FROM page_chunks",
-        "text_assembly": f"WITH {line_chunks('documents')} SELECT doc_id, string_agg(text, chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id",
         "text_assembly_corpus": f"WITH {BASE}, {line_chunks()} SELECT doc_id, string_agg(text, chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id",
         "spans_card_any": spans_query("credit_card", False),
         "spans_gazetteer": gazetteer_query(),
@@ -558,12 +564,18 @@ every_line AS (SELECT doc_id, i AS chunk_no, parts[i] AS text FROM (SELECT doc_i
 SELECT e.doc_id, string_agg(coalesce(r.redacted_text, e.text), chr(10) ORDER BY e.chunk_no) AS redacted_text, CAST(coalesce(sum(r.n_redactions), 0) AS BIGINT) AS n_redactions
 FROM every_line e LEFT JOIN redacted r ON e.doc_id = r.doc_id AND e.chunk_no = r.chunk_no GROUP BY e.doc_id""",
         "redacted_hashed": hashed_query(BASE),
-        "stream_redacted": hashed_query("corpus AS (SELECT doc_id, text FROM documents)"),
+        "redacted_hashed_twice": hashed_twice_query(),
+        "redacted_deliveries": f"WITH {redacted_ctes()} SELECT {CHUNK_COLUMNS} FROM redacted",
+        "dictionary_deliveries": f"""WITH {BASE}, {CELLS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}
+SELECT d.type, d.norm_key, CAST(d.n AS BIGINT) AS n, d.replacement, CAST(CASE WHEN min(k.doc_id) >= {TURN_ID_BASE} THEN 2 ELSE 1 END AS BIGINT) AS delivery
+FROM dictionary d JOIN keyed k USING (type, norm_key) GROUP BY d.type, d.norm_key, d.n, d.replacement""",
+        "redactions_per_document": f"""WITH {redacted_ctes(chunks=line_chunks(), scope='document')},
+places AS (SELECT doc_id, i AS chunk_no, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS off FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM corpus), unnest(range(1, len(parts) + 1)) t(i))
+SELECT r.doc_id, CAST(st + off AS BIGINT) AS start, CAST(en + off AS BIGINT) AS "end", r.type, r.value, CAST(d.n AS BIGINT) AS n, r.replacement
+FROM replaced r JOIN places p ON r.doc_id = p.doc_id AND r.chunk_no = p.chunk_no
+JOIN dictionary d ON d.doc_id = r.doc_id AND d.type = r.type AND d.norm_key = lower({strip('r.value')})""",
         "stream_redacted_corpus": hashed_query(BASE),
         "redacted_entities": _entities_query(),
-        "findings": f"""WITH {FIELD_CHUNKS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()}
-SELECT r.doc_id, {FIELD_LOCATION} AS location, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, type, value, replacement
-FROM replaced r JOIN fields f ON r.doc_id = f.doc_id AND r.chunk_no = f.chunk_no""",
         "findings_corpus": f"""WITH {MIXED_CHUNKS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()}
 SELECT r.doc_id, location, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, type, value, replacement
 FROM replaced r JOIN chunks c ON r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no""",
@@ -618,9 +630,6 @@ SELECT label, CAST(n AS BIGINT) AS n, lpad(CAST(n AS VARCHAR), CAST(greatest(3,
         "important_names": _name_check_query(),
         "keyword_in_context": f"""WITH {BASE}, {CELLS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS "position", value AS found,
 replace(substring(text, greatest(st - 180, 0) + 1, en + 180 - greatest(st - 180, 0)), chr(10), ' ') AS context FROM ({raw_spans('(?i)rahul sharma')}) r""",
-        "structure_counts": f"""WITH {PAGES}, {FIELDS}, u AS (SELECT doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT doc_id, 'cell', table_no, text FROM fields)
-SELECT doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,
-count(*) FILTER (WHERE kind = 'header') AS headers, count(*) FILTER (WHERE kind = 'footer') AS footers, CAST(sum(length(text)) AS BIGINT) AS characters FROM u GROUP BY doc_id""",
         "structure_counts_corpus": f"""WITH {PAGES}, {MIXED_CHUNKS}, u AS (
 SELECT 'page' AS source, doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT 'corpus', doc_id, kind, table_no, text FROM chunks)
 SELECT source, doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,
@@ -629,6 +638,8 @@ count(*) FILTER (WHERE kind = 'header') AS headers, count(*) FILTER (WHERE kind
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS r FROM chunks) x WHERE r <= 20""",
         "table_sizes": f"WITH {FIELDS} SELECT doc_id, CAST(table_no AS BIGINT) AS table_no, CAST(max(row_no) AS BIGINT) AS n_rows, CAST(max(col_no) AS BIGINT) AS n_cols FROM fields WHERE table_no <= 10 GROUP BY doc_id, table_no",
     }
+    for name in ("text_assembly", "stream_redacted", "findings", "structure_counts"):
+        sql[name] = sql[f"{name}_corpus"]
     sql["redacted_sink"] = f"""SELECT CASE WHEN doc_id >= {TURN_ID_BASE} THEN 'turns' WHEN doc_id >= {CARD_ID_BASE} THEN 'cards' ELSE 'documents' END AS source, * FROM ({sql['redacted_documents']}) r"""
     for key, detector in {
         "spans_email": "email", "spans_ip": "ip", "spans_ssn": "ssn", "spans_card_luhn": "credit_card", "spans_phone": "phone",

@@ -2,9 +2,7 @@
 
 Each query takes a session and a folder with the given Parquet tables.  The
 corpus is all documents, all conversation turns and one contact card per
-customer.  ``findings``, ``text_assembly``, ``stream_redacted`` and
-``structure_counts`` read a part of it, as their SQL does; the queries with
-``_corpus`` behind the name read all of it.  Detector queries use the ``PARITY`` rules in ``cell`` mode, so that
+customer.  Detector queries use the ``PARITY`` rules in ``cell`` mode, so that
 labels may be followed by text on the next line.
 """
 
@@ -22,10 +20,10 @@ from quietmark.functions.phones import international, numbering_plan
 from quietmark.functions.predicates import clean_person, looks_like_person
 from quietmark.operators import audit, entities, gazetteer, inventory, review, structure
 from quietmark.operators.detectors import PARITY, STRICT, Rules, detect, only, span_rows
-from quietmark.operators.dictionary import build_dictionary, value_spans
+from quietmark.operators.dictionary import DictionaryTable, build_dictionary, value_spans
 from quietmark.operators.names import occurrences
 from quietmark.operators.overlaps import with_merged
-from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_hashed
+from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_each, redact_hashed
 from quietmark.session import save_stage, stage_root
 from quietmark.sources.cards import CARD_ID_BASE, contact_cards, name_list_sql
 from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_chunks, redaction_scope
@@ -113,10 +111,6 @@ def page_scan_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return assemble(chunk_text(documents(spark, d)))
-
-
-def text_assembly_corpus(spark: SparkSession, d: str) -> DataFrame:
     return assemble(lines(spark, d))
 
 
@@ -232,11 +226,6 @@ def inventory_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """The hashed redaction as a stream over the documents file."""
-    return streamed(spark, read_texts(spark, f"{d.rstrip('/')}/documents.parquet*"))
-
-
-def stream_redacted_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The hashed redaction as one stream over documents, turns and cards."""
     folder, cards = d.rstrip("/"), fresh_folder(spark, "cards")
     contact_cards(spark, d).write.parquet(cards)
@@ -266,23 +255,46 @@ def redacted_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    """Every redaction with its place, over the cards as two-column tables."""
-    return placed_findings(field_table(contact_cards(spark, d)))
-
-
-def findings_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Every redaction with its place, over the whole corpus."""
-    return placed_findings(lines_and_fields(spark, d))
-
-
-def placed_findings(chunks: DataFrame) -> DataFrame:
-    done = redact(chunks, LISTED)
+    done = redact(lines_and_fields(spark, d), LISTED)
     places = done.chunks.where("n_redactions > 0").select("doc_id", "chunk_no", location().alias("location"))
     return done.findings.join(places, ["doc_id", "chunk_no"]).select(
         "doc_id", "location", *big("st", "en"), "type", "value", "replacement"
     )
 
 
+def redactions_per_document(spark: SparkSession, d: str) -> DataFrame:
+    """Every redaction with its place in the document, numbered within it."""
+    rows = redact_each(corpus(spark, d), LISTED).select("doc_id", F.explode_outer("redactions").alias("r")).where(F.col("r.st").isNotNull())
+    return rows.select("doc_id", F.col("r.st").cast("bigint").alias("start"), F.col("r.en").cast("bigint").alias("end"), "r.type", "r.value", "r.n", "r.replacement")
+
+
+def deliveries(spark: SparkSession, d: str) -> tuple[DictionaryTable, DataFrame]:
+    """Documents and cards, then conversation turns, redacted one after the other with one dictionary that lives on."""
+    entries = DictionaryTable(spark, fresh_folder(spark, "entries"), LISTED)
+    later, out = F.col("doc_id") >= TURN_ID_BASE, fresh_folder(spark, "deliveries")
+    for number, part in ((1, ~later), (2, later)):
+        done = redact(cells(spark, d).where(part), LISTED, table=entries, delivery=number).chunks
+        done.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions").write.mode("append").parquet(out)
+    return entries, spark.read.parquet(out)
+
+
+def dictionary_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary after both deliveries, and the first one once more, which adds nothing."""
+    entries, _ = deliveries(spark, d)
+    entries.extend(value_spans(find_merged(cells(spark, d).where(F.col("doc_id") < TURN_ID_BASE), LISTED), LISTED), 3)
+    return entries.entries()
+
+
+def redacted_hashed_twice(spark: SparkSession, d: str) -> DataFrame:
+    """The redacted text redacted again: nothing is left to find."""
+    # Written in between, as a second delivery would be: a filter on a computed text is evaluated with the text.
+    once = save_stage(redact_hashed(lines(spark, d), STRICT_LISTED, secret=SECRET))
+    again = once.select("doc_id", "chunk_no", F.col("redacted_text").alias("text"), F.col("n_redactions").alias("first_redactions"))
+    done = redact_hashed(again, STRICT_LISTED, secret=SECRET)
+    return done.select("doc_id", *big("chunk_no"), "redacted_text", "first_redactions", "n_redactions")
+
+
 def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = value_spans(find_merged(cells(spark, d), LISTED), LISTED)
     return (
@@ -345,11 +357,6 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structure_counts(spark: SparkSession, d: str) -> DataFrame:
-    chunks = page_scan(spark, d).unionByName(field_table(contact_cards(spark, d)))
-    return structure.structure_counts(chunks).drop("sections")
-
-
-def structure_counts_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Pages and the whole corpus, with sections; apart, since page ids are also document ids."""
     parts = {"page": page_scan(spark, d), "corpus": lines_and_fields(spark, d)}
     pages, rest = (structure.structure_counts(chunks).withColumn("source", F.lit(name)) for name, chunks in parts.items())
@@ -367,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_scan": cell_scan,
     "page_scan": page_scan_rows,
     "text_assembly": text_assembly,
-    "text_assembly_corpus": text_assembly_corpus,
+    "text_assembly_corpus": text_assembly,
     "spans_email": spans_of("email"),
     "spans_ip": spans_of("ip"),
     "spans_ssn": spans_of("ssn"),
@@ -394,12 +401,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redacted_pages": redacted_pages,
     "redacted_documents": redacted_documents,
     "redacted_hashed": redacted_hashed,
+    "redacted_hashed_twice": redacted_hashed_twice,
+    "redacted_deliveries": lambda s, d: deliveries(s, d)[1],
+    "dictionary_deliveries": dictionary_deliveries,
+    "redactions_per_document": redactions_per_document,
     "redacted_entities": redacted_entities,
     "redacted_sink": redacted_sink,
     "stream_redacted": stream_redacted,
-    "stream_redacted_corpus": stream_redacted_corpus,
+    "stream_redacted_corpus": stream_redacted,
     "findings": findings,
-    "findings_corpus": findings_corpus,
+    "findings_corpus": findings,
     "redaction_counts": redaction_counts,
     "name_sweep": name_sweep("text"),
     "name_sweep_findings": name_sweep("findings"),
@@ -430,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "important_names": name_check,
     "keyword_in_context": lambda s, d: review.keyword_in_context(cells(s, d), "rahul sharma"),
     "structure_counts": structure_counts,
-    "structure_counts_corpus": structure_counts_corpus,
+    "structure_counts_corpus": structure_counts,
     "first_paragraphs": lambda s, d: structure.first_paragraphs(lines(s, d)),
     "table_sizes": lambda s, d: structure.table_sizes(field_table(contact_cards(s, d))),
 }

@@ -9,16 +9,18 @@ the dictionary.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.functions.placeholders import hashed_placeholder, norm_key
-from quietmark.functions.text import empty_array, running
-from quietmark.operators.detectors import SPAN, STRICT, Rules, detect, has_candidates, with_spans
-from quietmark.operators.dictionary import build_dictionary, replace_values, value_spans
-from quietmark.operators.overlaps import with_merged
+from quietmark.functions.placeholders import hashed_placeholder, norm_key, placeholder
+from quietmark.functions.predicates import is_placeholder
+from quietmark.functions.text import empty_array, let, running
+from quietmark.operators.detectors import MAX_LITERAL_NAMES, SPAN, STRICT, Rules, detect, has_candidates, spans_in, with_spans
+from quietmark.operators.dictionary import DictionaryTable, build_dictionary, numbered_within_rows, replace_values, value_spans
+from quietmark.operators.overlaps import resolve, with_merged
 from quietmark.operators.splice import splice
 from quietmark.session import save_stage
 from quietmark.sources.chunks import chunk_text
@@ -61,6 +63,19 @@ def find_merged(chunks: DataFrame, rules: Rules = STRICT, extra: DataFrame | Non
     return with_merged(found, rules.overlap)
 
 
+def _long_lists(chunks: DataFrame, rules: Rules, extra: DataFrame | None) -> tuple[Rules, DataFrame | None]:
+    """Name lists too long for literals become span rows of their own."""
+    if max(len(rules.explicit_names), len(rules.known_names)) <= MAX_LITERAL_NAMES:
+        return rules, extra
+    from quietmark.operators import gazetteer
+
+    lists = {"explicit": rules.explicit_names, "known": rules.known_names}
+    wanted = {tag: names for tag, names in lists.items() if not rules.only or f"{tag}_names" in rules.only}
+    spans = gazetteer.gazetteer_spans(chunks, gazetteer.gazetteer(chunks.sparkSession, wanted))
+    spans = spans.where(~is_placeholder(F.col("value"), rules.extended_placeholders))
+    return replace(rules, explicit_names=(), known_names=()), spans if extra is None else extra.unionByName(spans)
+
+
 def _extra_spans(extra: DataFrame) -> DataFrame:
     span = F.struct(
         F.col("start").cast("int").alias("st"),
@@ -78,17 +93,23 @@ def redact(
     rules: Rules = STRICT,
     numbering: str = "corpus",
     extra: DataFrame | None = None,
+    table: DictionaryTable | None = None,
+    delivery: int = 0,
 ) -> Redaction:
     """Detect, resolve, number, replace.
 
     ``numbering``: ``corpus`` keeps one placeholder per value over the whole
     table, ``document`` starts again in every document.  For placeholders
-    without a numbering barrier see ``redact_hashed``.
+    without a numbering barrier see ``redact_hashed``.  With a ``table`` values
+    keep the placeholders of earlier deliveries and new ones are added to it.
     """
+    rules, extra = _long_lists(chunks, rules, extra)
     merged = save_stage(find_merged(chunks, rules, extra))
     values = value_spans(merged, rules)
     # Read several times (top keys, join, reports), so numbered once.
-    dictionary = save_stage(build_dictionary(values, numbering, rules))
+    if table is not None and numbering != "corpus":
+        raise ValueError("a dictionary table is numbered over all documents")
+    dictionary = save_stage(build_dictionary(values, numbering, rules) if table is None else table.extend(values, delivery))
     findings = replace_values(values, dictionary, numbering)
     per_chunk = findings.groupBy("doc_id", "chunk_no").agg(
         F.array_sort(F.collect_list(F.struct("st", "en", "type", "value", "replacement"))).alias("replaced")
@@ -122,6 +143,51 @@ def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, *, secret: str) -> D
     return busy.unionByName(_unchanged(chunks.where(~has_candidates(F.col("text"), rules))))
 
 
+@lru_cache(maxsize=32)
+def _line_spans(rules: Rules) -> Column:
+    """Resolved spans of every element of ``_lines``; built once per rule set."""
+    return F.transform("_lines", lambda x: let(spans_in(x, rules), lambda s: resolve(s, rules.overlap)))
+
+
+def redact_each(docs: DataFrame, rules: Rules = STRICT, text_col: str = "text") -> DataFrame:
+    """Whole documents, numbered within each, without leaving their rows.
+
+    Adds ``redacted_text, n_redactions`` and ``redactions``, an array of ``st, en,
+    type, value, n, replacement`` in document offsets (null where nothing is found).
+    Lines are matched, resolved, numbered and spliced as arrays of one row: no
+    exchange, no dictionary, no key, so any id, a stream too.
+    """
+    whole = f"_text_{uuid.uuid4().hex[:8]}"
+    base = docs.select("*", F.explode(F.array(text_col)).alias(whole))
+    busy = base.where(has_candidates(F.col(whole), rules)).withColumn("_lines", F.split(whole, "\n", -1))
+    ends = running(F.transform("_lines", lambda x: F.length(x) + 1), "sum")
+
+    def placed(spans: Column, at: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                (s["st"] + at).alias("st"), (s["en"] + at).alias("en"), s["type"].alias("type"), s["value"].alias("value"),
+                norm_key(s["type"], s["value"], rules.canonical_keys).alias("norm_key"),
+            ),
+        )
+
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size("_lines") - 1))
+    found = F.flatten(F.zip_with(_line_spans(rules), starts, placed))
+    busy = numbered_within_rows(busy.withColumn("_found", found).drop("_lines"), "_found")
+
+    def replaced(s: Column, n: Column) -> Column:
+        kept = [s[c].alias(c) for c in ("st", "en", "type", "value")]
+        return F.struct(*kept, n.alias("n"), placeholder(s["type"], n, rules.overflow).alias("replacement"))
+
+    busy = busy.withColumn("redactions", F.zip_with("_found", "_numbers", replaced)).drop("_found", "_numbers")
+    busy = busy.withColumns(_redacted_columns(F.col("redactions"), whole))
+    kind = busy.schema["redactions"].dataType
+    quiet = _unchanged(base.where(~has_candidates(F.col(whole), rules)), whole).withColumn("redactions", F.lit(None).cast(kind))
+    new = ("redacted_text", "n_redactions", "redactions")
+    keep = [*(c for c in docs.columns if c not in new), *new]
+    return busy.select(*keep).unionByName(quiet.select(*keep))
+
+
 def redact_documents(
     docs: DataFrame,
     rules: Rules = STRICT,
@@ -131,10 +197,13 @@ def redact_documents(
 ) -> DataFrame:
     """Whole documents back, redacted line by line, blank lines kept.
 
-    Documents without a match are copied by a narrow filter.  For the others
-    the replacements (not the lines) are grouped per document, moved to
-    document offsets and spliced once.
+    Documents without a match are copied by a narrow filter.  Under document
+    numbering the others are redacted within their rows (``redact_each``).  Under
+    corpus numbering the replacements (not the lines) are grouped per document,
+    moved to document offsets and spliced once.
     """
+    if numbering == "document" and max(len(rules.explicit_names), len(rules.known_names)) <= MAX_LITERAL_NAMES:
+        return redact_each(docs, rules, text_col).drop("redactions")
     whole = f"_text_{uuid.uuid4().hex[:8]}"
     base = docs.select("*", F.explode(F.array(text_col)).alias(whole))
     result = redact(chunk_text(docs, id_col, text_col), rules, numbering)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quietmark.operators.detectors import STRICT, Rules
-from quietmark.plans.redaction import redact_hashed
+from quietmark.operators.dictionary import DictionaryTable
+from quietmark.plans.redaction import redact, redact_hashed
 from quietmark.sources.chunks import chunk_text
 
 
@@ -32,3 +33,19 @@ def write_stream(redacted: DataFrame, path: str, checkpoint: str) -> StreamingQu
         .trigger(availableNow=True)
         .start(path)
     )
+
+
+def write_numbered_stream(
+    texts: DataFrame, table: DictionaryTable, path: str, checkpoint: str, rules: Rules = STRICT, mode: str = "paragraph"
+) -> StreamingQuery:
+    """Numbered placeholders on a stream: every micro-batch is a delivery to the dictionary table.
+
+    A batch that is run again after a failure replaces its entries and its folder
+    ``batch=...`` of redacted chunks, so nothing is written or numbered twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = redact(chunk_text(batch, mode=mode), rules, table=table, delivery=batch_id)
+        done.chunks.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,7 +19,7 @@ def per_source(df):
     return {r.source: r.n for r in df.groupBy(source.alias("source")).agg(F.count_distinct("doc_id").alias("n")).collect()}
 
 
-@pytest.mark.parametrize("name", ["text_assembly_corpus", "stream_redacted_corpus", "structure_counts_corpus"])
+@pytest.mark.parametrize("name", ["text_assembly", "stream_redacted", "structure_counts"])
 def test_every_source_is_read(spark, name):
     got = QUERIES[name](spark, SF)
     if "source" in got.columns:
