@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def shard_count(df: DataFrame, text_col: str, per_shard: int = 32 << 20) -> int:
     return max(at_least, -(-int(total) // per_shard))
 
 
+def give_back_memory() -> None:
+    """At the end of a task: what its batches took goes back to the system, as the worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def packed(values: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
@@ -83,6 +94,7 @@ __all__ = [
     "fold",
     "fold_of",
     "fresh",
+    "give_back_memory",
     "packed",
     "row_tag",
     "shard_count",

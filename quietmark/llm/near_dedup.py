@@ -15,12 +15,12 @@ signature is the minimum of such slices.
    every signature value) screen pairs; the full sets of the rest are compared.
 3. Links join classes to components.  Buckets that now lie within one component
    are done.  In the others every class outside the component of the bucket's
-   smallest class is compared with the classes of other components, again behind
-   the screen, in one join whose hot keys Spark splits.  The sets of the classes
-   that have a plausible partner give an exact bound: shingles that a class shares
-   with none of the others cannot be common, so a class with many of its own is
-   similar to nothing.  No pair that shares a bucket is left out for any other
-   reason, but pairs within a component are never listed.
+   smallest class may still be similar to classes of other components.  The sets of
+   those that have a plausible partner are read, and two classes of different
+   components meet if they share one of the rarest shingles of both, so many of
+   them that similar sets must share one; the number of pairs follows rare shingles
+   and not the size of a bucket.  No similar pair that shares a bucket is left out
+   for any other reason, and pairs within a component are never listed.
 
 Two documents at the limit of 0.75 share no band of 51 with probability 1e-6; the
 screen drops such a pair with probability 1e-6.
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, attach, fresh, packed, row_tag
+from quietmark.llm.common import Stages, attach, fresh, give_back_memory, packed, row_tag
 from quietmark.llm.components import components
 from quietmark.llm.words import FOLD_CASE, SPACES, Words, groups, mix, rolling, text_bytes
 
@@ -130,6 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), pa.array(list(sketch), pa.list_(pa.int64())), bands],
             names=["id", "tag", "n", "cls", "sketch", "bands"],
         )
+    give_back_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = [_digest(h[a:b]) for a, b in zip(first, first[1:])]
             sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), sets], names=["cls", "shingles"])
+    give_back_memory()
 
 
 def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
@@ -173,10 +175,19 @@ def _plausible() -> Column:
     return sizes & (reduce(lambda x, y: x + y, (_differing(i) for i in range(LONGS))) <= SCREEN)
 
 
-def _lonely(sets: DataFrame) -> DataFrame:
-    """``cls, lonely``: how many shingles of a class are in no other of the sets."""
-    each = sets.select("cls", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("cls").alias("cls"), F.count("*").alias("m"))
-    return each.where("m = 1").groupBy("cls").agg(F.count("*").alias("lonely"))
+def _rarest(sets: DataFrame) -> DataFrame:
+    """``cls, n, s``: the shingles of a class without which it could be similar to nothing.
+
+    Two similar sets have at least ``THRESHOLD`` per cent of the larger in common.  In
+    any one order of all shingles their first ``n - common + 1`` then share one, and the
+    order from rare to frequent makes that a join of rare keys.  Shingles of one class
+    only join nothing and go, after the cut.
+    """
+    each = sets.select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counted = each.join(each.groupBy("s").agg(F.count("*").alias("m")), "s")
+    ordered = counted.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("x"))
+    first = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1
+    return ordered.select("cls", "n", F.explode(F.slice("x", F.lit(1), first.cast("int"))).alias("x")).where("x.m > 1").select("cls", "n", "x.s")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stages: Stages | None = None) -> DataFrame:
@@ -217,21 +228,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = member.join(strays.select("key").distinct(), "key", "left_semi").where("cls != hub").join(narrow, "cls")
         rest = rest.select("key", F.col("cls").alias("b"), F.col("r").alias("q"), (F.col("r") == F.col("hr")).alias("home"), F.col("n").alias("o"), F.col("sketch").alias("other"))
         apart = (left["key"] == rest["key"]) & (F.col("r") != F.col("q")) & _plausible()
-        # Only classes with a plausible partner go on, and of their pairs only those that the sets' sizes still allow
-        # when the shingles that none of the others has are taken off.
+        # Only classes with a plausible partner go on; of these two meet where they share one of their rarest shingles.
         left, rest = stages.save(left.join(rest, apart, "left_semi")), stages.save(rest.join(left, apart, "left_semi"))
         sets = _sets_of(left.select(F.col("a").alias("cls")).union(rest.select("b")).distinct(), classes, texts, stages)
-        lonely = stages.save(_lonely(sets))
-        left = left.join(lonely.toDF("a", "u"), "a", "left").na.fill(0, ["u"])
-        rest = rest.join(lonely.toDF("b", "v"), "b", "left").na.fill(0, ["v"])
-        common = F.least(F.col("n") - F.col("u"), F.col("o") - F.col("v"))
-        allowed = 100 * common >= THRESHOLD * (F.col("n") + F.col("o") - common)
-        once = F.col("home") | (F.col("a") < F.col("b"))
-        met = left.join(rest, (left["key"] == rest["key"]) & (F.col("r") != F.col("q")) & once & allowed & _plausible())
-        more = _linked(stages.save(met.select("a", "b").distinct()), sets, stages)
+        belongs = left.select(F.col("a").alias("cls"), "r").union(rest.select(F.col("b").alias("cls"), F.col("q").alias("r"))).distinct()
+        rare = stages.save(_rarest(sets).join(belongs, "cls"))
+        other = rare.select("s", F.col("cls").alias("b"), F.col("r").alias("q"), F.col("n").alias("o"))
+        sizes = 100 * F.least("n", "o") >= THRESHOLD * F.greatest("n", "o")
+        met = rare.withColumnRenamed("cls", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("q")) & sizes)
+        met = met.select("a", "b").distinct().join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b").where(_plausible())
+        more = _linked(stages.save(met.select("a", "b")), sets, stages)
         so_far = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stages.save(components(so_far.union(more), stages))
-        stages.drop(sets, lonely)
+        stages.drop(sets, rare)
     stages.drop(buckets, member, strays)
 
     smallest = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("c"))
