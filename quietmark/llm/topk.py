@@ -9,11 +9,13 @@ blocks are merged by rank.  A group holds ``QUERY_BLOCK`` queries and
 ``CANDIDATE_BLOCK`` candidates whatever the size of the table, and no block
 depends on a value, so equal vectors or ids cannot make one block large.
 
-Weights are ``floor(scale * x)``, kept within +-2**27 so that scores fit 64 bits;
-missing components count as zero.  Null vectors, vectors with null or non-finite
-components and rows without an id take no part.  Candidates of a query are all
-rows with another id; rows that share an id are candidates of their own, and a
-query id's list is drawn from all its rows.  Ties go to the smaller id.
+Weights are ``floor(scale * x)``, as 64-bit integers (larger ones stop at the limits
+of that type); missing components count as zero.  Blocks whose scores may leave 64
+bits are added up in integers of any length, and a score beyond 64 bits is reported
+as the limit of that type.  Null vectors, vectors with null or non-finite
+components and rows without an id take no part.  Candidates of a query row are all
+other rows, also those with its id; query rows that share an id have a list each.
+Ties go to the smaller id.
 Fewer candidates than ``k`` give a shorter list, an empty table an empty result.
 """
 
@@ -28,15 +30,17 @@ from quietmark.llm.common import Stages
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-LIMIT = 1 << 27
-LISTS = "query_id long, vec_id long, score long"
+LONGEST = (1 << 63) - 1
+#: The largest double below 2**63.
+LIMIT = float((1 << 63) - 1024)
+LISTS = "query long, query_id long, vec_id long, score long"
 
 
 def weights(vector: Column, scale: int = 256) -> Column:
     """The vector as integers; null where it can take no part."""
     doubles = vector.cast("array<double>")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    whole = F.transform(doubles, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.lit(float(scale)) * F.least(F.greatest(x, F.lit(-1e12)), F.lit(1e12))))).cast("long"))
+    whole = F.transform(doubles, lambda x: F.floor(F.least(F.greatest(F.lit(float(scale)) * x, F.lit(-LIMIT)), F.lit(LIMIT))))
     return F.when(~F.exists(doubles, odd), whole)
 
 
@@ -60,26 +64,31 @@ def _postings(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray | slice, np
 
 def _search(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids = candidates["vec_id"].to_numpy()
+        ids, numbers = candidates["vec_id"].to_numpy(), candidates["number"].to_numpy()
         index = _postings(candidates["w"])
-        out_q, out_v, out_s = [], [], []
+        most = {t: max(abs(int(posting.max())), abs(int(posting.min()))) for t, (_, posting) in index.items()}
+        out_n, out_q, out_v, out_s = [], [], [], []
         if len(ids):
-            for qid, row in zip(queries["vec_id"].to_pylist(), queries["w"]):
-                scores = np.zeros(len(ids), np.int64)
-                for t, weight in enumerate(row.values.to_numpy()):
+            for number, qid, row in zip(queries["number"].to_pylist(), queries["vec_id"].to_pylist(), queries["w"]):
+                row = row.values.to_numpy()
+                fits = sum(abs(w) * most.get(t, 0) for t, w in enumerate(row.tolist())) <= LONGEST
+                scores = np.zeros(len(ids), np.int64 if fits else object)
+                for t, weight in enumerate(row if fits else row.tolist()):
                     if weight and t in index:
                         places, posting = index[t]
-                        scores[places] += weight * posting
-                free = np.flatnonzero(ids != qid)
+                        scores[places] += weight * (posting if fits else posting.astype(object))
+                free = np.flatnonzero(numbers != number)
                 own = scores[free]
                 if len(own) > k:  # all that reach the k-th score, so that ties are settled by id
                     free = free[own >= np.partition(own, len(own) - k)[len(own) - k]]
-                best = free[np.lexsort((ids[free], -scores[free]))[:k]]
+                rank = np.argsort(ids[free], kind="stable")
+                best = free[rank[np.argsort(-scores[free[rank]], kind="stable")[:k]]]
+                out_n += [number] * len(best)
                 out_q += [qid] * len(best)
                 out_v.append(ids[best])
-                out_s.append(scores[best])
+                out_s.append(np.clip(scores[best], -LONGEST - 1, LONGEST).astype(np.int64))
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": join(out_v), "score": join(out_s)})
+        return pa.table({"query": pa.array(out_n, pa.int64()), "query_id": pa.array(out_q, pa.int64()), "vec_id": join(out_v), "score": join(out_s)})
 
     return run
 
@@ -96,5 +105,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     queries = deal(rows.where("q").select("number", "vec_id", "w"), "qb", "cb", query_blocks, blocks)
     candidates = deal(rows.select("number", "vec_id", "w"), "cb", "qb", blocks, query_blocks)
     lists = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(_search(k), LISTS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

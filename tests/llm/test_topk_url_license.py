@@ -37,10 +37,24 @@ def test_top_k_leaves_out_what_cannot_be_scored(spark):
     rows = [(50, [1.0, 0.0]), (1, [0.5, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, []), (6, [1e300, 1.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, vec array<double>, w string, number int")
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
-    assert sorted(got) == [(50, 1, 6, 256 * topk.LIMIT), (50, 2, 5, 0)]
+    assert sorted(got) == [(50, 1, 6, (1 << 63) - 1), (50, 2, 5, 0)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_shared_ids(spark):
+    rows = [(50, [3.0, -1.0]), (50, [3.0, -2.0]), (1, [6e5, 0.0]), (2, [7e5, 0.0]), (3, [2.0**54, 2.0**54]), (4, [2.0**54, 2.0**53])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, vec array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.vec_id, r.score))
+    score = lambda a, b: int(sum((x * 256) * (y * 256) for x, y in zip(a, b)))
+    want = {}
+    for i in (0, 1):  # each query row has the other as a candidate
+        others = sorted((-min(score(rows[i][1], v), (1 << 63) - 1), j) for n, (j, v) in enumerate(rows) if n != i)
+        for rank, (s, j) in enumerate(others[:5], 1):
+            want.setdefault((50, rank), []).append((j, -s))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and (2, 256 * 256 * 3 * 700_000) in got[50, 3]
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/", "block"), ("org", "/fr", "allow"), ("org", "/fr/x/y", "block")]
 
 
