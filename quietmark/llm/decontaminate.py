@@ -8,14 +8,13 @@ a window with up to two substituted words agrees with the original under one mas
 at least.  Training hashes are looked up among the benchmark's hashes; each hit
 gives an item and a relative position, and the words along it are compared: every
 window of 13 words with at most ``SUBSTITUTIONS`` differences is an overlap.
-Items of fewer than 13 words count where all their words stand, if they have at
-least ``SHORTEST``; shorter items are not looked for.
-
-With ``every_item`` (as the query and the pipeline call it) no item is left out:
+No item is left out:
 
 * Items of 7 to 12 words may have one substituted word: three masks, each ignoring
   a third of the item, one of which leaves it out.  Items of 1 to 6 words count
-  where all their words stand, so an item of one word marks every document with it.
+  where all their words stand, so an item of one word is reported for every document
+  with it; ``contaminated`` takes overlaps of at least ``SHORTEST`` words as reason to
+  drop a document, as fewer words also stand in texts that never saw the benchmark.
 * Each character of a script without blanks (Chinese, Japanese, Thai, Lao, Tibetan,
   Burmese, Khmer) is a word, and marks of other scripts divide words too.  As such a
   word says less, a window there has 26 characters and 4 substitutions, or 52 and 8
@@ -38,7 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietmark.llm.common import Stages, fresh
@@ -47,6 +46,7 @@ from quietmark.llm.words import FOLD_CASE, NOT_ALNUM, Words, fold_accents, group
 SPAN = 13
 IGNORED = (0, 1, 3, 9)
 SUBSTITUTIONS = 2
+#: Words of the shortest overlap that speaks against a document.
 SHORTEST = 5
 BLOCK_WORDS = 500_000
 FILTER_BITS = 24
@@ -151,15 +151,13 @@ class Index(NamedTuple):
     bits: np.ndarray  # one bit for the top bits of every key
 
 
-def build_index(ids: np.ndarray, texts: pa.Array, every_item: bool = False) -> Index:
+def build_index(ids: np.ndarray, texts: pa.Array) -> Index:
     buf, at = text_bytes(texts)
     scale = np.full(len(texts), SCALE[0])
-    if every_item:
-        buf, at, (ideographs, letters) = set_apart(buf, at)
+    buf, at, (ideographs, letters) = set_apart(buf, at)
     words = folded_words(buf, at)
-    if every_item:
-        scale[2 * (ideographs + letters) > words.counts] = SCALE[1]
-        scale[2 * letters > words.counts] = SCALE[2]
+    scale[2 * (ideographs + letters) > words.counts] = SCALE[1]
+    scale[2 * letters > words.counts] = SCALE[2]
     left = words.left()
     keys, places = [], []
     for mask in range(SPAN):
@@ -172,8 +170,8 @@ def build_index(ids: np.ndarray, texts: pa.Array, every_item: bool = False) -> I
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[keys >> np.uint64(64 - FILTER_BITS)] = True
     short = []
-    for n in range(1 if every_item else SHORTEST, SPAN):
-        one = (scale == 1) & bool(every_item and SUBSTITUTIONS * n // SPAN)
+    for n in range(1, SPAN):
+        one = (scale == 1) & bool(SUBSTITUTIONS * n // SPAN)
         for some, masks in ((~one, [(0, 0)]), (one, [(n * k // 3, n * (k + 1) // 3) for k in range(3)])):
             items = np.flatnonzero((words.counts == n) & some)
             for lo, hi in masks if len(items) else ():
@@ -238,7 +236,7 @@ def find(index: Index, words: Words) -> list[list[tuple[int, int, int]]]:
 OVERLAPS = "array<struct<item_id:long,first_word:int,end_word:int>>"
 
 
-def _look(shared, every_item: bool):
+def _look(shared):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     @F.arrow_udf(OVERLAPS)
@@ -247,28 +245,31 @@ def _look(shared, every_item: bool):
         buf, at = text_bytes(texts)
         rows = []
         for lo, hi in groups(at):
-            part = set_apart(buf, at[lo : hi + 1])[:2] if every_item else (buf, at[lo : hi + 1])
-            for found in find(index, folded_words(*part)):
+            for found in find(index, folded_words(*set_apart(buf, at[lo : hi + 1])[:2])):
                 rows.append([{"item_id": int(index.ids[i]), "first_word": s, "end_word": e} for i, s, e in sorted(found)])
         return pa.array(rows, kind)
 
     return look
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stages: Stages | None = None, every_item: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stages: Stages | None = None) -> DataFrame:
     """``docs`` with a column ``contamination``: the overlaps of each text, an empty list for a clean one."""
     stages = stages or Stages(docs.sparkSession)
     items = benchmark.select(F.col(item_col).try_cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null and text is not null")
     items = stages.save(items.withColumn("number", F.monotonically_increasing_id()))
-    words = F.size(F.split("text", r"\s+"))
-    if every_item:  # characters that may be words of their own
-        words += F.length(F.regexp_replace("text", r"[\x{0}-\x{DFF}]", ""))
+    # Characters of higher code points may be words of their own.
+    words = F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", r"[\x{0}-\x{DFF}]", ""))
     size = items.agg(F.sum(words)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_WORDS))
     found = [fresh("found") for _ in range(blocks)]
     out = docs
     for b, column in enumerate(found):
         part = items.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == b).select("id", "text").toArrow()
-        index = build_index(part["id"].to_numpy(), part["text"].combine_chunks() if len(part) else pa.array([], pa.string()), every_item)
-        out = out.withColumn(column, _look(docs.sparkSession.sparkContext.broadcast(index), every_item)(F.col(text_col)))
+        index = build_index(part["id"].to_numpy(), part["text"].combine_chunks() if len(part) else pa.array([], pa.string()))
+        out = out.withColumn(column, _look(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
     return out.withColumn("contamination", F.concat(*found)).drop(*found)
+
+
+def contaminated(overlaps: str = "contamination", shortest: int = SHORTEST) -> Column:
+    """Whether an overlap of at least ``shortest`` words speaks against the document; false for none and for null."""
+    return F.coalesce(F.exists(overlaps, lambda o: o.end_word - o.first_word >= shortest), F.lit(False))

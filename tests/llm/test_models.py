@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import contaminated
 from pyspark.sql import functions as F
+from test_short_items import found
 
 from quietmark.llm import decontaminate, language_id, quality, toxicity
 from quietmark.llm.decontaminate import IGNORED, SPAN, find_overlaps, seed_hashes
@@ -160,6 +160,6 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame(docs, "doc_id long, text string, found string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: {c.item_id for c in r.contamination} for r in find_overlaps(df, bench).collect()}
-    want = {i: contaminated(t, [x for x in items if x[0] is not None]) for i, t, _ in docs}
+    want = {i: found(t or "", [x for x in items if x[0] is not None and x[1]]) for i, t, _ in docs}
     assert got == want and any(want.values())
     assert find_overlaps(df.limit(0), bench).count() == 0 and find_overlaps(df, bench.limit(0)).where("size(contamination) > 0").count() == 0

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quietmark.llm import decontaminate
-from quietmark.llm.decontaminate import find_overlaps
+from quietmark.llm.decontaminate import contaminated, find_overlaps
 from quietmark.llm.queries import QUERIES
 from quietmark.sources.tables import table
 
@@ -66,7 +66,7 @@ def test_every_item_equals_brute_force(spark, monkeypatch, block):
     items = [(i, "".join(w)) for i, w in items]
     bench = spark.createDataFrame([*items, (100, None), (None, "a b c d e f"), (101, ""), (102, "。")], "item_id long, text string")
     df = spark.createDataFrame([*docs, (200, None), (201, "")], "doc_id long, text string")
-    got = {r.doc_id: {c.item_id for c in r.contamination} for r in find_overlaps(df, bench, every_item=True).collect()}
+    got = {r.doc_id: {c.item_id for c in r.contamination} for r in find_overlaps(df, bench).collect()}
     assert got == {i: found(t, items) for i, t in docs} | {200: set(), 201: set()} and sum(map(bool, got.values())) > 50
 
 
@@ -85,11 +85,19 @@ def test_short_items_and_scripts_without_blanks(spark):
         (5, "who wrote it? which planet has the fewest named moons 光合作用的主要产物 ประเทศไทย"),
     ]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: [(c.item_id, c.first_word, c.end_word) for c in r.contamination] for r in find_overlaps(df, bench, every_item=True).collect()}
+    got = {r.doc_id: [(c.item_id, c.first_word, c.end_word) for c in r.contamination] for r in find_overlaps(df, bench).collect()}
     assert got[1] == [(1, 1, 4)] and got[2] == [(2, 0, 8)] and got[5] == []
     assert {c[0] for c in got[3]} == {3} and {c[0] for c in got[4]} == {4}
 
 
+def test_few_words_do_not_speak_against_a_document(spark):
+    items = [(1, "answer"), (2, "the answer is forty two"), (3, "光合作用"), (4, None)]
+    docs = [(1, "an answer"), (2, "so the answer is forty two"), (3, "光合作用"), (4, "nothing here"), (5, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (bool(r.contamination), r.bad) for r in find_overlaps(df, bench).withColumn("bad", contaminated()).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (True, False), 4: (False, False), 5: (False, False)}
+
+
 def test_query_finds_short_items(spark, tmp_path):
     table(spark, "/root/testdata/sf0.001", "documents").limit(20).write.parquet(f"{tmp_path}/documents.parquet")
     bench = "SELECT doc_id AS item_id, array_join(slice(split(trim(text), '[^A-Za-z]+'), 2, 3), ' ') AS text FROM {d} WHERE size(split(trim(text), '[^A-Za-z]+')) > 5 AND text RLIKE '^[ -~\\n]*$'"
