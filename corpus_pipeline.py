@@ -9,7 +9,8 @@ and reread each result, or ``run`` does so below the shared stage folder.
 * repeated_passages: passages that an earlier document holds are cut out of
   ``text`` (its kept words, joined by blanks); ``n_chars`` follows.  Texts without
   such a passage stay as they are; a text that loses all its words stays, empty.
-* benchmark_passages: documents with a passage of a benchmark item go.
+* benchmark_passages: documents with a passage of a benchmark item go, if it has at
+  least five words (of scripts without blanks: characters).
 * packing: one row a piece of at most 1024 tokens.
 
 Null texts and ids pass every stage (a null text is scored as an empty one); an
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quietmark.llm import quality
 from quietmark.llm.common import bound_batches, fresh
-from quietmark.llm.decontaminate import find_overlaps
+from quietmark.llm.decontaminate import contaminated, find_overlaps
 from quietmark.llm.near_dedup import drop_near_duplicates
 from quietmark.llm.packing import pack
 from quietmark.llm.queries import quality_model, table
@@ -59,8 +60,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    out = find_overlaps(docs, table(spark, sf_dir, "benchmark"), every_item=True)
-    return out.where(F.size("contamination") == 0).select(*docs.columns)
+    out = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return out.where(~contaminated()).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
