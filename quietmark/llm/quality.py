@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietmark.llm.common import give_back_memory
 from quietmark.llm.words import SPACES, Words, byte_set, groups, rolling, text_bytes
 
 LABELLED = 12_000
@@ -216,6 +217,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta = meta if meta.size else np.zeros((batch.num_rows, 1))
         kind = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, kind), pa.array(list(meta), kind)], names=["y", "text", "meta"])
+    give_back_memory()
 
 
 def usable(docs: DataFrame, meta_cols: Sequence[str]) -> list[str]:
@@ -253,6 +255,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: Sequ
         text = np.concatenate([text_features(buf, at[lo : hi + 1]) for lo, hi in groups(at)] or [np.zeros((0, len(TEXT_FEATURES)))])
         meta = meta_features(others)
         values = combined(model, text, meta if meta.size else np.zeros((len(texts), 1)))
-        return pa.StructArray.from_arrays([pa.array(v) for v in values], ["score", "text_score", "meta_score"])
+        out = pa.StructArray.from_arrays([pa.array(v) for v in values], ["score", "text_score", "meta_score"])
+        del buf, text, meta
+        give_back_memory()
+        return out
 
     return judge(F.col(text_col), *(F.col(c) for c in columns))

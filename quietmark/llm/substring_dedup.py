@@ -12,8 +12,8 @@ One level is two shuffles of packed arrays: every input batch sends each distinc
 window once to the shard of its hash (copies within a batch are settled there,
 so a passage in a third of all documents is one entry a batch), and the shards
 send the repeated places back to the batch.  Texts are not moved unless the list
-of places is too large to broadcast.  A shard holds what about 32 MB of text
-produce, whatever the size of the corpus.
+of places is too large to broadcast.  A shard holds what about 8 MB of text
+produce, and one entry a batch for each very common window.
 
 Null text: no words.  Null id: the row neither owns nor loses a passage.  Rows
 that share an id are one document: none of them loses words to the other.  An
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, attach, fresh, packed, row_tag, shard_count, unpacked
+from quietmark.llm.common import Stages, attach, fresh, give_back_memory, packed, row_tag, shard_count, unpacked
 from quietmark.llm.words import Words, groups, rolling, slide, text_bytes
 
 SENT = "shard int, batch long, k1 binary, k2 binary, id binary, row binary, pos binary, len binary, heads binary, known binary"
@@ -39,6 +39,8 @@ REPLY = "batch long, places binary, heads binary"
 RUNS = "id long, tag long, runs array<int>"
 BASE = 7
 BATCH_BYTES = 12 << 20
+#: Text whose windows one shard gets.
+SHARD_BYTES = 8 << 20
 
 
 def levels(window: int, base: int = BASE) -> list[int]:
@@ -160,6 +162,7 @@ def _send(shards: int, base: int, before: int, length: int, last: bool):
                     out[f].append(v)
             kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+        give_back_memory()
 
     return run
 
@@ -167,22 +170,29 @@ def _send(shards: int, base: int, before: int, length: int, last: bool):
 def _settle(last: bool):
     """Finds the repeated entries of one shard; answers by batch."""
 
-    def run(table: pa.Table) -> pa.Table:
-        col = {f: table[f].to_pylist() for f in table.column_names}
-        k1 = unpacked(b"".join(col["k1"]), np.uint64)
-        k2 = unpacked(b"".join(col["k2"]), np.uint64) if last else k1
-        ids = unpacked(b"".join(col["id"]), np.int64)
-        found, _ = _repeated(k1, k2, ids, last)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        flat = lambda f, kind: np.concatenate([np.zeros(0, kind), *(unpacked(v.as_py(), kind) for b in held for v in b.column(f))])
+        k1 = flat("k1", np.uint64)
+        found, _ = _repeated(k1, flat("k2", np.uint64) if last else k1, flat("id", np.int64), last)
+        del k1
         at = 0
-        places = []
-        for i in range(table.num_rows):
-            row, pos, n = (unpacked(col[f][i], np.int32) for f in ("row", "pos", "len"))
-            hit = found[at : at + len(row)] & (row >= 0)
-            at += len(row)
-            places.append(packed(np.stack([row[hit], pos[hit], n[hit]], 1), np.int32) + col["known"][i])
-        keep = [i for i, p in enumerate(places) if p or col["heads"][i]]
-        pick = lambda values, kind: pa.array([values[i] for i in keep], kind)
-        return pa.table({"batch": pick(col["batch"], pa.int64()), "places": pick(places, pa.binary()), "heads": pick(col["heads"], pa.binary())})
+        for piece in held:  # answers leave as they are made
+            col = {f: piece.column(f) for f in ("batch", "row", "pos", "len", "heads", "known")}
+            out: dict[str, list] = {"batch": [], "places": [], "heads": []}
+            for i in range(piece.num_rows):
+                row, pos, n = (unpacked(col[f][i].as_py(), np.int32) for f in ("row", "pos", "len"))
+                hit = found[at : at + len(row)] & (row >= 0)
+                at += len(row)
+                places = packed(np.stack([row[hit], pos[hit], n[hit]], 1), np.int32) + col["known"][i].as_py()
+                heads = col["heads"][i].as_py()
+                if places or heads:
+                    for f, v in zip(out, (col["batch"][i].as_py(), places, heads)):
+                        out[f].append(v)
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+        del held
+        give_back_memory()
 
     return run
 
@@ -213,7 +223,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents without such a window have no row.  Rows that are wholly equal give equal rows once.
     """
     stages = stages or Stages(docs.sparkSession)
-    shards = shard_count(docs, text_col)
+    shards = shard_count(docs, text_col, SHARD_BYTES)
     base = min(BASE, (window + 1) // 2)
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).try_cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text")
