@@ -15,7 +15,7 @@ send the repeated places back to the batch.  Texts are not moved unless the list
 of places is too large to broadcast.  A shard holds what about 8 MB of text
 produce, and one entry a batch for each very common window.
 
-Null text: no words.  Null id: the row neither owns nor loses a passage.  Rows
+Null text: no words.  Null id, or one that is no long: the row neither owns nor loses a passage.  Rows
 that share an id are one document: none of them loses words to the other.  An
 empty table gives an empty result.  Other columns are passed through untouched.
 """
@@ -225,7 +225,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stages = stages or Stages(docs.sparkSession)
     shards = shard_count(docs, text_col, SHARD_BYTES)
     base = min(BASE, (window + 1) // 2)
-    source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    source = docs.where(F.col(id_col).try_cast("long").isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).try_cast("long").alias("id"), row_tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text")
     )
     found, before = None, None

@@ -50,3 +50,9 @@ def test_empty_and_clashing_names(table_of):
     rows = [("1", "a b c d", 1, "x"), ("2", "a b c d", 2, "y")]
     out = substring_dedup(table_of(rows, "doc_id string, text string, runs int, dedup string"), window=3)
     assert [(r.doc_id, r.runs, r.dedup.n_removed) for r in out.orderBy("doc_id").collect()] == [("1", 1, 0), ("2", 2, 4)]
+
+
+def test_ids_that_are_no_numbers_own_no_passage(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([("a", passage), ("1", passage), ("b", passage), ("2", passage)], "doc_id string, text string")
+    assert {r.doc_id: r.dedup.n_removed for r in substring_dedup(df).collect()} == {"a": 0, "1": 0, "b": 0, "2": 20}
