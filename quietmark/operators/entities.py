@@ -17,6 +17,7 @@ from quietmark.operators.detectors import STRICT, Rules
 LABELS = ("PERSON", "ORG", "GPE", "LOC")
 SEGMENT = 2_000
 ENTITY_RANK = 13
+TITLE_CASE = r"\b[A-Z][A-Za-z'-]+(?: [A-Z][A-Za-z'.-]+)+"
 
 
 def segments(chunks: DataFrame, size: int = SEGMENT, overlap: int = 0) -> DataFrame:
@@ -50,9 +51,8 @@ def title_case_candidates(chunks: DataFrame) -> DataFrame:
     Not a model: it exists so that the filters can run on the given tables.  A
     run with a company term is labelled ORG, all others PERSON.
     """
-    pattern = r"\b[A-Z][A-Za-z'-]+(?: [A-Z][A-Za-z'.-]+)+"
-    found = match_spans(F.col("text"), pattern)
-    rows = chunks.where(F.col("text").rlike(pattern)).select(
+    found = match_spans(F.col("text"), TITLE_CASE)
+    rows = chunks.where(F.col("text").rlike(TITLE_CASE)).select(
         "doc_id", "chunk_no", F.explode_outer(found).alias("s")
     ).where(F.col("s.st").isNotNull())
     return rows.select(

@@ -576,6 +576,8 @@ FROM replaced r JOIN places p ON r.doc_id = p.doc_id AND r.chunk_no = p.chunk_no
 JOIN dictionary d ON d.doc_id = r.doc_id AND d.type = r.type AND d.norm_key = lower({strip('r.value')})""",
         "stream_redacted_corpus": hashed_query(BASE),
         "redacted_entities": _entities_query(),
+        "redacted_entities_in_rows": _entities_query(),
+        "entities_by_function": f'''{WITH_CANDIDATES} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", label, text FROM candidates''',
         "findings_corpus": f"""WITH {MIXED_CHUNKS}, {spans_cte(alls)}, {LONGEST}, {dictionary_cte()}, {splice_cte()}
 SELECT r.doc_id, location, CAST(st AS BIGINT) AS st, CAST(en AS BIGINT) AS en, type, value, replacement
 FROM replaced r JOIN chunks c ON r.doc_id = c.doc_id AND r.chunk_no = c.chunk_no""",

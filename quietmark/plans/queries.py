@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quietmark.functions import vocab as V
 from quietmark.functions.phones import international, numbering_plan
 from quietmark.functions.predicates import clean_person, looks_like_person
-from quietmark.operators import audit, entities, gazetteer, inventory, review, structure
+from quietmark.operators import annotate, audit, entities, gazetteer, inventory, review, structure
 from quietmark.operators.detectors import PARITY, STRICT, Rules, detect, only, span_rows
 from quietmark.operators.dictionary import DictionaryTable, build_dictionary, value_spans
 from quietmark.operators.names import occurrences
@@ -254,6 +254,33 @@ def redacted_entities(spark: SparkSession, d: str) -> DataFrame:
     return done.chunks.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
 
 
+def redacted_entities_in_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a join of chunks and candidates: listed names by the rules, candidates as an array of the row."""
+    annotated = annotate.with_entity_spans(lines(spark, d).withColumn("found", annotate.title_case(F.col("text"))), PARITY)
+    # Both branches of the flow read the array: written once, as for a function that costs more.
+    done = redact(save_stage(annotated), LISTED, found="found")
+    return done.chunks.select("doc_id", *big("chunk_no"), "redacted_text", "n_redactions")
+
+
+def rule_function():
+    """What a caller would bring: a function from texts to spans, here the pattern of the stand-in candidates."""
+    import re
+
+    pattern = re.compile(entities.TITLE_CASE, re.ASCII)
+    terms, generic = V.ORGANIZATION_TERMS, V.GENERIC_ORGANIZATION_WORDS
+
+    def label(value: str) -> str:
+        low = value.strip().lower()
+        return "ORG" if low not in generic and any(t in low for t in terms) else "PERSON"
+
+    return lambda texts: [[(m.start(), m.end(), label(m.group())) for m in pattern.finditer(t)] for t in texts]
+
+
+def entities_by_function(spark: SparkSession, d: str) -> DataFrame:
+    """A caller's function over overlapping segments: the candidates of the uncut texts."""
+    return annotate.candidate_rows(annotate.with_found(lines(spark, d), rule_function, size=400, overlap=160))
+
+
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """Every redaction with its place, over the whole corpus."""
     done = redact(lines_and_fields(spark, d), LISTED)
@@ -406,6 +433,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dictionary_deliveries": dictionary_deliveries,
     "redactions_per_document": redactions_per_document,
     "redacted_entities": redacted_entities,
+    "redacted_entities_in_rows": redacted_entities_in_rows,
+    "entities_by_function": entities_by_function,
     "redacted_sink": redacted_sink,
     "stream_redacted": stream_redacted,
     "stream_redacted_corpus": stream_redacted,

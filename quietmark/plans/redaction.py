@@ -45,22 +45,31 @@ def _unchanged(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.withColumns({"redacted_text": F.col(text_col), "n_redactions": F.lit(0).cast("bigint")})
 
 
-def find_merged(chunks: DataFrame, rules: Rules = STRICT, extra: DataFrame | None = None) -> DataFrame:
+def _busy(rules: Rules, found: str | None) -> Column:
+    """Does a chunk have anything to resolve?"""
+    matches = has_candidates(F.col("text"), rules)
+    return matches if found is None else matches | F.coalesce(F.size(found) > 0, F.lit(False))
+
+
+def find_merged(chunks: DataFrame, rules: Rules = STRICT, extra: DataFrame | None = None, found: str | None = None) -> DataFrame:
     """Chunks that may have findings, with resolved spans in ``merged``.
 
     ``extra`` holds span rows from other sources (listed names from a table,
     filtered entity candidates): ``doc_id, chunk_no, start, end, type, value,
     detector_rank``.  They are grouped per chunk and joined on the chunk key.
+    ``found`` names an array column of such spans that the chunks already carry
+    (``with_entity_spans``); then nothing is joined.  It is dropped from the result.
     """
     if extra is None:
-        found = detect(chunks, rules)
+        spans = detect(chunks, rules) if found is None else with_spans(chunks.where(_busy(rules, found)), rules)
     else:
-        per_chunk = _extra_spans(extra)
-        joined = chunks.join(per_chunk, ["doc_id", "chunk_no"], "left")
-        busy = joined.where(has_candidates(F.col("text"), rules) | F.col("_extra").isNotNull())
-        found = with_spans(busy, rules)
-        found = found.withColumn("spans", F.concat("spans", F.coalesce("_extra", empty_array(SPAN)))).drop("_extra")
-    return with_merged(found, rules.overlap)
+        joined = chunks.join(_extra_spans(extra), ["doc_id", "chunk_no"], "left")
+        busy = joined.where(_busy(rules, found) | F.col("_extra").isNotNull())
+        spans = with_spans(busy, rules)
+        spans = spans.withColumn("spans", F.concat("spans", F.coalesce("_extra", empty_array(SPAN)))).drop("_extra")
+    if found is not None:
+        spans = spans.withColumn("spans", F.concat("spans", F.coalesce(found, empty_array(SPAN)))).drop(found)
+    return with_merged(spans, rules.overlap)
 
 
 def _long_lists(chunks: DataFrame, rules: Rules, extra: DataFrame | None) -> tuple[Rules, DataFrame | None]:
@@ -95,16 +104,20 @@ def redact(
     extra: DataFrame | None = None,
     table: DictionaryTable | None = None,
     delivery: int = 0,
+    found: str | None = None,
 ) -> Redaction:
     """Detect, resolve, number, replace.
 
+    Spans from other sources come as rows (``extra``) or, without a join, as an array
+    column of the chunks (``found``); see ``find_merged``.
+
     ``numbering``: ``corpus`` keeps one placeholder per value over the whole
     table, ``document`` starts again in every document.  For placeholders
     without a numbering barrier see ``redact_hashed``.  With a ``table`` values
     keep the placeholders of earlier deliveries and new ones are added to it.
     """
     rules, extra = _long_lists(chunks, rules, extra)
-    merged = save_stage(find_merged(chunks, rules, extra))
+    merged = save_stage(find_merged(chunks, rules, extra, found))
     values = value_spans(merged, rules)
     # Read several times (top keys, join, reports), so numbered once.
     if table is not None and numbering != "corpus":
@@ -116,20 +129,21 @@ def redact(
     )
     busy = merged.drop("merged").join(per_chunk, ["doc_id", "chunk_no"], "left")
     busy = busy.withColumns(_redacted_columns(F.col("replaced"))).drop("replaced")
+    plain = chunks if found is None else chunks.drop(found)
     if extra is None:
-        quiet = _unchanged(chunks.where(~has_candidates(F.col("text"), rules)))
+        quiet = _unchanged(chunks.where(~_busy(rules, found)).select(*plain.columns))
     else:
-        quiet = _unchanged(chunks.join(merged.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_anti"))
+        quiet = _unchanged(plain.join(merged.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_anti"))
     return Redaction(busy.unionByName(quiet), findings, dictionary)
 
 
-def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, *, secret: str) -> DataFrame:
+def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, *, secret: str, found: str | None = None) -> DataFrame:
     """Redaction with tokens derived from each value: one narrow pass, no shuffle.
 
     Equal values get equal tokens in every run and stream, so no dictionary is
-    needed to keep them consistent.
+    needed to keep them consistent.  ``found`` as in ``redact``.
     """
-    busy = find_merged(chunks, rules)
+    busy = find_merged(chunks, rules, found=found)
     replaced = F.transform(
         "merged",
         lambda s: F.struct(
@@ -140,7 +154,8 @@ def redact_hashed(chunks: DataFrame, rules: Rules = STRICT, *, secret: str) -> D
     )
     busy = busy.withColumn("replaced", replaced).drop("merged")
     busy = busy.withColumns(_redacted_columns(F.col("replaced"))).drop("replaced")
-    return busy.unionByName(_unchanged(chunks.where(~has_candidates(F.col("text"), rules))))
+    quiet = chunks.where(~_busy(rules, found))
+    return busy.unionByName(_unchanged(quiet if found is None else quiet.drop(found)))
 
 
 @lru_cache(maxsize=32)
