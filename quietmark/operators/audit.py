@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quietmark.functions import patterns as P
 from quietmark.functions.predicates import luhn_valid, survives
 from quietmark.functions.phones import valid_phone
-from quietmark.functions.text import empty_array, extract_all, has_digit, let, strip
+from quietmark.functions.text import digits, empty_array, extract_all, has_digit, let, strip
 from quietmark.operators.detectors import STRICT, Rules
+from quietmark.operators.names import occurrences
+from quietmark.session import Stages
 
 AUDIT_TYPES = ("email", "phone", "ip", "credit_card", "ssn")
 
@@ -130,6 +132,29 @@ def corpus_survivors(original: DataFrame, redacted: DataFrame, rules: Rules = ST
     return before.join(after, ["type", "key"], "left_semi")
 
 
+def substring_survivors(original: DataFrame, redacted: DataFrame, rules: Rules = STRICT, stages: Stages | None = None) -> DataFrame:
+    """Original values that still stand anywhere in the redacted table: ``type, value, chunks``.
+
+    Unlike ``corpus_survivors`` a value counts inside a longer string too, where no
+    detector finds it again; letter case does not matter, and a phone also survives as a
+    bare run of its digits.  Values meet the redacted text by their beginnings
+    (``occurrences``: a sieve, then a salted join), runs of digits by equality; every
+    value has a digit or an at sign, so other chunks are not looked at.  ``redacted`` has
+    ``doc_id, chunk_no, redacted_text``; ``chunks`` counts its rows with the value.
+    """
+    stages = stages or Stages(original.sparkSession)
+    values = stages.save(value_rows(original, rules).select("type", "value").distinct())
+    text = F.col("redacted_text")
+    busy = redacted.where(has_digit(text) | F.contains(text, F.lit("@"))).select("doc_id", "chunk_no", text.alias("text"))
+    found = occurrences(busy, values.select(F.col("value").alias("name")), bounded=False, stages=stages)
+    found = found.select("doc_id", "chunk_no", F.col("name").alias("value")).distinct().join(values, "value")
+    runs = busy.where(F.col("text").rlike(P.DIGIT_RUN)).select("doc_id", "chunk_no", F.explode_outer(extract_all(F.col("text"), P.DIGIT_RUN)).alias("key"))
+    phones = values.where("type = 'phone'").withColumn("key", digits(F.col("value")))
+    by_run = runs.distinct().join(phones, "key").select("doc_id", "chunk_no", "type", "value")
+    places = found.select("doc_id", "chunk_no", "type", "value").unionByName(by_run).distinct()
+    return places.groupBy("type", "value").agg(F.count("*").alias("chunks"))
+
+
 def placeholder_counts(docs: DataFrame, text_col: str = "redacted_text") -> DataFrame:
     """Occurrences of each placeholder shape, one line per type."""
     text = F.col(text_col)

@@ -7,12 +7,14 @@ expressions where look-around is missing, windows instead of folds, plain
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from quietmark.functions import patterns as P
 from quietmark.functions import vocab as V
 from quietmark.functions.phones import DEFAULT_COUNTRY, NUMBERING_PLAN
 from quietmark.plans.queries import NAMES, SECRET, TURN_ID_BASE
 from quietmark.sources.cards import CARD_ID_BASE, cards_sql, name_list_sql
-from quietmark.sources.chunks import BLOCK_TAGS, ENTITIES, FORMAT_TAGS, HIDDEN
+from quietmark.sources.chunks import BLOCK_TAGS, FORMAT_TAGS, HIDDEN
 
 
 def q(s: str) -> str:
@@ -429,8 +431,20 @@ def inventory_sql(source: str = "chunks", location: str = "'paragraph'", only: t
 
 
 _PLAIN = f"regexp_replace(regexp_replace(part, {q(f'(?i)</?(?:{FORMAT_TAGS})' + chr(92) + 'b[^>]*>')}, '', 'g'), '<[^>]*>', ' ', 'g')"
-for _e, _c in ENTITIES:
-    _PLAIN = f"replace({_PLAIN}, {q(_e)}, {q(_c)})"
+_NAMES = "MAP {" + ", ".join(f"{q('&' + n)}: {ord(c)}" for n, c in html5.items() if n.endswith(";") and len(n) < 9 and len(c) == 1) + "}"
+
+
+def decoded(v: str) -> str:
+    """Text between references as it is, references by the code points of the current standard's names."""
+    code = (
+        f"CASE WHEN regexp_full_match(p, '&#[0-9]+;') THEN CAST(p[3:-2] AS INT) "
+        f"WHEN regexp_full_match(p, '&#[xX][0-9A-Fa-f]+;') THEN CAST('0x' || p[4:-2] AS INT) ELSE {_NAMES}[p] END"
+    )
+    parts = f"regexp_extract_all({v}, '&#?[A-Za-z0-9]+;|[^&]+|&')"
+    return f"replace(array_to_string(list_transform({parts}, lambda p: CASE WHEN starts_with(p, '&') THEN coalesce(chr({code}), p) ELSE p END), ''), chr(160), ' ')"
+
+
+_PLAIN = decoded(_PLAIN)
 _SHOWN = "coalesce(html, '')"
 for _h in HIDDEN:
     _SHOWN = f"regexp_replace({_SHOWN}, {q(_h)}, ' ', 'g')"
@@ -455,6 +469,14 @@ page_chunks AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i AS chunk_no, {strip
   greatest(1, tables) AS table_no, greatest(1, row_at) AS row_no, greatest(1, col_at) AS col_no FROM page_places) x WHERE text <> '')"""
 PAGE_LOCATION = "CASE WHEN kind = 'cell' THEN 'table ' || table_no || ', row ' || row_no || ', column ' || col_no WHEN kind IN ('header', 'footer') THEN 'section 1 ' || kind ELSE 'paragraph' END"
 
+_TAG, _PAIR = """<[A-Za-z][A-Za-z0-9]*((?:[^<>"']+|"[^"]*"|'[^']*')*)""", """([A-Za-z_:][A-Za-z0-9_:.-]*)\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'<>=`]+)"""
+_PAIRS = f"flatten(list_transform(regexp_extract_all({_SHOWN}, {q(_TAG)}, 1), lambda t: list_zip(regexp_extract_all(t, {q(_PAIR)}, 1), regexp_extract_all(t, {q(_PAIR)}, 2))))"
+_TEXT_NAMES = "['href', 'alt', 'title', 'value', 'content', 'placeholder', 'aria-label', 'summary']"
+ATTRIBUTES = f"""page_pairs AS (SELECT page_id AS doc_id, list_filter({_PAIRS}, lambda p: list_contains({_TEXT_NAMES}, lower(p[1]))) AS pairs FROM pages),
+attribute_values AS (SELECT doc_id, i AS chunk_no, lower(pairs[i][1]) AS attribute, {strip(decoded("regexp_replace(pairs[i][2], '^[\"'']|[\"'']$', '', 'g')"))} AS v FROM page_pairs, unnest(range(1, len(pairs) + 1)) t(i)),
+page_attributes AS MATERIALIZED (SELECT * FROM (SELECT doc_id, chunk_no, attribute, CASE WHEN regexp_matches(v, '(?i)^(mailto|tel):') THEN regexp_extract(v, '^[A-Za-z]+:([^?]*)', 1) ELSE v END AS text FROM attribute_values) a
+  WHERE regexp_matches(text, '\\S'))"""
+
 FIELD_LOCATION = "'table ' || table_no || ', row ' || row_no || ', column ' || col_no"
 TEXTS = f"texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT {TURN_ID_BASE} + conv_id * 1000 + turn, text FROM conversations)"
 MIXED_CHUNKS = f"""{TEXTS}, {line_chunks('texts', 'text_lines')}, {FIELDS}, chunks AS MATERIALIZED (
@@ -547,6 +569,10 @@ def build() -> dict[str, str]:
         "chunk_scan": f"WITH {BASE}, {line_chunks()} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, text FROM chunks",
         "cell_scan": f"WITH {FIELDS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, {FIELD_LOCATION} AS location, text FROM fields",
         "page_scan": f"WITH {PAGES} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, {PAGE_LOCATION} AS location, text FROM page_chunks",
+        "page_attributes": f"WITH {ATTRIBUTES} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, attribute, text FROM page_attributes",
+        "substring_survivors": f"""WITH {redacted_ctes(chunks=line_chunks())}, vals AS MATERIALIZED (SELECT DISTINCT type, value, {digits('value')} AS d FROM ({values_sql('chunks', 'text', False)}) v),
+after AS MATERIALIZED (SELECT lower(redacted_text) AS low, regexp_extract_all(redacted_text, '\\d{{10,13}}') AS runs FROM redacted WHERE regexp_matches(redacted_text, '[0-9@]'))
+SELECT type, value, count(*) AS chunks FROM vals JOIN after ON contains(low, lower(value)) OR (type = 'phone' AND list_contains(runs, d)) GROUP BY type, value""",
         "text_assembly_corpus": f"WITH {BASE}, {line_chunks()} SELECT doc_id, string_agg(text, chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id",
         "spans_card_any": spans_query("credit_card", False),
         "spans_gazetteer": gazetteer_query(),
@@ -631,7 +657,7 @@ k AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY lower(
 SELECT label, CAST(n AS BIGINT) AS n, lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || '. ' || value AS line FROM k""",
         "important_names": _name_check_query(),
         "keyword_in_context": f"""WITH {BASE}, {CELLS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(st AS BIGINT) AS "position", value AS found,
-replace(substring(text, greatest(st - 180, 0) + 1, en + 180 - greatest(st - 180, 0)), chr(10), ' ') AS context FROM ({raw_spans('(?i)rahul sharma')}) r""",
+replace(substring(text, greatest(st - 180, 0) + 1, en + 180 - greatest(st - 180, 0)), chr(10), ' ') AS context FROM ({raw_spans('(?i)nilam varden')}) r""",
         "structure_counts_corpus": f"""WITH {PAGES}, {MIXED_CHUNKS}, u AS (
 SELECT 'page' AS source, doc_id, kind, CASE WHEN kind = 'cell' THEN table_no ELSE 0 END AS table_no, text FROM page_chunks UNION ALL SELECT 'corpus', doc_id, kind, table_no, text FROM chunks)
 SELECT source, doc_id, count(*) FILTER (WHERE kind = 'paragraph') AS paragraphs, count(*) FILTER (WHERE kind = 'cell') AS cells, CAST(max(table_no) AS BIGINT) AS tables,

@@ -26,7 +26,7 @@ from quietmark.operators.overlaps import with_merged
 from quietmark.plans.redaction import Redaction, find_merged, redact, redact_documents, redact_each, redact_hashed
 from quietmark.session import save_stage, stage_root
 from quietmark.sources.cards import CARD_ID_BASE, contact_cards, name_list_sql
-from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_chunks, redaction_scope
+from quietmark.sources.chunks import assemble, chunk_text, field_table, location, page_attributes, page_chunks, redaction_scope
 from quietmark.sources.sinks import write_inventory, write_redacted
 from quietmark.sources.tables import spread, table
 from quietmark.streaming.redact import read_texts, redact_stream, write_stream
@@ -365,6 +365,15 @@ def corpus_survivors(spark: SparkSession, d: str) -> DataFrame:
     return audit.corpus_survivors(both, both, PARITY)
 
 
+def substring_survivors(spark: SparkSession, d: str) -> DataFrame:
+    done = redact(lines(spark, d), LISTED).chunks
+    return audit.substring_survivors(done, done, replace(PARITY, luhn=False))
+
+
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    return page_attributes(spread(table(spark, d, "pages").select("page_id", "html"), "page_id"))
+
+
 def ner_people(spark: SparkSession, d: str) -> DataFrame:
     return entities.filter_people(candidates(spark, d), lines(spark, d), PARITY, NAMES["known"]).drop("detector_rank")
 
@@ -400,6 +409,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_scan": chunk_scan,
     "cell_scan": cell_scan,
     "page_scan": page_scan_rows,
+    "page_attributes": lambda s, d: attributes(s, d).select("doc_id", *big("chunk_no"), "attribute", "text"),
     "text_assembly": text_assembly,
     "text_assembly_corpus": text_assembly,
     "spans_email": spans_of("email"),
@@ -449,6 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "survival_report_exact": survival(True, PARITY),
     "survivors": survivors,
     "corpus_survivors": corpus_survivors,
+    "substring_survivors": substring_survivors,
     "sensitive_values": lambda s, d: audit.distinct_values(corpus(s, d), PARITY),
     "placeholder_counts": lambda s, d: audit.placeholder_counts(pairs(s, d)),
     "character_counts": lambda s, d: audit.character_counts(pairs(s, d)),
@@ -468,7 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segments": lambda s, d: entities.segments(cells(s, d)),
     "numbered_candidates": numbered,
     "important_names": name_check,
-    "keyword_in_context": lambda s, d: review.keyword_in_context(cells(s, d), "rahul sharma"),
+    "keyword_in_context": lambda s, d: review.keyword_in_context(cells(s, d), "nilam varden"),
     "structure_counts": structure_counts,
     "structure_counts_corpus": structure_counts,
     "first_paragraphs": lambda s, d: structure.first_paragraphs(lines(s, d)),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quietmark.session import save_stage
 from quietmark.sources.tables import spread, table
 
-FIRST = ("Asha", "Ravi", "Meera", "Kiran", "Tomas", "Greta", "Liam", "Zoya", "Omar", "Nila", "Priya", "Rahul")
+FIRST = ("Asha", "Ravi", "Meera", "Kiran", "Tomas", "Greta", "Liam", "Zoya", "Omar", "Nila", "Priya", "Nilam")
 LAST = ("Varma", "Iyer", "Kale", "Rao", "Lind", "Novak", "O'Neil", "Mehra-Das", "Khan", "Nair", "Sharma")
 
 CARD_ID_BASE = 1_000_000_000
@@ -57,7 +57,7 @@ def cards_sql(customer: str = "customer") -> str:
         f"CASE k % 7 WHEN 0 THEN concat('Phone: +91 9', {seven}, '0', CAST(k % 9 AS STRING)) WHEN 1 THEN concat('Tel +1 (212) 5', substring({four}, 1, 2), '-', {four}) WHEN 2 THEN concat('Mobile 0', '98', {four}, {four}) WHEN 3 THEN concat('fax: 919', {seven}, '11') WHEN 4 THEN concat('ref ', {seven}, ' 000') WHEN 5 THEN 'Phone: +91 98765 43210' ELSE concat('(020) 255-', {four}, '-', {four}) END, chr(10)",
         f"'Card: ', substring(b, 1, 4), s, substring(b, 5, 4), s, substring(b, 9, 4), s, substring(b, 13, 3), CAST((10 - ({_luhn_sum('b')}) % 10 + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) % 10 AS STRING), chr(10)",
         "CASE k % 9 WHEN 0 THEN concat('Host 10.1.', CAST(k % 256 AS STRING), '.7', chr(10)) WHEN 1 THEN concat('Host 010.001.', CAST(k % 400 AS STRING), '.9', chr(10)) WHEN 2 THEN concat('was person', CAST(k AS STRING), '@example.com and Person ', CAST(k AS STRING), chr(10)) ELSE '' END",
-        "CASE k % 11 WHEN 0 THEN concat('Seen by RAHUL SHARMA, Asha Varma Iyer', chr(10)) WHEN 1 THEN concat('xPriya Nair and Priya Nair.', chr(10)) WHEN 2 THEN concat('cc tomas b. lind, Person 3', chr(10)) ELSE '' END",
+        "CASE k % 11 WHEN 0 THEN concat('Seen by NILAM VARDEN, Asha Varma Iyer', chr(10)) WHEN 1 THEN concat('xPriya Nair and Priya Nair.', chr(10)) WHEN 2 THEN concat('cc tomas b. lind, Person 3', chr(10)) ELSE '' END",
         f"CASE WHEN k % 6 = 0 THEN concat('Name: ', f, ' ', l, chr(10), 'Email') ELSE 'End of card' END",
     ]
     return f"""

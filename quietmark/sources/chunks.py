@@ -7,10 +7,13 @@ col_no INT, text STRING)``.  ``paragraph`` mode makes one chunk per line,
 
 from __future__ import annotations
 
+from functools import lru_cache
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.functions.text import not_blank, running, strip
+from quietmark.functions.text import extract_all, let, not_blank, running, split_all, strip
 
 CHUNK_KEY = ("doc_id", "chunk_no")
 
@@ -70,25 +73,80 @@ BLOCK_TAGS = (
     "|blockquote|pre|hr|form|fieldset|legend|label|button|select|option|textarea|figure|figcaption|address|details|summary|noscript|iframe"
 )
 FORMAT_TAGS = "b|i|u|s|em|strong|span|font|small|big|mark|sub|sup|wbr|ins|del|tt"
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#64;", "@"), ("&commat;", "@"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&amp;", "&"),  # last, so that nothing is decoded twice
-)
+#: Named references: those of HTML 4 by the standard library's table, and names that hide marks of an address.
+NAMED = {**name2codepoint, "apos": 39, "commat": 64, "period": 46, "colon": 58, "num": 35, "plus": 43, "lowbar": 95, "sol": 47, "hyphen": 0x2010, "dash": 0x2010}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"
 HIDDEN = (r"(?s)<!--.*?(?:-->|\z)", r"(?is)<script\b.*?(?:</script\s*>|\z)", r"(?is)<style\b.*?(?:</style\s*>|\z)")
 MARK = "\u0001"
 
 
+@lru_cache(maxsize=1)
+def _named() -> Column:
+    return F.expr("map(" + ", ".join(f"'{name}', {code}" for name, code in NAMED.items()) + ")")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; a blank for the no-break space, U+FFFD for what is none."""
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    point = F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")
+    return F.when(code == 0xA0, " ").otherwise(F.decode(F.unhex(point), "UTF-32"))
+
+
+def _referred(reference: Column) -> Column:
+    body = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    number = F.when(F.lower(F.left(body, F.lit(2))) == "#x", F.conv(F.substring(body, 3, 6), 16, 10)).when(F.left(body, F.lit(1)) == "#", F.substring(body, 2, 7))
+    code = F.coalesce(number.cast("bigint"), F.try_element_at(_named(), body).cast("bigint"))
+    return F.when(code.isNull(), reference).otherwise(_character(code))
+
+
+def decode_references(text: Column) -> Column:
+    """Numeric (decimal and hexadecimal) and named character references, each decoded once; unknown names stay."""
+
+    def decoded(t: Column) -> Column:
+        chars = F.concat(F.transform(extract_all(t, REFERENCE), _referred), F.array(F.lit("")))
+        return F.array_join(F.zip_with(split_all(t, REFERENCE), chars, lambda gap, c: F.concat(gap, c)), "")
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
+
+
 def _tag_text(fragment: Column) -> Column:
     plain = F.regexp_replace(fragment, rf"(?i)</?(?:{FORMAT_TAGS})\b[^>]*>", "")
-    plain = F.regexp_replace(plain, "<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return strip(plain)
+    return strip(decode_references(F.regexp_replace(plain, "<[^>]*>", " ")))
+
+
+def _shown(html: Column) -> Column:
+    shown = F.replace(F.coalesce(html, F.lit("")), F.lit(MARK), F.lit(" "))
+    for hidden in HIDDEN:
+        shown = F.regexp_replace(shown, hidden, " ")
+    return shown
+
+
+#: The inside of an opening tag, quoted values whole, and one attribute in it.
+TAG = r"""<[A-Za-z][A-Za-z0-9]*+((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)"""
+ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`]+)"""
+TEXT_ATTRIBUTES = ("href", "alt", "title", "value", "content", "placeholder", "aria-label", "summary")
+
+
+def page_attributes(df: DataFrame, id_col: str = "page_id", html_col: str = "html", names: tuple[str, ...] = TEXT_ATTRIBUTES) -> DataFrame:
+    """Text that a page holds in attributes: one chunk of kind ``attribute`` each, with the column ``attribute``.
+
+    Attributes are read in order from opening tags outside comments, scripts and styles;
+    ``chunk_no`` counts those with one of ``names``.  References are decoded.  Of
+    ``mailto:`` and ``tel:`` links the address alone is the text; other links stay whole.
+    Null pages and blank values have no chunk.
+    """
+    tags = extract_all(_shown(F.col(html_col)), TAG, 1)
+    pairs = F.flatten(F.transform(tags, lambda t: F.arrays_zip(extract_all(t, ATTRIBUTE, 1).alias("n"), extract_all(t, ATTRIBUTE, 2).alias("v"))))
+    wanted = F.filter(pairs, lambda p: F.lower(p["n"]).isin(*names))
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode_outer(wanted).alias("pos", "p")).where(F.col("pos").isNotNull())
+    value = F.regexp_replace(F.col("p.v"), r"""^["']|["']$""", "")
+    address = F.regexp_replace(strip(decode_references(value)), r"(?is)^(?:mailto|tel):([^?]*).*$", "$1")
+    rows = rows.select("doc_id", (F.col("pos") + 1).alias("chunk_no"), *_place(F.lit("attribute")), F.lower("p.n").alias("attribute"), address.alias("text"))
+    return rows.where(not_blank(F.col("text")))
 
 
 def page_chunks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """All text of web pages, each piece in exactly one chunk, in document order.
+    """All shown text of web pages (attributes: ``page_attributes``), each piece in exactly one chunk, in document order.
 
     Comments, scripts and styles are hidden; everything else is text.  A page is
     cut before every block tag, so headings, list items, plain ``div`` text and
@@ -98,10 +156,7 @@ def page_chunks(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
     it is a cell, with its table, row and column counted over the page.  All else
     is a paragraph.  Text is trimmed, blank chunks are dropped.
     """
-    shown = F.replace(F.coalesce(F.col(html_col), F.lit("")), F.lit(MARK), F.lit(" "))
-    for hidden in HIDDEN:
-        shown = F.regexp_replace(shown, hidden, " ")
-    parts = F.split(F.regexp_replace(shown, rf"(?i)(</?(?:{BLOCK_TAGS})\b)", f"{MARK}$1"), MARK, -1)
+    parts = F.split(F.regexp_replace(_shown(F.col(html_col)), rf"(?i)(</?(?:{BLOCK_TAGS})\b)", f"{MARK}$1"), MARK, -1)
     cut = df.select(F.col(id_col).cast("bigint").alias("doc_id"), parts.alias("parts"))
     tags = F.transform("parts", lambda x: F.lower(F.regexp_extract(x, r"^<(/?[A-Za-z0-9]+)", 1)))
     cut = cut.withColumn("tags", tags)
@@ -145,6 +200,7 @@ def location() -> Column:
     return (
         F.when(F.col("kind") == "cell", F.format_string("table %d, row %d, column %d", F.coalesce("table_no", F.lit(1)), F.coalesce("row_no", F.lit(1)), F.coalesce("col_no", F.lit(1))))
         .when(F.col("kind").isin("header", "footer"), F.format_string("section %d %s", F.coalesce("row_no", F.lit(1)), F.col("kind")))
+        .when(F.col("kind") == "attribute", F.lit("attribute"))
         .otherwise(F.lit("paragraph"))
     )
 

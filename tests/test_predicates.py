@@ -64,7 +64,7 @@ def test_names(spark):
     run_flags(
         spark,
         looks_like_person,
-        ["Asha Kiran Varma", "Tomas B. Lind", "Liam O'Neil", "Zoya Mehra-Das", "Rahul Sharma, Director"],
+        ["Asha Kiran Varma", "Tomas B. Lind", "Liam O'Neil", "Zoya Mehra-Das", "Nilam Varden, Director"],
         ["Bid Amount", "Person 1", "Asha", "Lake Road", "Hill House Society", "", "Model Colony", "12 34", "Acme Trading Ltd"],
     )
 

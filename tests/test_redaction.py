@@ -203,10 +203,10 @@ def test_literal_names_equal_the_table_join(spark):
 
 
 def test_sweep_bounds_and_numbers(spark):
-    done = redact(chunk_text(docs(spark, "Name: Asha Varma", "xRahul Sharma, asha varma", "Rahul Sharma")), replace(STRICT, only=("labelled_name",)))
-    names = ["Rahul Sharma", "Asha Varma", "Never There"]
+    done = redact(chunk_text(docs(spark, "Name: Asha Varma", "xNilam Varden, asha varma", "Nilam Varden")), replace(STRICT, only=("labelled_name",)))
+    names = ["Nilam Varden", "Asha Varma", "Never There"]
     swept, found = gazetteer.sweep_names(done, names)
-    assert [r["swept_text"] for r in swept.orderBy("doc_id").collect()] == ["Name: Person 1", "xRahul Sharma, Person 1", "Person 2"]
+    assert [r["swept_text"] for r in swept.orderBy("doc_id").collect()] == ["Name: Person 1", "xNilam Varden, Person 1", "Person 2"]
     assert found.count() == 2
     loose, _ = gazetteer.sweep_names(done, names, bounded=False)
     assert [r["swept_text"] for r in loose.orderBy("doc_id").collect()] == ["Name: Person 1", "xPerson 2, Person 1", "Person 2"]
@@ -289,11 +289,11 @@ def test_long_name_lists_and_other_letters(spark):
 
 
 def test_review(spark):
-    text = docs(spark, "one Rahul Sharma\nand rahul sharma", "nothing")
-    kwic = review.keyword_in_context(chunk_text(text, mode="cell"), "Rahul Sharma", 5).orderBy("position").collect()
-    assert [(r["position"], r["found"], r["context"]) for r in kwic] == [(4, "Rahul Sharma", "one Rahul Sharma and "), (21, "rahul sharma", " and rahul sharma")]
+    text = docs(spark, "one Nilam Varden\nand nilam varden", "nothing")
+    kwic = review.keyword_in_context(chunk_text(text, mode="cell"), "Nilam Varden", 5).orderBy("position").collect()
+    assert [(r["position"], r["found"], r["context"]) for r in kwic] == [(4, "Nilam Varden", "one Nilam Varden and "), (21, "nilam varden", " and nilam varden")]
     status = {r["name"]: r["status"] for r in review.name_check(chunk_text(text), gazetteer.gazetteer(spark, SAMPLE_NAMES)).collect()}
-    assert status["Rahul Sharma"] == "STILL PRESENT" and status["Priya Nair"] == "REDACTED"
+    assert status["Nilam Varden"] == "STILL PRESENT" and status["Priya Nair"] == "REDACTED"
 
 
 class VisibleText(HTMLParser):
