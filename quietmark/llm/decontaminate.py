@@ -33,6 +33,7 @@ gives an empty result.  Input columns stay, but ``contamination`` is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, fresh
+from quietmark.llm.common import Stages, fresh, give_back_memory
 from quietmark.llm.words import FOLD_CASE, NOT_ALNUM, Words, fold_accents, groups, mix, powers, text_bytes
 
 SPAN = 13
@@ -240,14 +241,16 @@ def _look(shared):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     @F.arrow_udf(OVERLAPS)
-    def look(texts: pa.Array) -> pa.Array:
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
-        buf, at = text_bytes(texts)
-        rows = []
-        for lo, hi in groups(at):
-            for found in find(index, folded_words(*set_apart(buf, at[lo : hi + 1])[:2])):
-                rows.append([{"item_id": int(index.ids[i]), "first_word": s, "end_word": e} for i, s, e in sorted(found)])
-        return pa.array(rows, kind)
+        for texts in batches:
+            buf, at = text_bytes(texts)
+            rows = []
+            for lo, hi in groups(at):
+                for found in find(index, folded_words(*set_apart(buf, at[lo : hi + 1])[:2])):
+                    rows.append([{"item_id": int(index.ids[i]), "first_word": s, "end_word": e} for i, s, e in sorted(found)])
+            yield pa.array(rows, kind)
+        give_back_memory()
 
     return look
 

@@ -83,13 +83,3 @@ class Encoder:
         if None in ids:
             ids = [self._part(" " + p) if i is None else i for i, p in zip(ids, parts)]
         return b"".join(ids)
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]

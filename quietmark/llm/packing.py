@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietmark.llm.common import Stages, attach
-from quietmark.llm.encoding import encoder
+from quietmark.llm.common import Stages, attach, give_back_memory
+from quietmark.llm.encoding import Encoder
 
 ROUNDS = 60
 #: Growth of a lagging length's weight in one round; room a pattern of the program may waste.
@@ -52,7 +52,8 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenize(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, end_id.to_bytes(4, "little")
+        # A task's own: a memo kept by the worker would stay in memory under every later stage.
+        encode, end = Encoder(path).encode, end_id.to_bytes(4, "little")
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             owner, rows, ids = [], [], []
@@ -72,6 +73,8 @@ def _tokenize(path: str, capacity: int, end_id: int, keep_ids: bool):
                 out.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
+        del encode
+        give_back_memory()
 
     return run
 
