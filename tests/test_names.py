@@ -81,3 +81,36 @@ def test_detection_and_sweep_over_a_hundred_thousand_names(spark):
     assert left[-2:] == ["Nobody here", "Lind"] and left[0] == "見Person 1。 Person 1"
     whole = occurrences(chunks, table.where("name_no = 2"), bounded=False)
     assert whole.count() == 3  # also inside a longer word
+
+
+def test_places_are_those_of_first_characters(spark):
+    table = spark.createDataFrame([("Anna",), ("b",), ("]-x",), ("\U0001f600é",), ("ßa",)], "name string").withColumn("_n", F.length("name"))
+    begin = names._beginnings(table)
+    texts = ["zzz" * 500 + "aNna an", "B]-x]x", "\U0001f600é \U0001f600", "SSa ßA"]
+    rows = names._places(as_chunks(spark, texts), 3, [1, 2], False, begin).select("doc_id", "start").distinct().collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == [(0, 1500), (0, 1505), (1, 0), (1, 1), (2, 0), (2, 3), (3, 4)]
+
+
+def test_too_many_beginnings(spark, monkeypatch):
+    monkeypatch.setattr(names, "MAX_BEGINNINGS", 3)
+    table = spark.createDataFrame([("Abc",), ("Adc",), ("Bec",), ("Cfc",)], "name string").withColumn("_n", F.length("name"))
+    assert "[" in names._beginnings(table) and names._beginnings(table.unionByName(table.select(F.lit("Dxx").alias("name"), "_n"))) == ""
+    for more in ([], [("Dxx",)]):
+        listed = spark.createDataFrame([("Abc",), ("Adc",), ("Bec",), ("Cfc",), *more], "name string")
+        found = occurrences(as_chunks(spark, ["abc Dxx ADC", "xBECx"]), listed, bounded=False).select("doc_id", "name").collect()
+        assert sorted(map(tuple, found)) == sorted([(0, "Abc"), (0, "Adc"), (1, "Bec"), *((0, n) for (n,) in more)])
+
+
+@pytest.mark.parametrize("split", [100_000, 3])
+def test_a_shared_beginning_makes_no_pairs(spark, monkeypatch, split):
+    """A long list, all names of which begin alike, meets as many places by whole names only."""
+    monkeypatch.setattr(names, "SPLIT", split)
+    monkeypatch.setattr(names, "BROADCAST_BYTES", 0)
+    met = []
+    salted = names._salted
+    monkeypatch.setattr(names, "_salted", lambda *given: met.append(salted(*given)) or met[-1])
+    listed = spark.range(300).select(F.format_string("4539-1%03d", "id").alias("name"))
+    texts = [f"card 4539-1{i:03d} and 4539-19" for i in range(400)]
+    found = occurrences(as_chunks(spark, texts), listed, bounded=False).select("doc_id", "name").collect()
+    assert sorted(map(tuple, found)) == [(i, f"4539-1{i:03d}") for i in range(300)]
+    assert met[0].count() == 300
