@@ -169,3 +169,30 @@ def test_blank_and_null_text(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \t\n"), (4, "a\n\n b ")], "doc_id bigint, text string")
     assert [(r["doc_id"], r["chunk_no"], r["text"]) for r in chunk_text(df).orderBy("chunk_no").collect()] == [(4, 1, "a"), (4, 3, " b ")]
     assert chunk_text(df, mode="cell").count() == 1
+
+
+def test_patterns_that_look_ahead_match_what_they_did(spark):
+    """Every detector's pattern begins with a test of its first character, and finds the same as the plain pattern."""
+    from quietmark.functions import patterns as P
+    from quietmark.functions.text import extract_all
+    from quietmark.operators.detectors import PARITY, any_name_pattern, detectors
+
+    plain = {
+        "labelled_name": P.LABELLED_NAME, "ip": P.IP, "credit_card": P.CARD, "ssn": P.SSN, "dob": P.BIRTH_DATE, "phone": P.PHONE,
+        "labelled_address": P.LABELLED_ADDRESS, "address_window": P.ADDRESS_LABEL,
+    }
+    texts = [
+        "x10.0.0.1 10.0.0.1, 010.1.1.1 ١٠.1.1.1 1.2.3.4.5", "4539 1234-5678 9012 45391234567890123 ٤539-1234-5678-9012", "123-45-6789 a123-45-6789 ١٢٣-45-6789",
+        "+91 98765 43210 5+91 98765 43210 (020) 255-1234-12 ٠20 255-1234-1234", "DOB: 1/2/1990 ſdob 1/2/90 BORN ON March 3, 1990 d.o.b. - 3 May 1999",
+        "Name: Ann Lee\nfull  NAME : Bo Lee fULL name:Cy Lee surname: Di Lee", "Home Address: here\nxwork address: there\nOFFICE ADDRESS : a", "REGISTERED OFFICE: b Mailing address : c correſpondence addreſs:",
+        "ann lee Ann Leeds xAnn Lee ſam KIT Kit", "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = [(d.pattern, plain[d.id]) for d in detectors(PARITY) if d.id in plain]
+    assert len(pairs) == len(plain) and all("(?=" in quick and quick != slow for quick, slow in pairs)
+    names = any_name_pattern(("Ann Lee", "Sam", "kit"))
+    assert "(?=[" in names
+    pairs.append((names, r"(?iu)(?<![A-Za-z])(?:\QAnn Lee\E|\QSam\E|\Qkit\E)(?![A-Za-z])"))
+    for quick, slow in pairs:
+        got, want = ([r[0] for r in rows.select(extract_all(F.col("text"), p)).collect()] for p in (quick, slow))
+        assert got == want and any(want)
