@@ -9,10 +9,13 @@ signature is the minimum of such slices.
 1. Rows with equal sets become one class (128-bit digest of the set), so copies
    cost nothing below.
 2. Signatures are cut into bands; classes that share a band share a bucket.
-   Every class is compared with three classes of each of its buckets (the hubs: the
-   smallest, the largest, the one with the smallest hash): a linear number of
-   pairs, however large a bucket is.  Sizes and a sketch (four bits of
-   every signature value) screen pairs; the full sets of the rest are compared.
+   Each bucket has three hubs (the smallest class, the largest, the one with the
+   smallest hash).  First every class is compared with one class, the smallest of
+   all its buckets: a pair a class, so that most of a large group is one component
+   already.  Then every class is compared with the hubs of its buckets that are in
+   other components: a linear number of pairs, however large a bucket is.  Sizes and
+   a sketch (four bits of every signature value) screen pairs; the full sets of the
+   rest are compared.
 3. Links join classes to components.  Buckets that now lie within one component
    are done.  In the others every class outside the component of the bucket's
    smallest class is compared with the classes of other components, again behind
@@ -34,7 +37,7 @@ not a text are judged one by one; wholly repeated rows get the same answer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -215,17 +218,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = classes.select("cls", "n", "sketch")
     right = narrow.toDF("b", "o", "other")
 
-    stars = buckets.select(F.col("cls").alias("c"), F.explode(F.array("hub", "hub2", "hub3")).alias("h")).where("c != h")
-    stars = stars.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct()
-    pairs = stars.join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b").where(_plausible())
-    pairs = stages.save(pairs.select("a", "b").distinct())
-    sets = _sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), classes, texts, stages)
-    links = _linked(pairs, sets, stages)
-    stages.drop(pairs, sets)
-    roots = stages.save(components(links, stages))
+    def compared(stars: DataFrame) -> DataFrame:
+        """Links among the pairs ``a, b``."""
+        near = stars.join(narrow.withColumnRenamed("cls", "a"), "a").join(right, "b").where(_plausible())
+        near = stages.save(near.select("a", "b").distinct())
+        sets = _sets_of(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), classes, texts, stages)
+        links = _linked(near, sets, stages)
+        stages.drop(near, sets)
+        return links
+
+    def known(links: DataFrame) -> tuple[DataFrame, Callable[[str, str], DataFrame]]:
+        roots = stages.save(components(links, stages))
+        return roots, lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+
+    # One pair a class first: a group whose members share many buckets is joined by few of its hubs.
+    first = buckets.groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b")).where("a != b")
+    links = compared(first)
+    roots, root_of = known(links)
+    # Then the hubs that are still in other components; pairs within one are never listed.
+    others = buckets.select("key", "hub", "hub2", "hub3").distinct()
+    for h in ("hub", "hub2", "hub3"):
+        others = others.join(root_of(h, "_r"), h, "left").withColumn(f"_{h}", F.struct(F.col(h).alias("h"), F.coalesce("_r", h).alias("r"))).drop("_r")
+    others = others.select("key", F.array_distinct(F.array("_hub", "_hub2", "_hub3")).alias("hubs"))
+    member = buckets.select("key", F.col("cls").alias("c")).join(root_of("c", "r"), "c", "left").withColumn("r", F.coalesce("r", "c"))
+    apart = F.filter("hubs", lambda h: h["r"] != F.col("r"))
+    stars = member.join(others, "key").select("c", F.explode_outer(apart).alias("h")).where("h is not null").select("c", "h.h")
+    stars = stages.save(stars.select(F.greatest("c", "h").alias("a"), F.least("c", "h").alias("b")).distinct())
+    so_far = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots, root_of = known(so_far.union(compared(stars)))
+    stages.drop(links, stars)
 
     # Buckets over several components: classes outside the hub's component meet all classes of other components.
-    root_of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
     member = buckets.join(root_of("cls", "r"), "cls", "left").withColumn("r", F.coalesce("r", "cls"))
     member = stages.save(member.join(root_of("hub", "hr"), "hub", "left").withColumn("hr", F.coalesce("hr", "hub")))
     strays = stages.save(member.where("r != hr").select("key", "cls", "r"))

@@ -84,3 +84,19 @@ def test_components(spark):
     got = {r.node: r.root for r in components(links, Stages(spark)).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100}
     assert components(links.limit(0), Stages(spark)).count() == 0
+
+
+def test_a_large_group_is_not_paired_with_all_its_hubs(table_of, monkeypatch):
+    """Near copies that share many buckets: about a pair a class, not one for each hub of each bucket."""
+    from quietmark.llm import near_dedup
+
+    rnd = random.Random(5)
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(240):
+        copy = base[:]
+        copy[rnd.randrange(150)] = f"x{i}"
+        docs.append((i, " ".join(copy)))
+    listed, linked = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *rest: listed.append(pairs.count()) or linked(pairs, *rest))
+    got = near_duplicates(table_of(docs)).collect()
+    assert {r.component_id for r in got} == {0} and sum(listed) <= 2 * len(docs)
