@@ -100,3 +100,38 @@ def test_a_large_group_is_not_paired_with_all_its_hubs(table_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *rest: listed.append(pairs.count()) or linked(pairs, *rest))
     got = near_duplicates(table_of(docs)).collect()
     assert {r.component_id for r in got} == {0} and sum(listed) <= 2 * len(docs)
+
+
+def edited(rnd, size, most):
+    """Copies of one text with up to ``most`` words changed, the rest of them too far from it to be linked."""
+    base, docs = [f"w{i}" for i in range(150)], []
+    for i in range(size):
+        copy = base[:]
+        for _ in range(rnd.randint(1, most)):
+            copy[rnd.randrange(150)] = f"x{rnd.randrange(40)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_a_group_around_the_limit_lists_few_pairs(table_of, monkeypatch):
+    """Half of the group is linked with nothing: exact bounds show it, so that the pairs need not be listed."""
+    from quietmark.llm import near_dedup
+
+    docs = edited(random.Random(11), 260, 8)
+    listed, linked = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *rest: listed.append(pairs.count()) or linked(pairs, *rest))
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates(table_of(docs)).collect()}
+    assert got == near_components(docs)
+    assert sum(listed) <= 6 * len(docs)
+
+
+def test_parities_differ_no_more_than_the_sets(spark):
+    from quietmark.llm.near_dedup import _at_least_apart, _parities
+
+    rng = np.random.default_rng(9)
+    both = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for common, apart in ((150, 50), (150, 0), (4000, 3000), (0, 30)):
+        a, b = (np.concatenate([both[:common], rng.integers(0, 1 << 63, apart, dtype=np.uint64)]) for _ in "ab")
+        odd, other = _parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).to_pylist()
+        seen = spark.createDataFrame([(odd, other)], "x array<long>, y array<long>").select(_at_least_apart("x", "y")).first()[0]
+        assert seen <= 2 * apart and (apart > 100 or seen >= 1.8 * apart)
