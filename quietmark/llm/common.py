@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,17 @@ def give_back_memory() -> None:
         pass
 
 
+def giving_back(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` over a task's batches; memory is given back when it has ended and holds nothing any more."""
+
+    @wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        give_back_memory()
+
+    return run
+
+
 def packed(values: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
@@ -95,6 +108,7 @@ __all__ = [
     "fold_of",
     "fresh",
     "give_back_memory",
+    "giving_back",
     "packed",
     "row_tag",
     "shard_count",

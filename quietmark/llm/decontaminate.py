@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, fresh, give_back_memory
+from quietmark.llm.common import Stages, fresh, giving_back
 from quietmark.llm.words import FOLD_CASE, NOT_ALNUM, Words, fold_accents, groups, mix, powers, text_bytes
 
 SPAN = 13
@@ -241,6 +241,7 @@ def _look(shared):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     @F.arrow_udf(OVERLAPS)
+    @giving_back
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
         for texts in batches:
@@ -250,7 +251,6 @@ def _look(shared):
                 for found in find(index, folded_words(*set_apart(buf, at[lo : hi + 1])[:2])):
                     rows.append([{"item_id": int(index.ids[i]), "first_word": s, "end_word": e} for i, s, e in sorted(found)])
             yield pa.array(rows, kind)
-        give_back_memory()
 
     return look
 

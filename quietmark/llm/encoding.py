@@ -45,14 +45,28 @@ class Encoder:
         if ids is None:
             if len(self._unit_memo) >= MEMO_ENTRIES:
                 self._unit_memo.clear()
-            ids = self._unit_memo[mapped] = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+            ids = self._unit_memo[mapped] = self._ids(mapped)
+        return ids
+
+    def _ids(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters behind a space: one unit, kept among the parts only, as a part of its own has the same ids."""
+        ids = self._memo.get(word)
+        return self._keep(word, self._ids((" " + word).encode().decode("latin-1").translate(self._letters))) if ids is None else ids
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(self._memo) >= MEMO_ENTRIES:
+            self._memo.clear()
+        self._memo[part] = ids
         return ids
 
     def _plain(self, piece: str) -> bytes:
         """Ids of a piece whose ends are unit borders; only an ASCII piece is split here, with the tokenizer's pattern."""
         word, mark = (piece, "") if piece[-1:].isalpha() else (piece[:-1], piece[-1:])
         if (word[1:] if word[:1] == " " else word).isalpha() and mark in ("", ",", "."):  # one unit, and maybe a mark
-            out = self._unit(word.encode().decode("latin-1").translate(self._letters))
+            out = self._word(word[1:]) if word[:1] == " " else self._unit(word.encode().decode("latin-1").translate(self._letters))
             return out + self._unit(mark) if mark else out
         if piece.isascii():
             return b"".join([self._unit(u.translate(self._letters)) for u in _ASCII_UNITS.findall(piece)])
@@ -60,14 +74,13 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a part that begins with a space; a lone line end is always a unit of its own."""
+        if part[1:].isalpha():
+            return self._word(part[1:])
         if "\n" in part:
             out = self._unit(self._letters[10]).join([self._plain(p) for p in _LINE_END.split(part)])
         else:
             out = self._plain(part)
-        if len(self._memo) >= MEMO_ENTRIES:
-            self._memo.clear()
-        self._memo[part[1:]] = out
-        return out
+        return self._keep(part[1:], out)
 
     def encode(self, text: str) -> bytes:
         if not text:

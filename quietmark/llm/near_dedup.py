@@ -46,9 +46,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, attach, fresh, give_back_memory, packed, row_tag
+from quietmark.llm.common import Stages, attach, fresh, giving_back, packed, row_tag
 from quietmark.llm.components import components
-from quietmark.llm.words import FOLD_CASE, SPACES, Words, groups, mix, rolling, text_bytes
+from quietmark.llm.words import FOLD_CASE, SPACES, Words, groups, mix, pieces, rolling, text_bytes
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
@@ -112,38 +112,42 @@ def _digest(h: np.ndarray) -> bytes:
     return packed(np.array([mix(h).sum(dtype=np.uint64), mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]), np.uint64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """(id, tag, text) to size, class, sketch and band keys; no bands for an empty set."""
-    for batch in batches:
-        buf, at = text_bytes(batch.column(2))
-        n = np.zeros(batch.num_rows, np.int64)
-        cls: list[bytes] = []
-        values = np.zeros((batch.num_rows, K), np.int32)
-        for lo, hi in groups(at):
-            h, first = shingle_sets(buf, at[lo : hi + 1])
-            n[lo:hi] = np.diff(first)
-            for t in range(hi - lo):
-                own = h[first[t] : first[t + 1]]
-                cls.append(_digest(own))
-                if len(own):
-                    values[lo + t] = signature(own)
-        # Four bits of a hash of each value, not of the rank: small ranks are the likely minima.
-        four = (mix(values.astype(np.uint64) + np.arange(K, dtype=np.uint64) * np.uint64(D)) >> np.uint64(60)).astype(np.uint8)
-        sketch = np.ascontiguousarray(four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
-        by_band = values[:, : BANDS * ROWS].astype(np.uint64).reshape(len(values), BANDS, ROWS)
-        keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(values), 1))
-        for j in range(ROWS):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + by_band[:, :, j])
-        keys = keys.view(np.int64)
-        used = n > 0
-        offsets = np.concatenate([[0], np.cumsum(used * BANDS)]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].reshape(-1)))
-        first, more = (pa.array(list(half), pa.list_(pa.int64())) for half in (sketch[:, :LONGS], sketch[:, LONGS:]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), first, more, bands],
-            names=["id", "tag", "n", "cls", "sketch", "more", "bands"],
-        )
-    give_back_memory()
+    buf, at = text_bytes(batch.column(2))
+    n = np.zeros(batch.num_rows, np.int64)
+    cls: list[bytes] = []
+    values = np.zeros((batch.num_rows, K), np.int32)
+    for lo, hi in groups(at):
+        h, first = shingle_sets(buf, at[lo : hi + 1])
+        n[lo:hi] = np.diff(first)
+        for t in range(hi - lo):
+            own = h[first[t] : first[t + 1]]
+            cls.append(_digest(own))
+            if len(own):
+                values[lo + t] = signature(own)
+    # Four bits of a hash of each value, not of the rank: small ranks are the likely minima.
+    four = (mix(values.astype(np.uint64) + np.arange(K, dtype=np.uint64) * np.uint64(D)) >> np.uint64(60)).astype(np.uint8)
+    sketch = np.ascontiguousarray(four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
+    by_band = values[:, : BANDS * ROWS].astype(np.uint64).reshape(len(values), BANDS, ROWS)
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(values), 1))
+    for j in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + by_band[:, :, j])
+    keys = keys.view(np.int64)
+    used = n > 0
+    offsets = np.concatenate([[0], np.cumsum(used * BANDS)]).astype(np.int32)
+    bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].reshape(-1)))
+    first, more = (pa.array(list(half), pa.list_(pa.int64())) for half in (sketch[:, :LONGS], sketch[:, LONGS:]))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(n), pa.array(cls, pa.binary()), first, more, bands],
+        names=["id", "tag", "n", "cls", "sketch", "more", "bands"],
+    )
+
+
+@giving_back
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in pieces(batches, 2):
+        yield _signed(piece)
 
 
 def _parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -154,6 +158,7 @@ def _parities(h: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.array(list(np.packbits(bits, axis=1).view(np.int64)), pa.list_(pa.int64()))
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, at = text_bytes(batch.column(0))
@@ -162,7 +167,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = [_digest(h[a:b]) for a, b in zip(first, first[1:])]
             sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), sets, _parities(h, first)], names=["cls", "shingles", "parity"])
-    give_back_memory()
 
 
 def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:

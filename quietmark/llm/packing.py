@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietmark.llm.common import Stages, attach, give_back_memory
+from quietmark.llm.common import Stages, attach, giving_back
 from quietmark.llm.encoding import Encoder
+from quietmark.llm.words import pieces
 
 ROUNDS = 60
 #: Growth of a lagging length's weight in one round; room a pattern of the program may waste.
@@ -51,30 +52,34 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _tokenize(path: str, capacity: int, end_id: int, keep_ids: bool):
+    end = end_id.to_bytes(4, "little")
+
+    def cut_up(batch: pa.RecordBatch, encode, part: int, seen: list[int]) -> pa.RecordBatch:
+        owner, rows, ids = [], [], []
+        for i, text in enumerate(batch.column(1)):
+            raw = encode(text.as_py() or "") + end
+            for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
+                own = raw[4 * start : 4 * (start + n)]
+                owner.append(i)
+                rows.append((k, start, n, zlib.crc32(own), part, seen[n]))
+                seen[n] += 1
+                if keep_ids:
+                    ids.append(np.frombuffer(own, np.uint32).astype(np.int32))
+        columns = zip(*rows) if rows else [[]] * 6
+        out = [batch.column(0).take(pa.array(owner, pa.int64())), *map(pa.array, columns, [pa.int32()] + [pa.int64()] * 5)]
+        names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"]
+        if keep_ids:
+            out.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's own: a memo kept by the worker would stay in memory under every later stage.
-        encode, end = Encoder(path).encode, end_id.to_bytes(4, "little")
+        encode = Encoder(path).encode
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
-            owner, rows, ids = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "") + end
-                for k, (start, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    own = raw[4 * start : 4 * (start + n)]
-                    owner.append(i)
-                    rows.append((k, start, n, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-                    if keep_ids:
-                        ids.append(np.frombuffer(own, np.uint32).astype(np.int32))
-            columns = zip(*rows) if rows else [[]] * 6
-            out = [batch.column(0).take(pa.array(owner, pa.int64())), *map(pa.array, columns, [pa.int32()] + [pa.int64()] * 5)]
-            names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-            if keep_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
-        del encode
-        give_back_memory()
+        for piece in pieces(batches, 1):
+            yield cut_up(piece, encode, part, seen)
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietmark.llm.common import give_back_memory
+from quietmark.llm.common import give_back_memory, giving_back
 from quietmark.llm.words import SPACES, Words, byte_set, groups, rolling, text_bytes
 
 LABELLED = 12_000
@@ -208,6 +208,7 @@ def combined(model: Model, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarr
     return sigmoid(model.combine[0] * a + model.combine[1] * b + model.combine[2]), sigmoid(a), sigmoid(b)
 
 
+@giving_back
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text, metadata...) to (label, text features, metadata features)."""
     for batch in batches:
@@ -217,7 +218,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta = meta if meta.size else np.zeros((batch.num_rows, 1))
         kind = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, kind), pa.array(list(meta), kind)], names=["y", "text", "meta"])
-    give_back_memory()
 
 
 def usable(docs: DataFrame, meta_cols: Sequence[str]) -> list[str]:

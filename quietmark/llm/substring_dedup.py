@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietmark.llm.common import Stages, attach, fresh, give_back_memory, packed, row_tag, shard_count, unpacked
-from quietmark.llm.words import Words, groups, rolling, slide, text_bytes
+from quietmark.llm.common import Stages, attach, fresh, give_back_memory, giving_back, packed, row_tag, shard_count, unpacked
+from quietmark.llm.words import Words, groups, pieces, rolling, slide, text_bytes
 
 SENT = "shard int, batch long, k1 binary, k2 binary, id binary, row binary, pos binary, len binary, heads binary, known binary"
 REPLY = "batch long, places binary, heads binary"
@@ -106,13 +106,6 @@ def _repeated(k1, k2, ids, last: bool):
     return found, order[first[size > 1]]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``BATCH_BYTES`` of text, whatever size the reader chose."""
-    for batch in batches:
-        for lo, hi in groups(text_bytes(batch.column(2))[1], BATCH_BYTES):
-            yield batch.slice(lo, hi - lo)
-
-
 def _send(shards: int, base: int, before: int, length: int, last: bool):
     """Maps batches of (id, tag, text[, runs]) to packed entries by shard."""
 
@@ -131,38 +124,41 @@ def _send(shards: int, base: int, before: int, length: int, last: bool):
             parts.append((k1, k2, text + lo, pos, n))
         return [np.concatenate(x) for x in zip(*parts)]
 
+    def sent(number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        key = (TaskContext.get().partitionId() << 32) + number
+        k1, k2, row, pos, n = entries(batch)
+        own = batch.column(0).to_numpy()
+        ids = own[row]
+        known, announced = _repeated(k1, k2, ids, last)
+        place = np.stack([row, pos, n], 1).astype(np.int32)
+        open_ = np.flatnonzero(~known)
+        row = row.astype(np.int32)
+        if not last:  # a key that is settled here is still told to the others, once
+            row = row.copy()
+            row[announced] = -1
+            open_ = np.concatenate([open_, announced])
+        shard = (k1[open_] >> np.uint64(20)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        mine = key % shards
+        out = {f: [] for f in ("shard", "batch", "k1", "k2", "id", "row", "pos", "len", "heads", "known")}
+        for s in range(shards):
+            e = open_[order[cuts[s] : cuts[s + 1]]]
+            if not len(e) and s != mine:
+                continue
+            heads = packed(np.stack([own, batch.column(1).to_numpy()]), np.int64) if s == mine else b""
+            told = packed(place[known], np.int32) if s == mine else b""
+            row_ = (s, key, packed(k1[e], np.uint64), b"" if not last else packed(k2[e], np.uint64), packed(ids[e], np.int64) if last else b"",
+                    packed(row[e], np.int32), packed(pos[e], np.int32), packed(n[e], np.int32), heads, told)
+            for f, v in zip(out, row_):
+                out[f].append(v)
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(_pieces(batches)):
-            key = (TaskContext.get().partitionId() << 32) + number
-            k1, k2, row, pos, n = entries(batch)
-            own = batch.column(0).to_numpy()
-            ids = own[row]
-            known, announced = _repeated(k1, k2, ids, last)
-            place = np.stack([row, pos, n], 1).astype(np.int32)
-            open_ = np.flatnonzero(~known)
-            row = row.astype(np.int32)
-            if not last:  # a key that is settled here is still told to the others, once
-                row = row.copy()
-                row[announced] = -1
-                open_ = np.concatenate([open_, announced])
-            shard = (k1[open_] >> np.uint64(20)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            mine = key % shards
-            out = {f: [] for f in ("shard", "batch", "k1", "k2", "id", "row", "pos", "len", "heads", "known")}
-            for s in range(shards):
-                e = open_[order[cuts[s] : cuts[s + 1]]]
-                if not len(e) and s != mine:
-                    continue
-                heads = packed(np.stack([own, batch.column(1).to_numpy()]), np.int64) if s == mine else b""
-                told = packed(place[known], np.int32) if s == mine else b""
-                row_ = (s, key, packed(k1[e], np.uint64), b"" if not last else packed(k2[e], np.uint64), packed(ids[e], np.int64) if last else b"",
-                        packed(row[e], np.int32), packed(pos[e], np.int32), packed(n[e], np.int32), heads, told)
-                for f, v in zip(out, row_):
-                    out[f].append(v)
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-        give_back_memory()
+        for number, batch in enumerate(pieces(batches, 2, BATCH_BYTES)):
+            yield sent(number, batch)
 
     return run
 
@@ -170,6 +166,7 @@ def _send(shards: int, base: int, before: int, length: int, last: bool):
 def _settle(last: bool):
     """Finds the repeated entries of one shard; answers by batch."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         flat = lambda f, kind: np.concatenate([np.zeros(0, kind), *(unpacked(v.as_py(), kind) for b in held for v in b.column(f))])
@@ -191,8 +188,6 @@ def _settle(last: bool):
                         out[f].append(v)
             kinds = (pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-        del held
-        give_back_memory()
 
     return run
 
@@ -253,8 +248,7 @@ REMOVED = "struct<n_words:long,n_removed:long,kept_text:string,kept_sha256:strin
 def removal(text: Column, runs: Column, window: int = 13) -> Column:
     """Words, removed words, what is kept (joined by one space) and its digest."""
 
-    @F.arrow_udf(REMOVED)
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def kept_of(texts: pa.Array, spans: pa.Array) -> pa.Array:
         n_words, n_removed, kept, digest = [], [], [], []
         for t, r in zip(texts.cast(pa.binary()), spans):
             raw, r = t.as_py(), r.as_py()
@@ -276,6 +270,12 @@ def removal(text: Column, runs: Column, window: int = 13) -> Column:
             ["n_words", "n_removed", "kept_text", "kept_sha256"],
         )
 
+    @F.arrow_udf(REMOVED)
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = kept_of(texts, spans)
+        give_back_memory()
+        return out
+
     return cut(text, runs)
 
 

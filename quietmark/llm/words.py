@@ -93,6 +93,13 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes in column ``text``, whatever size the reader chose."""
+    for batch in batches:
+        for lo, hi in groups(text_bytes(batch.column(text))[1], limit):
+            yield batch.slice(lo, hi - lo)
+
+
 class Words:
     """Words of some texts: byte ranges, 64-bit hashes, and the first word of each text."""
 

@@ -1,10 +1,12 @@
 """Tokens, the plan and the pieces; the pipeline stage by stage."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import contaminated, cut_passages, near_components
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quietmark.llm import encoding
+from quietmark.llm import common, encoding, near_dedup, packing
 from quietmark.llm.encoding import Encoder
 from quietmark.llm.packing import best_fit, cut, pack, plan
 from quietmark.session import Stages
@@ -134,3 +136,49 @@ def test_pipeline_on_odd_and_empty_tables(spark):
             assert out.count() <= max(1000, len(data))
             if name == "near_duplicates" and data:
                 assert sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 2, 2, 3, 4]
+
+
+def test_a_word_is_kept_once():
+    encoder, words = Encoder(PATH), ["zebra", "quartz", "été", "Zug"]
+    for text in (" ".join(["", *words]), " ".join(w + "," for w in ["", *words]), "start " + ". ".join(words), "start " + "\n".join(words)):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(text)
+    mapped = {("Ġ" + w.encode().decode("latin-1").translate(encoder._letters)) for w in words}
+    assert {*words} <= encoder._memo.keys() and not mapped & encoder._unit_memo.keys()
+
+
+def test_pieces_leave_in_batches_of_bounded_text(monkeypatch):
+    """A large batch of the reader is not turned into one large batch of pieces."""
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    texts = [None, "", *["word " * 60_000] * 8]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(texts)], names=["id", "text"])
+    out = list(packing._tokenize(PATH, 1024, 2, False)(iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 1 and max(len(set(b["id"].to_pylist())) for b in out) <= 5
+    whole = pa.Table.from_batches(out).to_pydict()
+    n = -(-len([*ids(texts[2]), 2]) // 1024)
+    assert whole["id"] == [0, 1, *(i for i in range(2, 10) for _ in range(n))] and {*whole["part"]} == {3}
+    full = [r for r, length in zip(whole["rank"], whole["length"]) if length == 1024]
+    assert full == [*range(len(full))]
+
+
+def test_memory_is_given_back_when_a_task_holds_nothing_any_more(monkeypatch):
+    """What a task made is gone before memory is given back; else the worker keeps it under later stages."""
+    made, left = [], []
+    batch, inner = pa.RecordBatch.from_arrays, near_dedup.text_bytes
+
+    def read(column):
+        buf, at = inner(column)
+        own = buf.copy()
+        made.append(weakref.ref(own))
+        return own, at
+
+    give_back = lambda: left.append([r() is not None for r in made])
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "give_back_memory", give_back, raising=False)
+    monkeypatch.setattr(near_dedup, "text_bytes", read)
+    texts = pa.array(["a b c", None, "d " * 9])
+    signed = near_dedup._sign(iter([batch([pa.array([1, 2, 3]), pa.array([1, 2, 3]), texts], names=["id", "tag", "text"])]))
+    for step in (signed, near_dedup._sets(iter([batch([texts], names=["text"])]))):
+        made[:], left[:] = [], []
+        for _ in step:
+            pass
+        assert left == [[False] * len(made)] and made
