@@ -97,19 +97,18 @@ def text_features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1).astype(float)
 
 
-def meta_features(columns: Sequence[pa.Array]) -> np.ndarray:
-    """Hashed one-hot categories, and for numbers a logarithm and whether it is missing."""
+def _is_category(c: pa.Array) -> bool:
+    return pa.types.is_string(c.type) or pa.types.is_large_string(c.type)
+
+
+def meta_values(columns: Sequence[pa.Array]) -> np.ndarray:
+    """The metadata features before categories are spread: a number a category, and for numbers a logarithm and whether it is missing."""
     parts = []
     for c in columns:
-        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+        if _is_category(c):
             values = c.to_pylist()
-            one = np.zeros((len(values), CATEGORIES + 1))
-            known: dict = {}
-            for i, v in enumerate(values):
-                if v not in known:
-                    known[v] = CATEGORIES if v is None else zlib.crc32(v.encode()) % CATEGORIES
-                one[i, known[v]] = 1
-            parts.append(one)
+            known: dict = {v: CATEGORIES if v is None else zlib.crc32(v.encode()) % CATEGORIES for v in {*values}}
+            parts.append(np.array([known[v] for v in values], float).reshape(-1, 1))
         else:
             x = np.array([np.nan if v is None else float(v) for v in c.to_pylist()], float)
             missing = ~np.isfinite(x)
@@ -118,6 +117,27 @@ def meta_features(columns: Sequence[pa.Array]) -> np.ndarray:
     return np.concatenate(parts, 1) if parts else np.zeros((0, 0))
 
 
+def spread(values: np.ndarray, categories: Sequence[bool]) -> np.ndarray:
+    """``meta_values`` with a column for each number that a category may have; ``categories``: which columns of the table are such."""
+    out = np.zeros((len(values), sum(CATEGORIES + 1 if c else 2 for c in categories)))
+    if not len(values):
+        return out
+    to = at = 0
+    for c in categories:
+        if c:
+            out[np.arange(len(values)), to + values[:, at].astype(int)] = 1
+            to, at = to + CATEGORIES + 1, at + 1
+        else:
+            out[:, to : to + 2] = values[:, at : at + 2]
+            to, at = to + 2, at + 2
+    return out
+
+
+def meta_features(columns: Sequence[pa.Array]) -> np.ndarray:
+    """Hashed one-hot categories, and for numbers a logarithm and whether it is missing."""
+    return spread(meta_values(columns), [_is_category(c) for c in columns]) if columns else np.zeros((0, 0))
+
+
 class View(NamedTuple):
     """A logistic classifier over standardised features and their squares, and its calibration."""
 
@@ -135,15 +155,22 @@ class View(NamedTuple):
 
 
 def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -6, 6)
-    return np.concatenate([z, z * z / 6, np.ones((len(z), 1))], 1)
+    n, k = x.shape
+    out = np.ones((n, 2 * k + 1))  # filled in place: the driver holds one table of this size, not five
+    z, squares = out[:, :k], out[:, k : 2 * k]
+    np.subtract(x, mean, out=z)
+    np.divide(z, scale, out=z)
+    np.clip(z, -6, 6, out=z)
+    np.multiply(z, z, out=squares)
+    np.divide(squares, 6, out=squares)
+    return out
 
 
 def _newton(a: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    w = np.zeros(a.shape[1])
+    w, weighted = np.zeros(a.shape[1]), np.empty_like(a)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
+        h = np.multiply(a, np.maximum(p * (1 - p), 1e-6)[:, None], out=weighted).T @ a + ridge * np.eye(len(w))
         step = np.linalg.solve(h, a.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-7:
@@ -210,11 +237,11 @@ def combined(model: Model, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarr
 
 @giving_back
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text, metadata...) to (label, text features, metadata features)."""
+    """(label, text, metadata...) to (label, text features, metadata values); those are spread where they are used."""
     for batch in batches:
         buf, at = text_bytes(batch.column(1))
         text = [row for lo, hi in groups(at) for row in text_features(buf, at[lo : hi + 1])]
-        meta = meta_features(batch.columns[2:])
+        meta = meta_values(batch.columns[2:])
         meta = meta if meta.size else np.zeros((batch.num_rows, 1))
         kind = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, kind), pa.array(list(meta), kind)], names=["y", "text", "meta"])
@@ -229,6 +256,7 @@ def usable(docs: DataFrame, meta_cols: Sequence[str]) -> list[str]:
 def fit(docs: DataFrame, label: Column, text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang", "n_chars")) -> Model:
     """``label``: 1 good, 0 bad, null unlabelled."""
     columns = [F.col(c) for c in usable(docs, meta_cols)]
+    categories = [isinstance(docs.schema[c].dataType, T.StringType) for c in usable(docs, meta_cols)]
     rows = docs.select(label.cast("double").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(f"m{i}") for i, c in enumerate(columns)))
     rows = rows.where("y is null or y in (0, 1)")
     n, labelled = rows.agg(F.count("*"), F.count("y")).first()
@@ -237,10 +265,15 @@ def fit(docs: DataFrame, label: Column, text_col: str = "text", meta_cols: Seque
     wide = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1) if len(c) else np.zeros((0, 1))
     y = got["y"].to_numpy(zero_copy_only=False).astype(float)
     text, meta = wide(got["text"]), wide(got["meta"])
+    del got
     order = np.lexsort(np.concatenate([text, np.nan_to_num(y, nan=2.0)[:, None]], 1).T)  # whatever order the tasks ended in
     y, text, meta = y[order], text[order], meta[order]
     known = ~np.isnan(y)
-    return co_train(text[known], meta[known], y[known], text[~known], meta[~known])
+    labelled, pool = (spread(meta[k], categories) if categories else meta[k] for k in (known, ~known))
+    model = co_train(text[known], labelled, y[known], text[~known], pool)
+    del text, meta, labelled, pool
+    give_back_memory()
+    return model
 
 
 RESULT = "struct<score:double,text_score:double,meta_score:double>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quietmark.llm import language_id, licenses, quality, toxicity
 from quietmark.llm.alignment import align
-from quietmark.llm.common import attach, bound_batches, fold, fresh
+from quietmark.llm.common import Stages, attach, bound_batches, fold, fresh
 from quietmark.llm.decontaminate import find_overlaps
 from quietmark.llm.licenses import scan_licenses
 from quietmark.llm.near_dedup import near_duplicates
@@ -71,7 +71,8 @@ def quality_model(spark: SparkSession, docs: DataFrame, d: str) -> quality.Model
     key, label = fresh("labelled"), fresh("label")
     labels = one_label(spark, d, "quality").where(fold(F.col("doc_id"), 5) != 0).toDF(key, label)
     named = docs.withColumn(key, F.col("doc_id").try_cast("long"))
-    return quality.fit(attach(named, labels, [key], "left", 24), F.col(label))
+    with Stages(spark) as stages:  # the fit reads them in several jobs
+        return quality.fit(attach(named, stages.save(labels), [key], "left", 24), F.col(label))
 
 
 def op5_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
