@@ -4,9 +4,10 @@ import html
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from quietmark.operators import audit, inventory
+from quietmark.operators import audit, inventory, names
 from quietmark.operators.detectors import PARITY
 from quietmark.plans import oracle
 from quietmark.sources.chunks import decode_references, page_attributes, page_chunks
@@ -76,3 +77,38 @@ def runs(text):
     import re
 
     return re.findall(r"\d{10,13}", text)
+
+
+@pytest.mark.parametrize("longest, most", [(32, 1 << 24), (11, 0)])
+def test_substring_survivors_in_pieces_that_share_characters(spark, monkeypatch, longest, most):
+    """Values within, beside and across each other, in odd case and digits; long phones by another way; rows that share a key."""
+    monkeypatch.setattr(audit, "LONGEST_PHONE", longest)
+    monkeypatch.setattr(names, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(names, "SPLIT", 3)
+    rng = random.Random(8)
+    values = ["sik@mail.test", "ik@mail.te", "a.b+c@x-y.org", "b@c.org", "10.0.0.1", "10.0.0.12", "1.10.0.0", "123-45-6789", "+91 98765 43210", "9876543210", "098765 43210", "+1 (212) 555-0100", "4539 1488 0343 6467", "4539148803436467", "\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669"]
+    noise = [*values, "S\u0130k@MAIL.TEST", "\u017f\u0131k@mail.tested", "a@b@c.org", "@", ".", "x", "9", " ", "-", "+", "919876543210", "10.0.0.123", "\u0661\u0662"]
+    original = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(None, "ann@b.org"), (None, None)], "doc_id long, text string")
+    after = [(i % 90 if i % 7 else None, i % 3, "".join(rng.choices(noise, k=rng.randrange(5)))) for i in range(400)] + [(None, None, None)]
+    redacted = spark.createDataFrame(after, "doc_id long, chunk_no int, redacted_text string")
+    folded = lambda t: t.replace("\u0130", "I").lower().upper()
+    want = {}
+    for row in audit.value_rows(original, PARITY).select("type", "value").distinct().collect():
+        digits = "".join(c for c in row.value if c.isdigit())
+        hit = {(d, c) for d, c, t in after if t and (folded(row.value) in folded(t) or (row.type == "phone" and digits in runs(t)))}
+        if hit:
+            want[row.type, row.value] = len(hit)
+    assert {t for t, _ in want} == set(audit.AUDIT_TYPES) and len(want) >= 12
+    assert {(r.type, r.value): r.chunks for r in audit.substring_survivors(original, redacted, PARITY).collect()} == want
+
+
+def test_substring_survivors_takes_a_value_shape_for_one_place(spark, monkeypatch):
+    """Emails of many lengths that begin alike, and numbers no value can be in: one row a chunk meets the values, not one a length or a digit."""
+    monkeypatch.setattr(names, "BROADCAST_BYTES", 0)
+    near, salted = [], names._salted
+    monkeypatch.setattr(names, "_salted", lambda *given: near.append(given[0]) or salted(*given))
+    original = spark.createDataFrame([(k, f"person{10 ** (k % 6) + k}@example.com, 4539 1488 0343 {k:04d}") for k in range(60)], "doc_id long, text string")
+    after = [(k, 1, f"Email: person{900000 + k}@example.com, 4111-1111-1111-{k:04d}, 01 January 1990") for k in range(200)]
+    redacted = spark.createDataFrame(after, "doc_id long, chunk_no int, redacted_text string")
+    assert audit.substring_survivors(original, redacted, PARITY).count() == 0
+    assert near[0].count() <= len(after)
